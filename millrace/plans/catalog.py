@@ -257,8 +257,8 @@ def restart_keyed_reduce(spark: SparkSession, root: str) -> DataFrame:
         return writer.trigger(availableNow=True).start()
 
     runner.run_with_restarts(start)
-    totals = spark.read.schema("user_id bigint, event_id bigint, acc bigint").parquet(f"{out}/batch=*")
-    return totals.groupBy("user_id").agg(F.max_by("acc", "event_id").alias("total"))
+    totals = spark.read.schema("user_id bigint, event_id bigint, acc bigint, batch int").parquet(out)
+    return totals.groupBy("user_id").agg(F.max_by("acc", F.struct("batch", "event_id")).alias("total"))
 
 
 _BATCH: list[Query] = [
