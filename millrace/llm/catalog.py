@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import media, urlfilter
+from millrace.llm import media, neardup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def op1_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, root, "documents"))
+
+
 def op7_media(spark: SparkSession, root: str) -> DataFrame:
     return media.media_digest(_table(spark, root, "documents"))
 
@@ -24,7 +28,7 @@ def op9_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op7_media, op9_url_filter)}
+    return {q.__name__: q for q in (op1_near_duplicates, op7_media, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
