@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import media, neardup, urlfilter
+from millrace.llm import linedup, media, neardup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,12 @@ def op9_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return urlfilter.judge(_table(spark, root, "pages"), urlfilter.labelled_table(spark))
 
 
+def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
+    return linedup.dedup_lines(_table(spark, root, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_duplicates, op7_media, op9_url_filter)}
+    return {q.__name__: q for q in (op1_near_duplicates, op7_media, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

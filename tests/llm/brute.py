@@ -41,3 +41,26 @@ def near_duplicates(rows):
             x, y = sorted((find(a), find(b)))
             parent[y] = x
     return {k: (len(s), find(k)) for k, s in sets.items()}
+
+
+def dedup_lines(rows, min_words=50):
+    """{doc_id: (n_lines, n_removed, text)}: every stretch with enough words and an earlier copy loses its lines."""
+    docs = [(k, (t or "").split("\n")) for k, t in sorted(rows)]
+    first, gone = {}, {k: set() for k, _ in docs}
+    counts = [[len(re.findall(r"[^\x20\x09-\x0D]+", line)) for line in lines] for _, lines in docs]
+    seen = {}
+    for _, lines in docs:
+        for line in lines:
+            seen[line] = seen.get(line, 0) + 1
+    for (k, lines), n in zip(docs, counts, strict=True):
+        for i in range(len(lines)):
+            total = 0
+            for j in range(i, len(lines)):
+                if seen[lines[j]] < 2:
+                    break
+                total += n[j]
+                if total >= min_words:
+                    if first.setdefault(tuple(lines[i : j + 1]), (k, i)) == (k, i):
+                        continue
+                    gone[k].update(range(i, j + 1))
+    return {k: (len(lines), len(gone[k]), "\n".join(x for i, x in enumerate(lines) if i not in gone[k])) for k, lines in docs}
