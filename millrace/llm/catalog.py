@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import linedup, media, neardup, urlfilter
+from millrace.llm import decontam, language, linedup, media, neardup, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,18 @@ def op1_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, root, "documents"))
 
 
+def op4_language(spark: SparkSession, root: str) -> DataFrame:
+    return language.identify(_table(spark, root, "documents"))
+
+
 def op7_media(spark: SparkSession, root: str) -> DataFrame:
     return media.media_digest(_table(spark, root, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, root: str) -> DataFrame:
+    return decontam.overlaps(_table(spark, root, "documents"), _table(spark, root, "benchmark")).drop("text")
+
+
 def op9_url_filter(spark: SparkSession, root: str) -> DataFrame:
     return urlfilter.judge(_table(spark, root, "pages"), urlfilter.labelled_table(spark))
 
@@ -32,7 +40,7 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_duplicates, op7_media, op9_url_filter, op10_line_dedup)}
+    return {q.__name__: q for q in (op1_near_duplicates, op4_language, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
