@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, language, linedup, media, neardup, urlfilter
+from millrace.llm import decontam, language, linedup, media, neardup, packing, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op4_language(spark: SparkSession, root: str) -> DataFrame:
     return language.identify(_table(spark, root, "documents"))
 
 
+def op6_packing(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, root, "documents"))
+
+
 def op7_media(spark: SparkSession, root: str) -> DataFrame:
     return media.media_digest(_table(spark, root, "documents"))
 
@@ -40,7 +44,7 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_duplicates, op4_language, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
+    return {q.__name__: q for q in (op1_near_duplicates, op4_language, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
