@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, language, lattice, linedup, media, neardup, packing, urlfilter
+from millrace.llm import decontam, language, lattice, linedup, media, neardup, packing, tokencount, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_near_duplicates(spark: SparkSession, root: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, root, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    return tokencount.section_counts(_table(spark, root, "documents"))
+
+
 def op3_lattice_score(spark: SparkSession, root: str) -> DataFrame:
     return lattice.score_texts(_table(spark, root, "documents"))
 
@@ -27,6 +31,10 @@ def op4_language(spark: SparkSession, root: str) -> DataFrame:
     return language.identify(_table(spark, root, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, root: str) -> DataFrame:
+    return toxicity.judge(_table(spark, root, "documents"), _table(spark, root, "labels"))
+
+
 def op6_packing(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(_table(spark, root, "documents"))
 
@@ -48,7 +56,7 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_duplicates, op3_lattice_score, op4_language, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
+    return {q.__name__: q for q in (op1_near_duplicates, op2_token_counts, op3_lattice_score, op4_language, op5_toxicity, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
