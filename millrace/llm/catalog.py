@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontam, language, lattice, linedup, media, neardup, packing, tokencount, toxicity, urlfilter
@@ -55,8 +56,12 @@ def op10_line_dedup(spark: SparkSession, root: str) -> DataFrame:
     return linedup.dedup_lines(_table(spark, root, "documents"))
 
 
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    return corpus_pipeline.run(spark, root)
+
+
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (op1_near_duplicates, op2_token_counts, op3_lattice_score, op4_language, op5_toxicity, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
+    return {q.__name__: q for q in (pipeline, op1_near_duplicates, op2_token_counts, op3_lattice_score, op4_language, op5_toxicity, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,10 +29,6 @@ THRESHOLD = 0.5
 BLOCK_WORDS = 200_000
 _BITS = 20
 
-SCHEMA = "doc_id bigint, text string, item_id bigint, coverage double, n_items int"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_items", pa.int32())])
-
-
 def tile(doc: list[int], item: list[int], starts: list[tuple[int, int]], least: int) -> np.ndarray:
     """Marks of the item's words after greedy tiling. `starts` holds the pairs of places where a seed is shared."""
     found = set(starts)
@@ -123,10 +119,11 @@ def _apply(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
                         if best[0] > cover[doc] or (best[0] == cover[doc] and item[doc] is not None and best[1] < item[doc]):
                             cover[doc], item[doc] = best
                         n[doc] += sum(h[0] >= threshold for h in hits)
-                    part = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(item, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int32())], schema=_ARROW)
+                    new = [pa.array(item, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int32())]
+                    part = pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - 3], *new], names=part.schema.names)
                 yield part
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, rows.schema)
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", match: int = MATCH, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -139,9 +136,15 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Block([(r["doc_id"], r["text"]) for r in part.orderBy("doc_id", "text").toLocalIterator()], match)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, item_id and coverage of the best item, n_items at or above the threshold, contaminated."""
-    rows = id_text(docs, id_col, text_col).select("doc_id", "text", F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).alias("n_items"))
+def overlaps(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text, further columns to keep, item_id and coverage of the best item, n_items at or above the threshold,
+    contaminated."""
+    keep = keep or []
+    rows = docs.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
+        F.lit(None).cast("bigint").alias("item_id"), F.lit(0.0).alias("coverage"), F.lit(0).alias("n_items"),
+    )
     for block in blocks(benchmark):
         rows = _apply(rows, block, threshold)
-    return rows.withColumn("contaminated", F.col("coverage") >= threshold)
+    out = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return rows.select("doc_id", "text", *out, "item_id", "coverage", "n_items", (F.col("coverage") >= threshold).alias("contaminated"))

@@ -22,10 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut, id_text, slices
+from millrace.llm.frames import cut, slices
 
 #: Fewest words of a repeated run.
 MIN_WORDS = 50
@@ -117,22 +118,29 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            out = []
-            for text, gone in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
-                if gone:
-                    drop = set(gone)
-                    text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in drop)
-                out.append(text)
-            sizes = [len(g) if g else 0 for g in part.column("gone").to_pylist()]
-            yield pa.record_batch([part.column("doc_id"), part.column("n_lines"), pa.array(sizes, pa.int32()), pa.array(out, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_lines, n_removed, text for each input row: the text without later copies of repeated runs."""
-    keyed = _keyed(id_text(docs, id_col, text_col))
+            text, gone = part.column("text"), part.column("gone")
+            edited = gone.is_valid()
+            sizes = pa.compute.list_value_length(gone).fill_null(0)
+            if edited.true_count:
+                new = []
+                for t, g in zip(text.filter(edited).to_pylist(), gone.filter(edited).to_pylist(), strict=True):
+                    drop = set(g)
+                    new.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
+                text = pa.compute.replace_with_mask(text, edited, pa.array(new, text.type))
+            more = part.schema.names[:-2]
+            yield pa.record_batch([*(part.column(c) for c in more), sizes, text], [*more, "n_removed", "text"])
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, further columns to keep, n_lines, n_removed, text for each input row: the text without later copies of
+    repeated runs."""
+    keep = keep or []
+    own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
+    keyed = _keyed(rows)
     gone = cut(repeated_lines(keyed, min_words), "gone")
-    marked = keyed.join(gone, DOC, "left").select("doc_id", "text", "gone", F.size(F.split("text", "\n")).alias("n_lines"))
-    whole = marked.filter("gone is null").select("doc_id", "n_lines", F.lit(0).alias("n_removed"), "text")
-    rest = marked.filter("gone is not null")
-    edited = rest.select("doc_id", "n_lines", "text", "gone").mapInArrow(_without, "doc_id bigint, n_lines int, n_removed int, text string")
-    return whole.unionByName(edited)
+    names = [f"k{i}" for i in range(len(keep))]
+    marked = keyed.join(gone.hint("merge"), DOC, "left").select("doc_id", *names, F.size(F.split("text", "\n")).alias("n_lines"), "text", "gone")
+    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
+    out = marked.mapInArrow(_without, f"doc_id bigint, {kinds}n_lines int, n_removed int, text string")
+    return out.toDF("doc_id", *keep, "n_lines", "n_removed", "text")

@@ -5,12 +5,16 @@
 2. Each class has SAMPLES MinHash values, as BANDS bands of ROWS values; a pair at similarity 0.75 meets in a band with
    probability 1 - (1 - 0.75**4)**32 = 0.999995. The samples are also folded into an odd sketch: a bitmap of parities
    whose XOR population count estimates how many samples differ.
-3. Round one: within each bucket every class is a candidate of the bucket's smallest class; each class takes the
-   candidate whose sketch is closest, the pair is confirmed on full sets, and links give components.
-4. Round two: buckets that still hold several components compare everything outside their largest component with all
-   members, sketch against sketch in blocks of bounded size, and emit only pairs of different components whose estimate
-   reaches SCREEN. These pairs are confirmed too. So no link between components is lost, and a bucket of thousands of
-   near copies, which round one has joined, costs nothing more.
+3. Each bucket joins its members to its smallest one. Components of that graph are families: every pair that meets in a
+   band lies in one family. Families of up to BLOCK classes are one group of texts; larger ones are dealt to groups by a
+   hash, and a few pivots of the family go to each group. Within a group, pairs whose sketches are close are confirmed on
+   their full sets, closest first, unless they are connected already; only links that connect are emitted.
+4. In larger families, everything outside the largest component then meets all members, in blocks of bounded size. So no
+   link between different components of a family is lost, and a family of thousands of near copies, which step 3 has
+   joined through its pivots, costs little more.
+
+Full sets are compared only where neither the sketches nor the triangle inequality of the Jaccard distance (through
+exact distances to common pivots, which is exact) rules a link out.
 
 Rows: null and empty texts have no shingles and stand alone. Repeated rows with one doc_id and equal texts give equal
 result rows; with different texts they count as one document that has all these texts. A row with a null doc_id links
@@ -22,7 +26,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,9 +40,9 @@ SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
 #: Estimates below this are not confirmed; at a true similarity of 0.75 that is over five deviations away.
 SCREEN = 0.5
-#: Members that one task compares with a centre's set at a time, and rows in a block of sketches.
-CHUNK = 64
-BLOCK = 512
+#: Texts in a group, and pivots of a large family in each of its groups.
+BLOCK = 256
+PIVOTS = 8
 #: intersection * DENOMINATOR >= union * NUMERATOR
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -48,7 +51,7 @@ _XOR = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.int64).astype(np.uint64)
 _MUL = _rng.integers(0, 1 << 62, SAMPLES, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64))
 
-SIGNATURES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, sketch array<bigint>"
+SIGNATURES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
 
 
 def minhash(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -90,154 +93,168 @@ def _lists(x: np.ndarray, width: int) -> pa.Array:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each input row: set size, 128-bit set hash, band keys and odd sketch (null lists for empty sets)."""
+    """A row for each input row: set size, 128-bit set hash and band keys (null for empty sets)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets, offsets = shingle_sets(words_of(batch.column("text")))
         sizes = np.diff(offsets)
         full = np.flatnonzero(sizes)
         h1, h2 = np.zeros(sizes.size, np.uint64), np.zeros(sizes.size, np.uint64)
-        bands, sketch = pa.nulls(sizes.size, pa.list_(pa.int64())), pa.nulls(sizes.size, pa.list_(pa.int64()))
+        bands = pa.nulls(sizes.size, pa.list_(pa.int64()))
         if full.size:
             own = offsets[np.append(full, sizes.size)]
             h1[full] = np.add.reduceat(mix(sets), own[:-1])
             h2[full] = np.add.reduceat(mix(sets ^ _XOR[0]), own[:-1])
-            samples = minhash(sets, own)
             place = np.full(sizes.size, -1)
             place[full] = np.arange(full.size)
-            take = pa.array(place, mask=place < 0)
-            bands, sketch = _lists(band_keys(samples), BANDS).take(take), _lists(odd_sketch(samples), SKETCH_WORDS).take(take)
-        columns = [batch.column("doc_id"), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands, sketch]
-        return pa.record_batch(columns, ["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"])
+            bands = _lists(band_keys(minhash(sets, own)), BANDS).take(pa.array(place, mask=place < 0))
+        columns = [batch.column("doc_id"), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands]
+        return pa.record_batch(columns, ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
     return map_slices(id_text(docs, id_col, text_col), run, SIGNATURES)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the distinct pairs (a, b) whose full shingle sets are similar enough.
-
-    A centre's text goes to each CHUNK of its members once; rows stream through in order, so a task holds one centre.
-    """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("n"))
-    split = pairs.join(counts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "n").alias("chunk"))
-    split = cut(split, "pairs")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    centres = split.select("a", "chunk").distinct().join(texts, F.col("a") == F.col("node")).select("a", "chunk", F.lit(None).cast("bigint").alias("b"), "text")
-    members = split.join(texts, F.col("b") == F.col("node")).select("a", "chunk", "b", "text")
-    dealt = centres.unionByName(members).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held = None, []
-        for batch in batches:
-            for part in slices(batch):
-                sets, offsets = shingle_sets(words_of(part.column("text")))
-                found = []
-                rows = zip(part.column("a").to_pylist(), part.column("chunk").to_pylist(), part.column("b").to_pylist(), strict=True)
-                for i, (a, chunk, b) in enumerate(rows):
-                    own = sets[offsets[i] : offsets[i + 1]]
-                    if (a, chunk) != group:
-                        group, held = (a, chunk), []
-                    if b is None:
-                        held.append(own.copy())
-                        continue
-                    for centre in held:
-                        shared = np.intersect1d(centre, own, assume_unique=True).size
-                        if DENOMINATOR * shared >= NUMERATOR * (centre.size + own.size - shared):
-                            found.append((a, b))
-                            break
-                if found:
-                    yield pa.RecordBatch.from_pydict({"a": [x for x, _ in found], "b": [y for _, y in found]}, schema=_PAIR)
-
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if a.size > b.size:
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == b.size] = 0
+    return int((b[at] == a).sum())
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    n = _shared(a, b)
+    return DENOMINATOR * n >= NUMERATOR * (a.size + b.size - n)
+
+
+def link(sets: list[np.ndarray], nodes: list[int], comps: list[int], queries: np.ndarray) -> list[tuple[int, int]]:
+    """Links (a, b) that connect components. Pairs with at least one query are looked at; all are queries in step 3."""
+    n = len(sets)
+    offsets = np.concatenate([[0], np.cumsum([x.size for x in sets])])
+    sketch = odd_sketch(minhash(np.concatenate(sets), offsets))
+    close = np.empty((n, n), np.float32)
+    for i in range(n):
+        close[i] = similarity(np.bitwise_count(sketch[i] ^ sketch).sum(axis=1))
+    maybe = np.triu((close >= SCREEN) & (queries[:, None] | queries[None, :]), 1)
+    if n > 4 * PIVOTS:
+        most = 1 - NUMERATOR / DENOMINATOR + 1e-9
+        for p in range(0, n, -(-n // PIVOTS)):
+            shared = np.array([_shared(sets[p], x) for x in sets])
+            far = 1 - shared / (sets[p].size + np.diff(offsets) - shared)
+            maybe &= np.abs(far[:, None] - far[None, :]) <= most
+    parent = {c: c for c in (*comps, *nodes)}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for node, comp in zip(nodes, comps, strict=True):  # rows of one document are one node
+        parent[find(node)] = find(comp)
+    i, j = np.nonzero(maybe)
+    out = []
+    for k in np.argsort(-close[i, j], kind="stable").tolist():
+        a, b = int(i[k]), int(j[k])
+        x, y = find(nodes[a]), find(nodes[b])
+        if x != y and similar(sets[a], sets[b]):
+            parent[y] = x
+            out.append((min(nodes[a], nodes[b]), max(nodes[a], nodes[b])))
+    return out
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_GROUP = ["family", "qb", "ab"]
 
 
-def _first_round(bands: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): for each class the closest of its buckets' smallest classes."""
-    least = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    stars = bands.join(least, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    left = sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
-    right = sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb"))
-    bits = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    near = stars.join(right, "b").join(left, "a").select("a", "b", bits.alias("d"))
-    limit = int(SKETCH_BITS / 2 * (1 - np.exp((SCREEN - 1) * 4 * SAMPLES / SKETCH_BITS)))
-    return near.filter(F.col("d") <= limit).groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
-
-
-def _second_round(bands: DataFrame, sketches: DataFrame, labels: DataFrame) -> DataFrame:
-    """Distinct pairs of different components that share a bucket and whose sketches are close."""
-    comp = F.coalesce("label", "node")
-    tagged = bands.join(labels, "node", "left").select("key", "node", comp.alias("comp"))
-    open_ = tagged.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    members = cut(tagged.join(open_, "key").join(sketches, "node"), "open")
-    sizes = members.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group; rows arrive group by group, so a task holds one group's sets."""
+    key, sets, nodes, comps, queries = None, [], [], [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(sets) > 1:
+            found = link(sets, nodes, comps, np.array(queries, bool))
+            if found:
+                yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=_PAIR)
+
+    for batch in batches:
+        for part in slices(batch):
+            own, offsets = shingle_sets(words_of(part.column("text")))
+            keys = zip(*(part.column(c).to_pylist() for c in _GROUP), strict=True)
+            rows = zip(keys, part.column("node").to_pylist(), part.column("comp").to_pylist(), part.column("q").to_pylist(), strict=True)
+            for i, (at, node, comp, q) in enumerate(rows):
+                if at != key:
+                    yield from done()
+                    key, sets, nodes, comps, queries = at, [], [], [], []
+                if offsets[i + 1] > offsets[i]:
+                    sets.append(own[offsets[i] : offsets[i + 1]].copy())
+                    nodes.append(node)
+                    comps.append(comp)
+                    queries.append(q)
+    yield from done()
+
+
+def _confirmed(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within the groups (family, qb, ab) of rows (node, comp, q)."""
+    full = members.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    return full.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_groups, "a bigint, b bigint")
+
+
+def _first_round(families: DataFrame) -> DataFrame:
+    """Groups of up to about BLOCK members, with the family's pivots in each."""
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    spread = F.xxhash64("node")
+    own = families.select("family", F.lit(0).alias("qb"), F.pmod(spread, count).cast("int").alias("ab"), "node")
+    pivots = families.filter((F.col("n") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(1)), "n") < PIVOTS))
+    pivots = pivots.select("family", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), "node")
+    rows = own.unionByName(pivots).distinct()
+    return rows.select(*_GROUP, "node", F.col("node").alias("comp"), F.lit(True).alias("q"))
+
+
+def _second_round(families: DataFrame, labels: DataFrame) -> DataFrame:
+    """In families of several groups: blocks of what lies outside the largest component against blocks of all."""
+    large = cut(families.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("comp")), "large")
+    sizes = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("family").agg(
         F.max_by("comp", F.struct("n", "comp")).alias("top"),
         F.ceil(F.sum("n") / BLOCK).cast("int").alias("na"),
         F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("nq"),
     )
-    placed = members.join(largest, "key")
-    spread = F.xxhash64("node")
-    every = placed.select("key", F.pmod(spread, "na").cast("int").alias("ab"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.lit(False).alias("q"), "node", "comp", "sketch")
+    placed = large.join(cut(top, "top"), "family")
+    spread = F.xxhash64("node", F.lit(2))
+    every = placed.filter("nq > 0").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(spread, "na").cast("int").alias("ab"), "node", "comp", F.lit(False).alias("q")
+    )
     queries = placed.filter("comp <> top").select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ab"), F.pmod(spread, "nq").cast("int").alias("qb"), F.lit(True).alias("q"), "node", "comp", "sketch"
+        "family", F.pmod(spread, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ab"), "node", "comp", F.lit(True).alias("q")
     )
-    dealt = every.unionByName(queries).repartition("key", "ab", "qb").sortWithinPartitions("key", "ab", "qb", "q")
-    return dealt.mapInPandas(_close_pairs, "a bigint, b bigint").distinct()
-
-
-def _close_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Compares the queries with the members of each (bucket, block, block); groups arrive in order."""
-    waiting = pd.DataFrame()
-
-    def work(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        keys = rows[["key", "ab", "qb"]].to_numpy()
-        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        sketch = np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-        node, comp, query = rows["node"].to_numpy(), rows["comp"].to_numpy(), rows["q"].to_numpy(bool)
-        a, b = [], []
-        for lo, hi in zip([0, *edges], [*edges, len(rows)], strict=True):
-            m = lo + int((~query[lo:hi]).sum())
-            if lo < m < hi:
-                bits = np.bitwise_count(sketch[lo:m, None, :] ^ sketch[None, m:hi, :]).sum(axis=2)
-                i, j = np.nonzero((similarity(bits) >= SCREEN) & (comp[lo:m, None] != comp[None, m:hi]))
-                a.append(np.minimum(node[lo + i], node[m + j]))
-                b.append(np.maximum(node[lo + i], node[m + j]))
-        if a:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    for batch in batches:
-        rows = pd.concat([waiting, batch]) if len(waiting) else batch
-        last = rows[["key", "ab", "qb"]].iloc[-1]
-        tail = (rows["key"] == last["key"]) & (rows["ab"] == last["ab"]) & (rows["qb"] == last["qb"])
-        waiting = rows[tail]
-        if len(waiting) < len(rows):
-            yield from work(rows[~tail])
-    if len(waiting):
-        yield from work(waiting)
+    return every.unionByName(queries)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each input row; see the module's description."""
     texts = id_text(docs, id_col, text_col)
     signed = cut(signatures(texts), "signatures")
-    classes = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"))
-    heads = signed.join(classes, ["h1", "h2"]).filter("doc_id = node").groupBy("node", "h1", "h2").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    heads = cut(heads, "heads")
-    bands = heads.select("node", F.explode("bands").alias("key"))
-    sketches = heads.groupBy("node").agg(F.first("sketch").alias("sketch"))
-    first = cut(confirm(_first_round(bands, sketches), texts), "links")
+    filled = signed.filter("n_shingles > 0 and doc_id is not null")
+    classes = cut(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
+    placed = filled.join(classes, ["h1", "h2"])
+    bands = cut(placed.filter("doc_id = node").select("node", F.explode("bands").alias("key")), "bands")
+    least = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
+    stars = bands.join(cut(least, "least"), "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     # a document whose rows have different texts is a member of several classes and links them
-    ids = signed.filter("n_shingles > 0 and doc_id is not null").join(classes, ["h1", "h2"])
-    own = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
-    linked = cut(first.unionByName(own).distinct(), "links")
-    labels = components(linked)
-    more = cut(confirm(_second_round(bands, sketches, labels), texts), "links")
-    if more.limit(1).count():
-        labels = components(linked.unionByName(more))
-    named = classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component_id"))
+    own = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
+    own = cut(own, "own")
+    families = components(stars).withColumnRenamed("label", "family")
+    sizes = cut(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    families = cut(families.join(sizes, "family"), "families")
+    first = cut(_confirmed(_first_round(families), texts).unionByName(own), "links")
+    labels = components(first)
+    if families.filter(F.col("n") > BLOCK).limit(1).count():
+        more = cut(_confirmed(_second_round(families, labels), texts), "links")
+        if more.limit(1).count():
+            labels = components(first.unionByName(more))
+    named = cut(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
