@@ -64,3 +64,44 @@ def dedup_lines(rows, min_words=50):
                         continue
                     gone[k].update(range(i, j + 1))
     return {k: (len(lines), len(gone[k]), "\n".join(x for i, x in enumerate(lines) if i not in gone[k])) for k, lines in docs}
+
+
+def tile_coverage(doc, item, least=5):
+    """Greedy string tiling as published: all longest matches, marked in order of their places, again and again."""
+    d, q = words(doc), words(item)
+    least = min(least, len(q))
+    marked_d, marked_q = [False] * len(d), [False] * len(q)
+    while q:
+        longest, found = least, []
+        for p in range(len(d)):
+            for k in range(len(q)):
+                n = 0
+                while p + n < len(d) and k + n < len(q) and d[p + n] == q[k + n] and not marked_d[p + n] and not marked_q[k + n]:
+                    n += 1
+                if n > longest:
+                    longest, found = n, [(p, k)]
+                elif n == longest:
+                    found.append((p, k))
+        if not found:
+            break
+        for p, k in found:
+            if not any(marked_d[p : p + longest]) and not any(marked_q[k : k + longest]):
+                marked_d[p : p + longest] = [True] * longest
+                marked_q[k : k + longest] = [True] * longest
+    return sum(marked_q) / len(q) if q else 0.0
+
+
+def section_counts(text, spans, rule="first"):
+    """Tokens of each line from a tokenizer's character spans."""
+    lines = (text or "").split("\n")
+    ends, at = [], 0
+    for i, line in enumerate(lines):
+        at += len(line) + (i < len(lines) - 1)
+        ends.append(at)
+    if len(ends) > 1 and ends[-1] == ends[-2]:
+        ends.pop()
+    counts = [0] * len(ends)
+    for a, b in spans:
+        place = a if rule == "first" else b - 1
+        counts[next(i for i, e in enumerate(ends) if place < e)] += 1
+    return counts
