@@ -26,7 +26,7 @@ WIDTH = 64
 #: Rows in a frame of the stored video. A text of up to 64 rows is one frame of its own height.
 MAX_ROWS = 64
 FPS = 25
-#: A shot begins where the histogram difference exceeds mean + DEVIATIONS * deviation of the preceding WINDOW differences.
+#: A shot begins where the histogram difference exceeds mean + DEVIATIONS * deviation of the shot's last WINDOW differences.
 DEVIATIONS = 3.0
 WINDOW = 8
 FLOOR = 0.15
@@ -232,15 +232,15 @@ def read_avi(data: bytes) -> Avi:
 
 def shots(samples: np.ndarray) -> list[tuple[int, int]]:
     """[first, end) frame ranges. A cut is a histogram difference above an adaptive limit: the mean of the last
-    WINDOW differences plus DEVIATIONS deviations, and at least FLOOR. The first difference has no past: FLOOR * 2."""
+    WINDOW differences within the shot plus DEVIATIONS deviations, and at least FLOOR; FLOOR * 2 at a shot's start."""
     count = samples.shape[0]
     flat = (samples.reshape(count, -1) >> 4).astype(np.int64) + np.arange(count)[:, None] * BINS
     hist = np.bincount(flat.ravel(), minlength=count * BINS).reshape(count, BINS) / (flat.shape[1] or 1)
     diff = np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
     cuts = [0]
     for i, d in enumerate(diff.tolist()):
-        past = diff[max(0, i - WINDOW) : i]
-        limit = max(FLOOR, past.mean() + DEVIATIONS * past.std()) if i else 2 * FLOOR
+        past = diff[max(cuts[-1], i - WINDOW) : i]
+        limit = max(FLOOR, past.mean() + DEVIATIONS * past.std()) if past.size else 2 * FLOOR
         if d > limit:
             cuts.append(i + 1)
     return [*zip(cuts, [*cuts[1:], count], strict=True)]
