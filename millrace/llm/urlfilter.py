@@ -23,6 +23,8 @@ BUCKETS = 4096
 EPOCHS = 60
 RATE = 0.05
 SHRINK = 0.001
+#: A url is blocked from this logit on (a probability of 0.7).
+LIMIT = 0.847
 
 Rule = tuple[str, str]
 
@@ -145,7 +147,7 @@ def train(labelled: DataFrame) -> tuple[float, list[float]]:
 
 
 def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule, verdict for each row: the rule's verdict, else block where the model's logit is positive."""
+    """page_id, host, path, rule, verdict for each row: the rule's verdict, else block where the model's logit is above LIMIT."""
     bias, weights = train(labelled)
     host, path = host_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
@@ -153,7 +155,7 @@ def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES,
     table = F.array(*[F.lit(w) for w in weights]) if any(weights) else F.array(F.lit(0.0))
     logit = F.aggregate(buckets(F.col("host"), F.col("path")), F.lit(bias), lambda s, b: s + F.coalesce(F.get(table, b), F.lit(0.0)))
     hit = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(logit > 0, F.lit("block")).otherwise(F.lit("allow"))
+    own = F.when(logit > LIMIT, F.lit("block")).otherwise(F.lit("allow"))
     return parts.select("page_id", "host", "path", hit["rule"].alias("rule"), F.when(hit.isNotNull(), hit["verdict"]).otherwise(own).alias("verdict"))
 
 
@@ -187,5 +189,5 @@ def oracle(rules: Sequence[Rule] = RULES, rows: Sequence[tuple[str, int]] = LABE
       w AS (SELECT b, sum(z[2]) AS w FROM (SELECT z, unnest(list_concat(z[1].x, [-1])) AS b FROM point) GROUP BY b),
       p AS (SELECT page_id, rid, host, path, CASE {fit} END AS hit, {x} AS x FROM (SELECT page_id, row_number() OVER () AS rid, {parts('url')} FROM pages)),
       s AS (SELECT rid, sum(w) AS z FROM (SELECT rid, unnest(list_concat(x, [-1])) AS b FROM p) g JOIN w USING (b) GROUP BY rid)
-      SELECT page_id, host, path, hit.rule AS rule, CASE WHEN hit IS NOT NULL THEN hit.verdict WHEN s.z > 0 THEN 'block' ELSE 'allow' END AS verdict
+      SELECT page_id, host, path, hit.rule AS rule, CASE WHEN hit IS NOT NULL THEN hit.verdict WHEN s.z > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
       FROM p LEFT JOIN s USING (rid)"""
