@@ -19,14 +19,10 @@ of the text. A null doc_id comes first in the order. An empty table gives an emp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut, slices
+from millrace.llm.frames import cut
 
 #: Fewest words of a repeated run.
 MIN_WORDS = 50
@@ -115,20 +111,10 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lines.groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("gone"))
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            text, gone = part.column("text"), part.column("gone")
-            edited = gone.is_valid()
-            sizes = pa.compute.list_value_length(gone).fill_null(0)
-            if edited.true_count:
-                new = []
-                for t, g in zip(text.filter(edited).to_pylist(), gone.filter(edited).to_pylist(), strict=True):
-                    drop = set(g)
-                    new.append("\n".join(line for i, line in enumerate(t.split("\n")) if i not in drop))
-                text = pa.compute.replace_with_mask(text, edited, pa.array(new, text.type))
-            more = part.schema.names[:-2]
-            yield pa.record_batch([*(part.column(c) for c in more), sizes, text], [*more, "n_removed", "text"])
+def _mask(gone: Column) -> Column:
+    """True at the given sorted places of an array that ends at the last of them."""
+    gaps = F.transform(gone, lambda g, k: g - F.coalesce(F.get(gone, k - 1), F.lit(-1)) - 1)
+    return F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(False), n), F.array(F.lit(True)))))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -136,11 +122,12 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     repeated runs."""
     keep = keep or []
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own)
-    keyed = _keyed(rows)
-    gone = cut(repeated_lines(keyed, min_words), "gone")
-    names = [f"k{i}" for i in range(len(keep))]
-    marked = keyed.join(gone.hint("merge"), DOC, "left").select("doc_id", *names, F.size(F.split("text", "\n")).alias("n_lines"), "text", "gone")
-    kinds = "".join(f"{n} {docs.schema[c].dataType.simpleString()}, " for n, c in zip(names, keep, strict=True))
-    out = marked.mapInArrow(_without, f"doc_id bigint, {kinds}n_lines int, n_removed int, text string")
-    return out.toDF("doc_id", *keep, "n_lines", "n_removed", "text")
+    keyed = _keyed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own))
+    gone = repeated_lines(keyed, min_words)
+    gone = cut(gone.select(*DOC, F.size("gone").alias("n_removed"), _mask(F.col("gone")).alias("mask")), "gone")
+    lines = F.split("text", "\n")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
+    return keyed.join(gone.hint("merge"), DOC, "left").select(
+        "doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.size(lines).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
+        F.when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("text"),
+    )
