@@ -120,7 +120,7 @@ def _apply(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
                             cover[doc], item[doc] = best
                         n[doc] += sum(h[0] >= threshold for h in hits)
                     new = [pa.array(item, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int32())]
-                    part = pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - 3], *new], names=part.schema.names)
+                    part = pa.RecordBatch.from_arrays([*part.columns[: part.num_columns - 3], *new], schema=part.schema)
                 yield part
 
     return rows.mapInArrow(run, rows.schema)
