@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontam, language, lattice, linedup, media, neardup, packing, tokencount, toxicity, urlfilter
+from millrace.llm import decontam, language, lattice, linedup, media, neardup, packing, sql, tokencount, toxicity, urlfilter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,4 +65,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_url_filter": urlfilter.oracle()}
+    return {
+        "op1_near_duplicates": sql.NEAR_DUPLICATES,
+        "op9_url_filter": urlfilter.oracle(),
+        "op10_line_dedup": sql.line_dedup(linedup.MIN_WORDS),
+    }
