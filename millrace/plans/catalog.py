@@ -226,7 +226,7 @@ def stream_tumbling_late_drop(spark: SparkSession, root: str) -> DataFrame:
     """Exact late rows on a stream: each row is stamped with its watermark, then late pairs are dropped."""
     events = _event_stream(spark, root).withColumn("arr", F.expr(_ARRIVAL))
     rows = events.select("event_id", "arr", "event_type", "c", F.unix_micros("ts").alias("ts_us"), F.lit(0).alias("clock"))
-    stamped = processors.stamp_watermark_stream(rows, ["arr", "event_id"], "ts_us", 2 * 3600 * 10**6, "clock")
+    stamped = processors.stamp_watermark_stream(rows, ["arr", "event_id"], "ts_us", processors.bounded_out_of_orderness(2 * 3600 * 10**6), "clock")
     done = runner.run_to_parquet(stamped)
     timed = done.select("event_type", "c", F.timestamp_micros("ts_us").cast("timestamp_ntz").alias("ts"), F.timestamp_micros("wm_us").cast("timestamp_ntz").alias("wm"))
     return _sums(et.on_time(et.assign_windows(timed, "ts", et.Tumbling("1 hour"))))

@@ -65,27 +65,37 @@ class KeyedViews(StatefulProcessor):
         pass
 
 
+#: A watermark strategy: state (null at first) and event time give the new state; state gives the watermark or None.
+Advance = Callable[[int | None, int], int]
+Current = Callable[[int | None], int | None]
+
+
+def bounded_out_of_orderness(delay: int) -> tuple[Advance, Current]:
+    """The largest time so far, less the delay; no watermark before the first row."""
+    return (lambda top, t: t if top is None else max(top, t)), (lambda top: None if top is None else top - delay)
+
+
 class StampWatermark(StatefulProcessor):
     """Stamps each row with the watermark that held when it arrived, from one value state per key.
 
     The watermark of a whole stream is one sequence, so the stream is sent to a single key; keep a key per source
-    partition where each has a clock of its own.
+    partition where each has a clock of its own. The strategy may be any pair of functions on a 64-bit state.
     """
 
-    def __init__(self, order: list[str], ts: str, delay_us: int) -> None:
-        self.order, self.ts, self.delay_us = order, ts, delay_us
+    def __init__(self, order: list[str], ts: str, advance: Advance, current: Current) -> None:
+        self.order, self.ts, self.advance, self.current = order, ts, advance, current
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.top = handle.getValueState("top", "v bigint")
+        self.state = handle.getValueState("state", "v bigint")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = pd.concat(list(rows)).sort_values(self.order)
-        top = self.top.get()[0] if self.top.exists() else None
+        state = self.state.get()[0] if self.state.exists() else None
         stamps: list[int | None] = []
         for t in batch[self.ts].tolist():
-            stamps.append(None if top is None else top - self.delay_us)
-            top = t if top is None else max(top, t)
-        self.top.update((top,))
+            stamps.append(self.current(state))
+            state = self.advance(state, t)
+        self.state.update((state,))
         yield batch.assign(wm_us=pd.array(stamps, dtype="Int64"))
 
     def close(self) -> None:
@@ -145,11 +155,11 @@ def keyed_views_stream(stream: DataFrame, key: str, order: str, value: str) -> D
     )
 
 
-def stamp_watermark_stream(stream: DataFrame, order: list[str], ts_us: str, delay_us: int, clock: str) -> DataFrame:
+def stamp_watermark_stream(stream: DataFrame, order: list[str], ts_us: str, strategy: tuple[Advance, Current], clock: str) -> DataFrame:
     """Adds `wm_us`, the watermark in microseconds that held before each row of the same clock."""
     schema = StructType([*stream.schema.fields, *StructType.fromDDL("wm_us bigint").fields])
     return stream.groupBy(clock).transformWithStateInPandas(
-        statefulProcessor=StampWatermark(order, ts_us, delay_us), outputStructType=schema, outputMode="append", timeMode="none"
+        statefulProcessor=StampWatermark(order, ts_us, *strategy), outputStructType=schema, outputMode="append", timeMode="none"
     )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.session import shared_dir
 from millrace.sources.custom import add_source
-from millrace.streaming import runner, sinks
+from millrace.streaming import processors, runner, sinks
 
 
 def test_custom_source_batch_and_stream(spark):
@@ -80,3 +80,21 @@ def test_flush_closes_the_last_window(spark):
     flushed = runner.with_flush(stream, "ts").withWatermark("ts", "1 hour")
     counts = flushed.groupBy(F.window("ts", "1 hour"), "k").count()
     assert [(r.k, r["count"]) for r in runner.run_to_parquet(counts).collect()] == [("a", 1)]
+
+
+def test_own_watermark_strategy(spark):
+    files = shared_dir(spark, "files")
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate([5, 3, 9, 7])], "ord bigint, t bigint, clock int").write.parquet(files)
+    runner.enable_state_store(spark)
+    stream = spark.readStream.schema("ord bigint, t bigint, clock int").parquet(files)
+    last_seen = (lambda state, t: t), (lambda state: -1 if state is None else state)
+    out = runner.run_to_parquet(processors.stamp_watermark_stream(stream, ["ord"], "t", last_seen, "clock"))
+    assert [r.wm_us for r in out.orderBy("ord").collect()] == [-1, 5, 3, 9]
+
+
+def test_for_each_reaches_every_row(spark, tmp_path):
+    def touch(row):
+        (tmp_path / str(row.id)).touch()
+
+    sinks.for_each(spark.range(5), touch)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0", "1", "2", "3", "4"]
