@@ -195,26 +195,37 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done()
 
 
-def _confirmed(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links within the groups (family, qb, ab) of rows (node, comp, q)."""
-    full = members.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    return full.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_groups, "a bigint, b bigint")
+def _stars(bands: DataFrame) -> DataFrame:
+    """Links (a, b) that join every bucket: each member to the bucket's smallest node.
 
+    A node with several such links keeps the one to the smallest and joins the others to that one, which leaves about one
+    link for each node however large its family is. A node has at most BANDS links, so its list is bounded.
+    """
+    least = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
+    stars = bands.join(cut(least, "least"), "key").filter("node <> a").select("a", F.col("node").alias("b"))
+    own = stars.groupBy("b").agg(F.min("a").alias("m"), F.collect_set("a").alias("all"))
+    links = own.select(F.col("m").alias("a"), F.explode(F.concat("all", F.array("b"))).alias("b"))
+    return links.filter("a <> b").distinct()
+
+
+def _confirmed(groups: DataFrame) -> DataFrame:
+    """Links within the groups (family, qb, ab) of rows (node, comp, q, text)."""
+    return groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_groups, "a bigint, b bigint")
 
-def _first_round(families: DataFrame) -> DataFrame:
+
+def _first_round(members: DataFrame) -> DataFrame:
     """Groups of up to about BLOCK members, with the family's pivots in each."""
     count = F.ceil(F.col("n") / BLOCK).cast("int")
-    spread = F.xxhash64("node")
-    own = families.select("family", F.lit(0).alias("qb"), F.pmod(spread, count).cast("int").alias("ab"), "node")
-    pivots = families.filter((F.col("n") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(1)), "n") < PIVOTS))
-    pivots = pivots.select("family", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), "node")
-    rows = own.unionByName(pivots).distinct()
-    return rows.select(*_GROUP, "node", F.col("node").alias("comp"), F.lit(True).alias("q"))
+    rest = ["node", F.col("node").alias("comp"), F.lit(True).alias("q"), "text"]
+    own = members.select("family", F.lit(0).alias("qb"), F.pmod(F.xxhash64("node"), count).cast("int").alias("ab"), *rest)
+    pivots = members.filter((F.col("n") > BLOCK) & (F.pmod(F.xxhash64("node", F.lit(1)), "n") < PIVOTS))
+    return own.unionByName(pivots.select("family", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), *rest))
 
 
-def _second_round(families: DataFrame, labels: DataFrame) -> DataFrame:
+def _second_round(members: DataFrame, labels: DataFrame) -> DataFrame:
     """In families of several groups: blocks of what lies outside the largest component against blocks of all."""
-    large = cut(families.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("comp")), "large")
+    large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("comp"), "text")
+    large = cut(large, "large")
     sizes = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("family").agg(
         F.max_by("comp", F.struct("n", "comp")).alias("top"),
@@ -224,10 +235,10 @@ def _second_round(families: DataFrame, labels: DataFrame) -> DataFrame:
     placed = large.join(cut(top, "top"), "family")
     spread = F.xxhash64("node", F.lit(2))
     every = placed.filter("nq > 0").select(
-        "family", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(spread, "na").cast("int").alias("ab"), "node", "comp", F.lit(False).alias("q")
+        "family", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(spread, "na").cast("int").alias("ab"), "node", "comp", F.lit(False).alias("q"), "text"
     )
     queries = placed.filter("comp <> top").select(
-        "family", F.pmod(spread, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ab"), "node", "comp", F.lit(True).alias("q")
+        "family", F.pmod(spread, "nq").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ab"), "node", "comp", F.lit(True).alias("q"), "text"
     )
     return every.unionByName(queries)
 
@@ -240,18 +251,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(filled.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
     placed = filled.join(classes, ["h1", "h2"])
     bands = cut(placed.filter("doc_id = node").select("node", F.explode("bands").alias("key")), "bands")
-    least = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
-    stars = bands.join(cut(least, "least"), "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     # a document whose rows have different texts is a member of several classes and links them
     own = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("a", "b")
     own = cut(own, "own")
-    families = components(stars).withColumnRenamed("label", "family")
+    families = components(_stars(bands)).withColumnRenamed("label", "family")
     sizes = cut(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    families = cut(families.join(sizes, "family"), "families")
-    first = cut(_confirmed(_first_round(families), texts).unionByName(own), "links")
+    families = families.join(sizes, "family")
+    members = cut(texts.join(families.hint("merge"), F.col("doc_id") == F.col("node")).select("family", "n", "node", "text"), "members")
+    first = cut(_confirmed(_first_round(members)).unionByName(own), "links")
     labels = components(first)
-    if families.filter(F.col("n") > BLOCK).limit(1).count():
-        more = cut(_confirmed(_second_round(families, labels), texts), "links")
+    if sizes.filter(F.col("n") > BLOCK).limit(1).count():
+        more = cut(_confirmed(_second_round(members, labels)), "links")
         if more.limit(1).count():
             labels = components(first.unionByName(more))
     named = cut(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component_id")), "named")
