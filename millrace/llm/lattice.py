@@ -28,6 +28,7 @@ from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -44,9 +45,9 @@ ROUNDS = 2
 DISCOUNT = 0.75
 #: Pseudo-counts that keep every piece possible, as a share of the words.
 PRIOR = 0.01
-TOP = 1 << 18
+TOP = 1 << 17
 MAX_PARTS = 8
-SLOT_BITS = 21
+SLOT_BITS = 20
 #: Longer words are worked on one at a time.
 LONG = 48
 MARK = "▁"
@@ -318,6 +319,24 @@ def _parts(docs: DataFrame, slots: _Slots, ends: list[float], end_known: bool) -
     return docs.mapInArrow(run, ddl)
 
 
+def _most_frequent(scored: DataFrame) -> pd.DataFrame:
+    """At most TOP of the most frequent words, the most frequent first.
+
+    A histogram over the counts' logarithms, of a few hundred rows, gives the least count to take; only words with that
+    count or more go to the driver.
+    """
+    step = F.floor(F.log2("c") * 32)
+    steps = scored.filter("c > 0").groupBy(step.alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()
+    total, least = 0, None
+    for r in steps:
+        total += r["n"]
+        if total > TOP:
+            break
+        least = r["k"]
+    held = scored.filter(F.lit(False)) if least is None else scored.filter(step >= least)
+    return held.toPandas().sort_values(["c", "h"], ascending=[False, True])
+
+
 def score_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     path = path or public_tokenizers.path(VOCABULARY)
@@ -347,7 +366,7 @@ def score_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id"
         logp = _fit(words, path, logp)
     scored = cut(_scored(words, path, logp, tokens, distinct, n, v), "scored")
     s = [f"s{k}" for k in range(parts)]
-    most = scored.orderBy(F.desc("c"), "h").limit(TOP).toPandas()
+    most = _most_frequent(scored)
     values = np.column_stack([(most["c"] > 0).to_numpy(float), most["base"].to_numpy(float), most[s].to_numpy(float)])
     slots = _Slots(most["h"].to_numpy(np.int64).view(np.uint64), values)
     with np.errstate(divide="ignore"):
