@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm.labelled_urls import LABELLED
+
 MAX_LABELLED = 500
 GRAM = 3
 #: Buckets are the first three hex digits of the n-gram's MD5.
@@ -23,7 +25,7 @@ BUCKETS = 4096
 EPOCHS = 60
 RATE = 0.05
 SHRINK = 0.001
-#: A url is blocked from this logit on (a probability of 0.7).
+#: A url is blocked above this logit (a probability of 0.7); no other limit makes fewer errors on HELD_OUT.
 LIMIT = 0.847
 
 Rule = tuple[str, str]
@@ -37,42 +39,6 @@ RULES: list[Rule] = [
     ("com/de/", "block"),
 ]
 
-#: A small labelled table: 1 is to be blocked.
-LABELLED: list[tuple[str, int]] = [
-    ("https://news.daily.example/politics/2021/vote", 0),
-    ("https://www.university.example/courses/algebra", 0),
-    ("https://docs.project.example/guide/install.html", 0),
-    ("https://library.city.example/catalogue/history", 0),
-    ("https://museum.example/en/exhibitions", 0),
-    ("https://journal.science.example/articles/1842", 0),
-    ("https://recipes.example/bread/sourdough", 0),
-    ("https://weather.example/en/forecast", 0),
-    ("https://blog.garden.example/en/roses", 0),
-    ("https://wiki.example/fr/geographie", 0),
-    ("https://wiki.example/de/geschichte", 0),
-    ("https://wiki.example/es/ciencia", 0),
-    ("http://forum.cycling.example/en/thread/55", 0),
-    ("https://m.travel.example/en/lisbon", 0),
-    ("https://shop.books.example/en/novels?page=2", 0),
-    ("https://health.example/en/sleep", 0),
-    ("http://casino-bonus.example/slots/free-spins", 1),
-    ("http://best-poker-casino.example/jackpot", 1),
-    ("http://xxx-videos.example/adult/porn", 1),
-    ("http://free-porn-tube.example/xxx", 1),
-    ("http://warez-crack.example/keygen/download.exe", 1),
-    ("http://torrent-warez.example/crack/serial", 1),
-    ("http://cheap-pills-viagra.example/buy", 1),
-    ("http://viagra-pharmacy.example/pills/order", 1),
-    ("http://hot-dating-sexy.example/girls", 1),
-    ("http://sexy-cams.example/live/xxx", 1),
-    ("http://win-free-iphone.example/claim/prize", 1),
-    ("http://crypto-doubler-scam.example/bonus", 1),
-    ("http://login-verify-bank.example/phish/account", 1),
-    ("http://payday-loan-fast.example/apply-now", 1),
-    ("http://replica-watches-cheap.example/rolex", 1),
-    ("http://spam-clickbait.example/clicks/win", 1),
-]
-
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -146,14 +112,19 @@ def train(labelled: DataFrame) -> tuple[float, list[float]]:
     return bias, weights
 
 
+def logit_of(host: Column, path: Column, bias: float, weights: Sequence[float]) -> Column:
+    """The model's logit."""
+    table = F.array(*[F.lit(w) for w in weights]) if any(weights) else F.array(F.lit(0.0))
+    return F.aggregate(buckets(host, path), F.lit(bias), lambda s, b: s + F.coalesce(F.get(table, b), F.lit(0.0)))
+
+
 def judge(pages: DataFrame, labelled: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule, verdict for each row: the rule's verdict, else block where the model's logit is above LIMIT."""
     bias, weights = train(labelled)
     host, path = host_path(F.col("url"))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     parts = base.select("page_id", host.alias("host"), path.alias("path"))
-    table = F.array(*[F.lit(w) for w in weights]) if any(weights) else F.array(F.lit(0.0))
-    logit = F.aggregate(buckets(F.col("host"), F.col("path")), F.lit(bias), lambda s, b: s + F.coalesce(F.get(table, b), F.lit(0.0)))
+    logit = logit_of(F.col("host"), F.col("path"), bias, weights)
     hit = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(logit > LIMIT, F.lit("block")).otherwise(F.lit("allow"))
     return parts.select("page_id", "host", "path", hit["rule"].alias("rule"), F.when(hit.isNotNull(), hit["verdict"]).otherwise(own).alias("verdict"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import urlfilter
+from millrace.llm import labelled_urls, urlfilter
 
 
 def _judge(spark, urls, **more):
@@ -51,3 +51,24 @@ def test_plan_has_no_python(spark):
     df = spark.createDataFrame([(1, "http://a.b/c")], "page_id bigint, url string")
     plan = urlfilter.judge(df, urlfilter.labelled_table(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_model_blocks_hosts_that_no_rule_fits(spark):
+    bad = ["http://m.lucky-casino.example.com/en/12", "https://free-bingo-bets.example.net/fr/7/", "http://www.spam-blast.example.com/es/9.html", "https://cheap-pills-shop.example.net/en/3?page=2&ref=x"]
+    good = ["http://m.tiontion.example.net/en/12", "https://ththan.example.net/fr/7/", "http://www.orchard.example.com/es/9.html", "https://harbour.example.net/en/3?page=2&ref=x"]
+    got = _judge(spark, bad + good)
+    assert [rule for _, _, rule, _ in got] == [None] * 8
+    assert [verdict for *_, verdict in got] == ["block"] * 4 + ["allow"] * 4
+
+
+def test_limit_is_set_on_held_out_urls(spark):
+    hosts = [{u.split("/")[2] for u, _ in rows} for rows in (urlfilter.LABELLED, labelled_urls.HELD_OUT)]
+    assert not hosts[0] & hosts[1]
+    bias, weights = urlfilter.train(urlfilter.labelled_table(spark))
+    parts = spark.createDataFrame(labelled_urls.HELD_OUT, "url string, label int").select("label", *(c.alias(n) for c, n in zip(urlfilter.host_path(F.col("url")), ("host", "path"), strict=True)))
+    rows = parts.select("label", urlfilter.logit_of(F.col("host"), F.col("path"), bias, weights).alias("z")).collect()
+
+    def errors(limit):
+        return sum((r.z > limit) != bool(r.label) for r in rows)
+
+    assert errors(urlfilter.LIMIT) == min(errors(r.z) for r in rows) <= 6
