@@ -3,7 +3,7 @@
 Learning counts character trigrams (letters lower-cased, everything else a space, centred on a letter) in BINS hashed
 bins for each language, over all training documents. A word's likelihood in a language is the product of its trigrams'.
 For each document, EM estimates the share of each language. The set of languages is chosen by penalised likelihood:
-from the MAX_SET largest shares, the smallest is dropped again and again, the shares are fitted anew, and the set with
+from all languages down to one, the smallest share is dropped again and again, the shares are fitted anew, and the set with
 the best log likelihood - PENALTY * (size - 1) * log(words) wins. The prediction is the language with the largest share.
 
 Null texts and texts without a letter are `und` with score 0. Rows are judged each. Without training rows all is `und`.
@@ -25,7 +25,6 @@ from millrace.llm.frames import held_out, slices
 BINS = 1 << 16
 SMOOTH = 0.5
 MAX_LANGUAGES = 64
-MAX_SET = 3
 PENALTY = 2.0
 STEPS, AGAIN = 6, 3
 FOLDS, FOLD = 4, 2
@@ -108,7 +107,7 @@ def infer(bins: np.ndarray, new: np.ndarray, first: np.ndarray, model: np.ndarra
     doc, at = np.repeat(np.arange(full.size), sizes), first[full]
     shares, _ = _fit(lik, doc, at, np.full((full.size, langs), 1 / langs), STEPS)
     best, best_value = np.zeros_like(shares), np.full(full.size, -np.inf)
-    for size in range(min(MAX_SET, langs), 0, -1):
+    for size in range(langs, 0, -1):
         order = np.argsort(-shares, axis=1, kind="stable")
         kept = np.zeros_like(shares)
         np.put_along_axis(kept, order[:, :size], 1.0, axis=1)

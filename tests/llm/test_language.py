@@ -28,6 +28,18 @@ def test_em_matches_brute_force():
     assert np.isclose(language.infer(bins, new, first, model).sum(), 1)
 
 
+def test_four_languages_of_which_two_are_close():
+    r = np.random.default_rng(1)
+    p = r.dirichlet(np.full(300, 0.3), 4)
+    p[3] = 0.7 * p[2] + 0.3 * p[3]
+    counts = np.array([260, 300, 280, 160])
+    lang = np.repeat(np.arange(4), counts)
+    bins = np.concatenate([r.choice(300, 3, p=p[k]) for k in lang])
+    got = language.infer(bins, np.arange(0, bins.size, 3), np.array([0, lang.size]), np.log(p + 1e-9))[0]
+    assert got.argmax() == 1
+    assert np.abs(got - counts / 1000).max() < 0.05
+
+
 def test_mixture_and_edges(spark):
     train = [(i, t, g) for i in range(0, 400) for t, g in [("the house and the garden with green trees", "en") if i % 2 else ("das haus und der garten mit schönen bäumen", "de")]]
     more = [(1000, "the house and the garden with green trees das haus und der garten mit schönen bäumen", "en"), (1001, None, "en"), (1002, "123 !!", "de"), (1003, "", None), (None, "das haus", None)]
