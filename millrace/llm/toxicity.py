@@ -1,9 +1,13 @@
 """Toxicity of texts behind obfuscation: restore by a noisy channel, then score the restored words.
 
-Restoring. Suspicious stretches are words with look-alike signs before letters (l0ser, $cum), with a letter three times
-in a row (stuuupid), or three and more single characters apart (i d i o t, i.d.i.o.t). Each becomes a lattice: a sign may
-be itself or a letter that it looks like, a repeated letter or a separator may be dropped, each at a channel cost. Viterbi
-decoding under a character trigram model, trained on all training texts, picks the most likely original.
+Restoring. Suspicious stretches are words with look-alike signs (l0ser, hat3, a$$), with a doubled letter (stuupid), or
+three and more single characters apart (i d i o t, i.d.i.o.t). Each becomes a lattice: a sign may be itself or a letter
+that it looks like, a repeated letter or a separator may be dropped, each at a channel cost. Viterbi decoding under a
+character trigram model, trained on all training texts, picks the most likely original. A stretch that decoding changes
+counts as restored, and its raw words give features too, so that a wrong reading hides nothing.
+
+Groups (st up id). When scoring, neighbouring fragments that together spell a kept feature, look-alike signs and repeated
+letters included, are decoded as well; what decoding joins gives features.
 
 Scoring. Features are the restored words and their beginnings of 4 and 5 letters. Document counts by label over at most
 MAX_LABELLED labelled rows of each label (those with the smallest hash of the id) give each feature its smoothed share of
@@ -17,8 +21,9 @@ null labels and null ids are left out. Without labels every text has the base sc
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -129,11 +134,15 @@ def suspicious(column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]
     ends = np.flatnonzero(word & ~np.append(word[1:] & ~edge[1 : data.size], False)) + 1
     if not starts.size:
         return data, out
-    signs = np.flatnonzero(_SIGN[data[:-1]] & _LETTER[data[1:]])
-    same = data[1:] == data[:-1]
-    triple = np.flatnonzero(same[1:] & same[:-1] & _LETTER[data[2:]] & (data[2:] < 128))
-    dotted = np.flatnonzero(_LETTER[data[:-3]] & np.isin(data[1:-2], [46, 45, 95, 42]) & _LETTER[data[2:-1]] & np.isin(data[3:], [46, 45, 95, 42])) if data.size > 3 else triple[:0]
-    words = set((np.searchsorted(starts, np.concatenate([signs, triple, dotted]), "right") - 1).tolist())
+    signs = np.flatnonzero(_SIGN[data])
+    inner = ~edge[1 : data.size]  # a byte and the next are of one row
+    double = np.flatnonzero((data[1:] == data[:-1]) & _LETTER[data[1:]] & (data[1:] < 128) & inner)
+    wide = dotted = double[:0]
+    if data.size > 3:
+        within = inner[:-2] & inner[1:-1] & inner[2:]
+        wide = np.flatnonzero((data[:-3] >= 192) & (data[:-3] == data[2:-1]) & (data[1:-2] == data[3:]) & within)
+        dotted = np.flatnonzero(_LETTER[data[:-3]] & np.isin(data[1:-2], [46, 45, 95, 42]) & _LETTER[data[2:-1]] & np.isin(data[3:], [46, 45, 95, 42]) & within)
+    words = set((np.searchsorted(starts, np.concatenate([signs, double, wide, dotted]), "right") - 1).tolist())
     ranges = [(int(starts[w]), int(ends[w])) for w in words if w >= 0]
     single = (ends - starts == 1) & (_LETTER[data[starts]] | _SIGN[data[starts]])
     doc = np.searchsorted(offsets, starts, "right") - 1
@@ -143,29 +152,74 @@ def suspicious(column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]
         if b - a >= 2:
             ranges.append((int(starts[a]), int(ends[b])))
     last = -1
-    for a, b in sorted(ranges):
+    for a, b in sorted(ranges, key=lambda r: (r[0], -r[1])):
         if a >= last:
             out[int(np.searchsorted(offsets, a, "right")) - 1].append((a, b))
             last = b
     return data, out
 
 
-def restore(column: pa.Array, decoder: Decoder) -> list[str]:
-    """Lower-cased texts with suspicious stretches restored."""
+def readings(column: pa.Array, decoder: Decoder) -> list[tuple[str, list[str]]]:
+    """Lower-cased texts with suspicious stretches restored, and the raw stretches that this changed."""
     data, found = suspicious(column)
     _, offsets = utf8(column)
     raw = data.tobytes()
     out = []
     for k, ranges in enumerate(found):
-        at, parts = int(offsets[k]), []
+        at, parts, changed = int(offsets[k]), [], []
         for a, b in ranges:
-            parts += [raw[at:a], decoder.decode(raw[a:b].decode()).encode()]
-            at = b
+            stretch = raw[a:b].decode()
+            best = decoder.decode(stretch)
+            if best != stretch:
+                parts += [raw[at:a], best.encode()]
+                at = b
+                changed.append(stretch.lower())
         parts.append(raw[at : int(offsets[k + 1])])
-        out.append(b"".join(parts).decode().lower())
+        out.append((b"".join(parts).decode().lower(), changed))
     return out
 
 
+def restore(column: pa.Array, decoder: Decoder) -> list[str]:
+    """Lower-cased texts with suspicious stretches restored."""
+    return [text for text, _ in readings(column, decoder)]
+
+
+def spelt(features: Iterable[str]) -> re.Pattern | None:
+    """Finds, from a word's start on, what spells a feature with separators, look-alike signs and repeated letters."""
+    trie: dict = {}
+    for f in features:
+        word = f.rstrip("~")
+        if len(word) > 1 and word.isalpha():
+            node = trie
+            for c in word:
+                node = node.setdefault(c, {})
+            node["~" if f.endswith("~") else ""] = {}
+    if not trie:
+        return None
+
+    def tail(node: dict) -> str:
+        ways = []
+        for c, then in sorted(node.items(), reverse=True):  # longer words first
+            if c == "~":
+                ways.append(r"\w*")
+            elif c == "":
+                ways.append(r"(?!\w)")
+            else:
+                like = re.escape(c + "".join(s for s, letters in LOOKS.items() if c in letters))
+                ways.append(f"[{like}]+" + ("" if then.keys() <= {"", "~"} else f"[{re.escape(SEPARATORS)}]?") + tail(then))
+        return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
+
+    return re.compile(r"(?<!\w)(?=(" + tail(trie) + "))")
+
+
+def joined(text: str, pattern: re.Pattern | None, decoder: Decoder) -> list[str]:
+    """Words of the decoded groups of fragments in a lower-cased text."""
+    if pattern is None:
+        return []
+    groups = {g for g in pattern.findall(text) if any(c in SEPARATORS for c in g)}
+    return [w for g in sorted(groups) for w in decoder.decode(g).split()]
+
+
 def word_features(word: str) -> list[str]:
     w = word.strip(EDGES)
     if not w or len(w) > 64:
@@ -185,7 +239,7 @@ def _marked(docs: DataFrame, mark: dict[int, int], model: np.ndarray, fn, ddl: s
         decoder = Decoder(model)
         for batch in batches:
             for part in slices(batch.filter(pa.compute.is_in(batch.column("doc_id"), ids))):
-                yield fn(part.column("doc_id").to_pylist(), [text_features(t) for t in restore(part.column("text"), decoder)])
+                yield fn(part.column("doc_id").to_pylist(), [text_features(" ".join([t, *raw])) for t, raw in readings(part.column("text"), decoder)])
 
     return docs.mapInArrow(run, ddl)
 
@@ -243,17 +297,18 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> dict[str, fl
 def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: list[str]) -> DataFrame:
     """Adds score and n_restored to the columns to keep; `docs` has these and text."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    pattern = spelt(shares)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
         known: dict[str, tuple[str, ...]] = {}
         for batch in batches:
             for part in slices(batch):
-                _, found = suspicious(part.column("text"))
-                out = []
-                for text in restore(part.column("text"), decoder):
+                out, restored = [], []
+                for text, raw in readings(part.column("text"), decoder):
                     clean, hit = 1 - BASE, set()
-                    for w in set(text.split()):
+                    restored.append(len(raw))
+                    for w in {*text.split(), *" ".join(raw).split(), *joined(text, pattern, decoder)}:
                         own = known.get(w)
                         if own is None:
                             if len(known) > 500_000:
@@ -265,7 +320,7 @@ def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: li
                         clean *= 1 - shares[f]
                     out.append(1 - clean)
                 columns = [part.column(c) for c in keep]
-                yield pa.record_batch([*columns, pa.array(out, pa.float64()), pa.array([len(x) for x in found], pa.int32())], [*keep, "score", "n_restored"])
+                yield pa.record_batch([*columns, pa.array(out, pa.float64()), pa.array(restored, pa.int32())], [*keep, "score", "n_restored"])
 
     ddl = ", ".join(f"{c} {kinds[c]}" for c in keep)
     return docs.mapInArrow(run, f"{ddl}, score double, n_restored int")

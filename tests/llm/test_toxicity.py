@@ -26,6 +26,26 @@ def test_restoring(model, raw, restored):
         assert "idiot" in got[0]
 
 
+@pytest.mark.parametrize(("raw", "restored"), [("idiiot", "idiot"), ("moroon", "moron"), ("1 d 1 o t", "idiot"), ("tra$h", "trash"), ("foo", None)])
+def test_doubled_letters_and_any_sign(model, raw, restored):
+    decoder = toxicity.Decoder(model)
+    text, changed = toxicity.readings(pa.array([raw]), decoder)[0]
+    assert restored is None or text == restored
+    assert changed == ([raw] if text != raw else [])
+    assert toxicity.suspicious(pa.array(["foot", "tin"]))[1][1] == []  # the neighbour's last letter is not a double
+
+
+def test_obfuscated_texts_score_like_plain_ones(spark, model):
+    shares = {"stupid": 0.9, "stup~": 0.3, "idiot": 0.9, "moron": 0.8, "you": 0.01}
+    plain = ["you stupid man", "you idiot man", "the moron"]
+    hidden = ["you stuupid man", "you st up id man", "you st uup 1d man", "you idiiot man", "you idi ot man", "the mo ron", "the m0r0n"]
+    rows = spark.createDataFrame(list(enumerate([*plain, *hidden, "the good people of the town"])), "doc_id bigint, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(rows, model, shares, ["doc_id"]).collect()}
+    want = [got[k] for k in (0, 0, 0, 1, 1, 2, 2)]
+    assert all(got[3 + k] >= w - 1e-9 for k, w in enumerate(want))
+    assert got[10] == pytest.approx(toxicity.BASE)
+
+
 def test_viterbi_matches_enumeration(model):
     d = toxicity.Decoder(model)
 
