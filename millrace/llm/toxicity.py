@@ -9,7 +9,8 @@ counts as restored, and its raw words give features too, so that a wrong reading
 Groups (st up id). When scoring, neighbouring fragments that together spell a kept feature, look-alike signs and repeated
 letters included, are decoded as well; what decoding joins gives features.
 
-Scoring. Features are the restored words and their beginnings of 4 and 5 letters. Document counts by label over at most
+Scoring. Features are the restored words, the runs of letters in them (you,idiot or idiot/moron), and the beginnings of 4
+and 5 letters of both; words over LONG characters are features by their hash. Document counts by label over at most
 MAX_LABELLED labelled rows of each label (those with the smallest hash of the id) give each feature its smoothed share of
 toxic documents; features with a share of at least STRONG are kept, at most MAX_FEATURES. Copies of one toxic document
 make its harmless words look toxic, so the kept features are fitted together: a noisy-or whose credit for each toxic
@@ -21,6 +22,7 @@ null labels and null ids are left out. Without labels every text has the base sc
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -43,6 +45,8 @@ LEAST = 3
 PRIOR_DOCS, STRONG, BASE = 10, 0.35, 0.02
 STEPS, WEAKEST = 30, 0.1
 EDGES = ".,;:!?\"'()[]{}<>*_~-"
+LONG = 64
+RUN = re.compile(r"[^\W\d_]+")
 
 #: Signs and the letters they look like, and characters that may stand between spread letters.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
@@ -222,9 +226,11 @@ def joined(text: str, pattern: re.Pattern | None, decoder: Decoder) -> list[str]
 
 def word_features(word: str) -> list[str]:
     w = word.strip(EDGES)
-    if not w or len(w) > 64:
-        return []
-    return [w] + ([w[:5] + "~"] if len(w) > 5 else []) + ([w[:4] + "~"] if len(w) > 4 else [])
+    out = []
+    for x in [w] if w.isalpha() else dict.fromkeys([w, *RUN.findall(w)]):
+        if x:
+            out += [x if len(x) <= LONG else "#" + hashlib.md5(x.encode()).hexdigest()] + ([x[:5] + "~"] if len(x) > 5 else []) + ([x[:4] + "~"] if len(x) > 4 else [])
+    return out
 
 
 def text_features(text: str) -> set[str]:
@@ -313,7 +319,9 @@ def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: li
                         if own is None:
                             if len(known) > 500_000:
                                 known.clear()
-                            own = known[w] = tuple(f for f in word_features(w) if f in shares)
+                            own = tuple(f for f in word_features(w) if f in shares)
+                            if len(w) <= LONG:
+                                known[w] = own
                         if own:
                             hit.update(own)
                     for f in sorted(hit):

@@ -46,6 +46,14 @@ def test_obfuscated_texts_score_like_plain_ones(spark, model):
     assert got[10] == pytest.approx(toxicity.BASE)
 
 
+def test_words_glued_by_punctuation_and_long_words(spark, model):
+    rows = [(0, "you,idiot,you"), (1, "idiot/moron"), (2, "good,people," * 20 + "idiot" + ",of,the,town" * 20), (3, "x" * 70 + "y")]
+    shares = {"idiot": 0.9, toxicity.word_features("x" * 70 + "y")[0]: 0.9}
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id bigint, text string"), model, shares, ["doc_id"]).collect()
+    assert all(r.score > 0.9 for r in got)
+    assert len(toxicity.word_features("x" * 70)[0]) < toxicity.LONG
+
+
 def test_viterbi_matches_enumeration(model):
     d = toxicity.Decoder(model)
 
