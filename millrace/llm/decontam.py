@@ -8,7 +8,8 @@ again, until no match of MATCH words is left. Coverage is the marked share of th
 order, a passage whose sentences were moved is still covered. A document is contaminated from THRESHOLD on.
 
 Items with fewer than MATCH words match as a whole. Items without words match nothing. Null and empty texts have coverage
-0. Rows that repeat an id are judged each. Empty tables: no documents, no rows; no benchmark, nothing is contaminated.
+0. Rows that repeat an id are judged each. An item with a null id counts like any other; where it is the best item, the
+result's item_id is null, and among equal coverages an item with an id comes first. Empty tables: no documents, no rows; no benchmark, nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def tile(doc: list[int], item: list[int], starts: list[tuple[int, int]], least:
 class Block:
     """Seeds of some items, ready to be looked up."""
 
-    def __init__(self, items: list[tuple[int, str]], match: int) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], match: int) -> None:
         self.ids, self.words, seeds = [], [], {}
         w = words_of(pa.array([t for _, t in items], pa.string()))
         for k, (item, _) in enumerate(items):
@@ -86,7 +87,7 @@ class Block:
             bits[np.fromiter(table, np.uint64, len(table)) & np.uint64((1 << _BITS) - 1)] = True
             self.maybe[size] = bits
 
-    def cover(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[float, int]]]:
+    def cover(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, list[tuple[float, int | None]]]:
         """By document of a slice: (coverage, item) of every item that shares a seed with it."""
         pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for size, table in self.seeds.items():
@@ -98,7 +99,7 @@ class Block:
                     if at + size <= first[doc + 1]:
                         for k, place in hits:
                             pairs.setdefault((doc, k), []).append((at - int(first[doc]), place))
-        out: dict[int, list[tuple[float, int]]] = {}
+        out: dict[int, list[tuple[float, int | None]]] = {}
         for (doc, k), starts in pairs.items():
             words = hashes[first[doc] : first[doc + 1]].tolist()
             marks = tile(words, self.words[k], starts, min(MATCH, len(self.words[k])))
@@ -106,6 +107,11 @@ class Block:
         return out
 
 
+def _rank(hit: tuple[float, int | None]) -> tuple[float, bool, int]:
+    """Sorts (coverage, item): the larger coverage first, then the smaller id, a null id last."""
+    return -hit[0], hit[1] is None, hit[1] or 0
+
+
 def _apply(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,8 +121,8 @@ def _apply(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
                 if found:
                     item, cover, n = (part.column(c).to_pylist() for c in ("item_id", "coverage", "n_items"))
                     for doc, hits in found.items():
-                        best = max(hits, key=lambda h: (h[0], -h[1]))
-                        if best[0] > cover[doc] or (best[0] == cover[doc] and item[doc] is not None and best[1] < item[doc]):
+                        best = min(hits, key=_rank)
+                        if best[0] > 0 and _rank(best) < _rank((cover[doc], item[doc])):
                             cover[doc], item[doc] = best
                         n[doc] += sum(h[0] >= threshold for h in hits)
                     new = [pa.array(item, pa.int64()), pa.array(cover, pa.float64()), pa.array(n, pa.int32())]
@@ -128,7 +134,7 @@ def _apply(rows: DataFrame, block: Block, threshold: float) -> DataFrame:
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", match: int = MATCH, block_words: int = BLOCK_WORDS) -> Iterator[Block]:
     """The benchmark in blocks of about `block_words` words, one at a time in the driver."""
-    items = id_text(benchmark, id_col, text_col).filter("doc_id is not null")
+    items = id_text(benchmark, id_col, text_col)
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     count = -(-total // block_words)
     for k in range(count):

@@ -65,3 +65,9 @@ def test_extra_columns_are_kept(spark):
     bench = spark.createDataFrame([(1, "q w e r t")], "item_id bigint, text string")
     got = decontam.overlaps(docs, bench, keep=["k0"]).collect()
     assert [(r.doc_id, r.k0, r.coverage) for r in got] == [(1, "b", 0.0)]
+
+
+def test_items_without_id_contaminate(spark):
+    items = [(None, ITEMS[0][1]), *ITEMS[1:], (None, ITEMS[2][1])]
+    rows = [(1, "x " + ITEMS[0][1]), (2, ITEMS[2][1]), (3, "nothing of it")]
+    assert _result(spark, rows, items) == {1: (None, 1.0, True), 2: (9, 1.0, True), 3: (None, 0.0, False)}
