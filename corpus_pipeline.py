@@ -35,10 +35,24 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates.
+
+    Of rows that repeat a doc_id and have equal shingle sets, the one with the smallest text, lang, source and n_chars
+    stays; with different sets they all stay with their document. Rows without words stay. Rows with a null doc_id link
+    with nothing and all stay, copies too.
+    """
     found = neardup.near_duplicates(docs)
     drop = cut(found.filter("not kept").select("doc_id").distinct(), "dropped")
-    return docs.select(*COLUMNS).join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    left = docs.select(*COLUMNS).join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    if repeated.isEmpty():
+        return left
+    rows = cut(left.join(repeated, "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()), "repeated-rows")
+    sets = neardup.signatures(rows, "row").select(F.col("doc_id").alias("row"), "n_shingles", "h1", "h2")
+    first = F.min(F.struct("text", "lang", "source", "n_chars", "row"))["row"]
+    copies = rows.join(sets, "row").groupBy("doc_id", "h1", "h2", F.when(F.col("n_shingles") == 0, F.col("row")).alias("own"))
+    one = rows.join(copies.agg(first.alias("row")).select("row"), "row", "left_semi").select(*COLUMNS)
+    return left.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(one)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,3 +55,13 @@ def test_empty_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, ROOT).count() == 0
+
+
+def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark):
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, long), (1, long.upper()), (1, long), (1, "quite another text of the same document"), (2, long), (3, "a b c d e f g"), (None, long), (None, long), (4, " "), (4, " ")]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, ROOT)
+    assert got.columns == corpus_pipeline.COLUMNS
+    want = [(1, long.upper()), (1, "quite another text of the same document"), (3, "a b c d e f g"), (None, long), (None, long), (4, " "), (4, " ")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
