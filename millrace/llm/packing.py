@@ -1,17 +1,22 @@
 """Packing documents into token sequences with a grouping genetic algorithm.
 
-Tokens: a document's ids and one end id. Documents longer than a sequence are cut into sequences and a rest. Pieces of
-full length are sequences of their own; the others are dealt to islands of about ISLAND pieces.
-
-An island evolves POPULATION packings. A chromosome is a list of bins. The crossover copies whole well-filled bins of
-one parent into the other, removes the other's bins that hold copies of the same pieces, and puts the displaced pieces
-back by best fit, largest first. Fitness is the mean squared fill. It stops at the lower bound on the number of bins.
-
-Islands migrate through their elite: after each epoch the best packing's bins that are filled up to SLACK settle, and
-the pieces of its other bins move on to the islands of the next epoch, which are fewer, until one island is left.
-An island holds a bounded number of pieces, and the last one holds only what the others could not fill.
-
-Null and empty texts are the end id alone. Rows that repeat an id are packed each. An empty table gives no rows.
+Tokens: a document's ids, as the plain tokenizer gives them (strings of its special tokens become those tokens), and one
+end id. Documents longer than a sequence are cut into sequences and a rest. Pieces of full length are sequences of their
+own; the others are dealt by a hash of their row to blocks of about BLOCK pieces, so copies never meet in one block.
+
+Each block is a packing problem that ISLANDS islands solve apart, from populations of random packings. A chromosome is a
+list of bins. The crossover copies whole well-filled bins of one parent into the other, removes the other's bins that hold
+copies of the same pieces or are not filled, and puts the displaced pieces back by best fit, largest first. Mutation
+dissolves the bins that are not filled and some others and puts their pieces back in the same way. Fewer bins win, then the larger mean squared fill. An epoch
+is GENERATIONS generations at most; after it each island's elite, its best packing, migrates to the next island of the
+block's ring, where it takes the place of the worst. Epochs go on as long as some block above its lower bound got better.
+
+Of a block's best packing the bins that are filled up to SLACK settle. The pieces of all other bins are dealt to the fewer
+blocks of the next round, until one block is left or a round fills less than a part in PROGRESS of its pieces into settled
+bins (pieces that fill no sequence together); then all bins of the round settle. A task holds one block at a time.
+
+Null and empty texts are the end id alone. Rows that repeat an id are packed each. Very long texts give many pieces. Equal
+lengths are interchangeable: which of them shares a sequence is not defined. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,12 +40,18 @@ from millrace.llm.frames import cut, id_text, slices
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
 END = 1
-ISLAND = 4096
-POPULATION = 4
-GENERATIONS = 6
+#: Pieces of a block, and islands that work on it.
+BLOCK = 4096
+ISLANDS = 2
+POPULATION = 6
+GENERATIONS = 24
+#: Least and largest share of a donor's filled bins that a crossover injects, and of filled bins that a mutation leaves.
+GIFT, STAY = (0.3, 0.9), (0.5, 1.0)
 #: Free places up to which a bin counts as filled.
 SLACK = 4
-EPOCHS = 12
+PROGRESS = 8
+#: Tasks of an epoch, at most.
+MOST_TASKS = 4096
 #: Words and chunks remembered by a Python worker.
 REMEMBER = 300_000
 
@@ -56,14 +67,16 @@ class ChunkTokenizer:
 
     The pre-tokenizer never joins characters across white space, so a text's ids are those of its white-space chunks.
     Chunks are normalised and split as the tokenizer does it, and its model encodes each new word once. Texts with
-    U+001C to U+001F, which Python takes for white space and the tokenizer does not, go through the tokenizer itself.
+    U+001C to U+001F, which Python takes for white space and the tokenizer does not, and texts that may hold a special
+    token go through the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder().values()
+        self.special = regex.compile("|".join(regex.escape(t.content) for t in added) or "(?!)", regex.IGNORECASE)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_level = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -85,7 +98,7 @@ class ChunkTokenizer:
         return b"".join([self._word(w) for w in _SPLIT.findall(text)])
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if any(c in text for c in "\x1c\x1d\x1e\x1f") or ("<" in text and self.special.search(text)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks, known = text.split(), self.chunks
         if len(known) >= REMEMBER:
@@ -153,84 +166,191 @@ def best_fit(items: list[int], sizes: list[int], bins: Bins, length: int) -> Bin
     return bins
 
 
-def fitness(bins: Bins, sizes: list[int], length: int) -> float:
-    return sum((sum(sizes[i] for i in b) / length) ** 2 for b in bins) / max(1, len(bins))
+def _fills(bins: Bins, sizes: list[int]) -> list[int]:
+    return [sum([sizes[i] for i in b]) for b in bins]
+
+
+def worth(bins: Bins, sizes: list[int]) -> tuple[int, int]:
+    """Sorts packings of the same pieces, the best first: fewer bins, then the larger sum of squared fills."""
+    return len(bins), -sum(f * f for f in _fills(bins, sizes))
+
+
+def _least(sizes: list[int], length: int) -> int:
+    """No packing has fewer bins."""
+    return max(-(-sum(sizes) // length), sum(2 * s > length for s in sizes))
+
+
+def _repaired(kept: Bins, sizes: list[int], length: int) -> Bins:
+    """The bins to keep, and all other pieces put back by best fit, largest first."""
+    placed = {i for b in kept for i in b}
+    displaced = sorted((i for i in range(len(sizes)) if i not in placed), key=lambda i: -sizes[i])
+    return best_fit(displaced, sizes, [list(b) for b in kept], length)
+
+
+def _filled(bins: Bins, sizes: list[int], length: int) -> Bins:
+    return [b for b, f in zip(bins, _fills(bins, sizes), strict=True) if f >= length - SLACK]
 
 
 def crossover(base: Bins, donor: Bins, sizes: list[int], length: int, chance: random.Random) -> Bins:
-    """Injects some of the donor's well-filled bins into the base and repairs it."""
-    filled = [b for b in donor if sum(sizes[i] for i in b) >= length - SLACK]
-    if not filled:
-        filled = sorted(donor, key=lambda b: -sum(sizes[i] for i in b))[: max(1, len(donor) // 4)]
-    gift = chance.sample(filled, max(1, len(filled) // 2))
+    """Injects some of the donor's well-filled bins into the base. Base bins that hold copies of their pieces, and those
+    that are not filled, lose their pieces, which best fit puts back."""
+    gift = _filled(donor, sizes, length)
+    if not gift:  # then the fullest quarter
+        fills = _fills(donor, sizes)
+        gift = [donor[k] for k in sorted(range(len(donor)), key=lambda k: -fills[k])[: max(1, len(donor) // 4)]]
+    gift = chance.sample(gift, max(1, int(len(gift) * chance.uniform(*GIFT))))
     given = {i for b in gift for i in b}
-    kept, displaced = [list(b) for b in gift], []
-    for b in base:
-        if given.isdisjoint(b):
-            kept.append(list(b))
-        else:
-            displaced += [i for i in b if i not in given]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, kept, length)
+    return _repaired(gift + [b for b in _filled(base, sizes, length) if given.isdisjoint(b)], sizes, length)
+
+
+def mutate(bins: Bins, sizes: list[int], length: int, chance: random.Random) -> Bins:
+    """Dissolves the bins that are not filled and some others; best fit puts their pieces back."""
+    filled = _filled(bins, sizes, length)
+    return _repaired(chance.sample(filled, int(len(filled) * chance.uniform(*STAY))), sizes, length)
+
+
+def _settles(bins: Bins, sizes: list[int], length: int) -> int:
+    return len(_filled(bins, sizes, length))
+
 
+def evolve(sizes: list[int], length: int = LENGTH, seed: int = 0, population: list[Bins] | None = None) -> tuple[list[Bins], int]:
+    """One epoch of an island: its population, the best packing first, and the number of crossovers.
 
-def evolve(sizes: list[int], length: int = LENGTH, seed: int = 0) -> Bins:
-    """The best packing found. Deterministic for given sizes and seed."""
+    Without a population it starts from random ones. It ends early when as few bins as possible are left and all but one
+    are filled. Deterministic for given sizes, population and seed.
+    """
     chance = random.Random(seed)
-    bound = -(-sum(sizes) // length)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    population = [best_fit(order, sizes, [], length)]
-    if len(population[0]) <= bound:
-        return population[0]
-    while len(population) < POPULATION:
-        mixed = sorted(order, key=lambda i: -sizes[i] * chance.uniform(0.8, 1.25))
-        population.append(best_fit(mixed, sizes, [], length))
+    bound, crossovers = _least(sizes, length), 0
+    if not population:
+        every = range(len(sizes))
+        population = [best_fit(chance.sample(every, len(sizes)), sizes, [], length) for _ in range(POPULATION)]
+    ranked = sorted(((worth(b, sizes), k, b) for k, b in enumerate(population)), key=lambda x: x[:2])
     for _ in range(GENERATIONS):
-        population.sort(key=lambda b: (len(b), -fitness(b, sizes, length)))
-        if len(population[0]) <= bound:
-            break
-        a, b = population[0], population[1 + chance.randrange(len(population) - 1)]
-        population = population[: POPULATION // 2] + [crossover(x, y, sizes, length, chance) for x, y in ((a, b), (b, a))]
-    return min(population, key=lambda b: (len(b), -fitness(b, sizes, length)))
-
-
-PACKED = f"{PIECES}, sequence_id bigint, offset bigint, settled boolean"
-
-
-def _epoch(waiting: DataFrame, islands: int, epoch: int, last: bool, length: int) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["doc_id", "piece", "ids_crc32", "length"], kind="stable", na_position="first").reset_index(drop=True)
-        sizes, island = rows["length"].tolist(), int(rows["island"].iloc[0])
-        bins = evolve(sizes, length, island)
-        sequence, offset, settled = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), np.zeros(len(rows), bool)
-        for k, b in enumerate(bins):
-            at = 0
-            for i in b:
-                sequence[i], offset[i] = (epoch << 56) | (island << 24) | k, at
-                at += sizes[i]
-            settled[b] = last or at >= length - SLACK
-        return rows.drop(columns="island").assign(sequence_id=sequence, offset=offset, settled=settled)
-
-    dealt = waiting.withColumn("island", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(epoch)), F.lit(islands)).cast("int"))
-    return dealt.groupBy("island").applyInPandas(run, PACKED)
-
-
-def pack(table: DataFrame, length: int = LENGTH, island: int = ISLAND) -> DataFrame:
-    """Adds sequence_id and offset to pieces."""
-    table = cut(table, "pieces")
-    alone = table.filter(F.col("length") >= length).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
-    out, waiting = alone, table.filter(F.col("length") < length)
-    for epoch in range(1, EPOCHS + 1):
-        count = waiting.count()
-        if not count:
+        children = []
+        for x, y in ((0, 1 + chance.randrange(len(ranked) - 1)), (1 + chance.randrange(len(ranked) - 1), 0)):
+            child = crossover(ranked[x][2], ranked[y][2], sizes, length, chance)
+            children.append(child)
+            crossovers += 1
+        children.append(mutate(ranked[0][2], sizes, length, chance))
+        pool = [b for _, _, b in ranked] + children
+        ranked = sorted(((worth(b, sizes), k, b) for k, b in enumerate(pool)), key=lambda x: x[:2])[:POPULATION]
+        best = ranked[0][2]
+        if len(best) <= bound and _settles(best, sizes, length) >= len(best) - 1:
             break
-        islands = -(-count // island)
-        last = islands == 1 or epoch == EPOCHS
-        done = cut(_epoch(waiting, islands, epoch, last, length), "packed")
-        out = out.unionByName(done.filter("settled").drop("settled"))
+    return [b for _, _, b in ranked], crossovers
+
+
+#: An island's state. `rids` and `sizes` are its block's pieces; a packing has the bin of each piece; the best comes first.
+ISLAND = "block int, island int, rids array<bigint>, sizes array<int>, packings array<array<int>>, bins int, bound int, settles int, squares bigint, crossovers bigint"
+
+
+def _bins(packing: np.ndarray) -> Bins:
+    out: Bins = [[] for _ in range(int(max(packing)) + 1)]
+    for i, k in enumerate(packing):
+        out[int(k)].append(i)
+    return out
+
+
+def _packing(bins: Bins, n: int) -> list[int]:
+    out = [0] * n
+    for k, b in enumerate(bins):
+        for i in b:
+            out[i] = k
+    return out
+
+
+def _epoch(islands: DataFrame, count: int, epoch: int, length: int) -> DataFrame:
+    """Evolves each island (a row) by an epoch; `guest` is the elite that migrates to it, null in the first epoch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                sizes = [int(s) for s in r["sizes"]]
+                population = None
+                if r["guest"] is not None:
+                    population = [_bins(p) for p in r["packings"]][: POPULATION - 1] + [_bins(r["guest"])]
+                population, crossovers = evolve(sizes, length, (int(r["block"]) * ISLANDS + int(r["island"])) * 1009 + epoch, population)
+                bins, squares = worth(population[0], sizes)
+                row = {k: r[k] for k in ("block", "island", "rids", "sizes")}
+                row |= {"packings": [_packing(b, len(sizes)) for b in population], "bins": bins, "bound": _least(sizes, length), "settles": _settles(population[0], sizes, length)}
+                yield pd.DataFrame([row | {"squares": -squares, "crossovers": int(r["crossovers"]) + crossovers}])
+
+    return islands.repartition(max(1, min(count, MOST_TASKS)), "block", "island").mapInPandas(run, ISLAND)
+
+
+def _ring(state: DataFrame) -> DataFrame:
+    """Each island with the elite of the one before it in its block's ring."""
+    elite = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("packings")[0].alias("guest"))
+    return state.join(elite, ["block", "island"])
+
+
+def _solved(waiting: DataFrame, blocks: int, number: int, length: int, report: list[dict] | None) -> DataFrame:
+    """The best island of each block, after as many epochs as make some block better."""
+    dealt = waiting.select(F.pmod(F.xxhash64("rid", F.lit(number)), F.lit(blocks)).cast("int").alias("block"), "rid", F.col("length").cast("int").alias("length"))
+    problems = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("length", "rid"))).alias("p"))
+    none = F.lit(None)
+    state = problems.select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("p.rid").alias("rids"), F.col("p.length").alias("sizes"),
+        none.cast("array<array<int>>").alias("packings"), F.lit(0).cast("bigint").alias("crossovers"), none.cast("array<int>").alias("guest"),
+    )
+    epoch, before = 0, None
+    best = F.min_by(F.struct("rids", "sizes", F.col("packings")[0].alias("packing"), "bins", "bound"), F.struct("bins", -F.col("squares"), "island")).alias("b")
+    while True:
+        state = cut(_epoch(state, blocks * ISLANDS, epoch, length), "islands")
+        per_block = state.groupBy("block").agg(F.min("bins").alias("bins"), F.max("bound").alias("bound"), F.max("settles").alias("settles"), F.sum("crossovers").alias("crossovers"))
+        open_ = F.col("bins") > F.col("bound")
+        sums = per_block.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.sum("settles").alias("settles"), F.sum("crossovers").alias("crossovers"), F.count_if(open_).alias("open")).first()
+        if report is not None:
+            report.append({"round": number, "epoch": epoch, "blocks": blocks, **sums.asDict()})
+        if not sums["open"] or (before is not None and sums["bins"] >= before):
+            return state.groupBy("block").agg(best).select("block", "b.*")
+        before, epoch = sums["bins"], epoch + 1
+        state = _ring(state)
+
+
+PLACED = "rid bigint, sequence_id bigint, offset bigint, settled boolean"
+
+
+def _placed(solved: DataFrame, number: int, length: int) -> DataFrame:
+    """A row for each piece: its sequence, its place there, and whether that sequence is filled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.to_dict("records"):
+                bin_of, sizes = np.asarray(r["packing"], np.int64), np.asarray(r["sizes"], np.int64)
+                order = np.argsort(bin_of, kind="stable")
+                before = np.cumsum(sizes[order]) - sizes[order]
+                first = np.searchsorted(bin_of[order], bin_of[order])
+                fill = np.bincount(bin_of, sizes)
+                yield pd.DataFrame(
+                    {
+                        "rid": np.asarray(r["rids"], np.int64)[order],
+                        "sequence_id": (number << 56) | (int(r["block"]) << 24) | bin_of[order],
+                        "offset": before - before[first],
+                        "settled": fill[bin_of[order]] >= length - SLACK,
+                    }
+                )
+
+    return solved.select("block", "rids", "sizes", "packing").mapInPandas(run, PLACED)
+
+
+def pack(table: DataFrame, length: int = LENGTH, block: int | None = None, report: list[dict] | None = None) -> DataFrame:
+    """Adds sequence_id and offset to pieces. `report` gets a dict for each epoch: bins, lower bound, crossovers so far."""
+    columns = table.columns
+    table = cut(table.withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    alone = table.filter(F.col("length") >= length).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("bigint"))
+    out, waiting, number = alone.select(*columns, "sequence_id", "offset"), table.filter(F.col("length") < length).select("rid", "length"), 1
+    count = waiting.count()
+    while count:
+        blocks = -(-count // (block or BLOCK))
+        done = cut(_placed(_solved(waiting, blocks, number, length, report), number, length), "placed")
+        left = 0 if blocks == 1 else done.filter("not settled").count()
+        last = blocks == 1 or count - left < count // PROGRESS
+        final = done if last else done.filter("settled")
+        out = out.unionByName(table.join(final.drop("settled"), "rid").select(*columns, "sequence_id", "offset"))
         if last:
             break
-        waiting = done.filter("not settled").select(*table.columns)
+        waiting, count, number = table.join(done.filter("not settled").select("rid"), "rid").select("rid", "length"), left, number + 1
     return out
 
 

@@ -13,13 +13,12 @@ PATH = public_tokenizers.path(packing.VOCABULARY)
 
 def _ids(text):
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
 
 
 @pytest.mark.parametrize(
     "text",
-    ["", "Hello, World's end!", "it's they'LL we've", "ÀÉ é é ﬁ Σς ΑΣ", "a b c\u0085d", "x\x1cy \x1f!z", "<|endoftext|> <|startoftext|>", "1234 ab12cd", "日本語 テスト", "word " * 500, "!" * 300, "İstanbul"],
+    ["", "Hello, World's end!", "it's they'LL we've", "ÀÉ é é ﬁ Σς ΑΣ", "a b c\u0085d", "x\x1cy \x1f!z", "<|endoftext|> <|startoftext|>", "a <|endoftext|>b", "<|ENDOFTEXT|> <|x|> <|", "1234 ab12cd", "日本語 テスト", "word " * 500, "!" * 300, "İstanbul"],
 )
 def test_ids_equal_the_tokenizers(text):
     assert packing.ChunkTokenizer(PATH).ids(text) == _ids(text)[:-1].tobytes()
@@ -56,31 +55,84 @@ def test_pieces_and_sequences(frame):
     assert got == sorted(want)
 
 
-def test_islands_migrate_until_one_is_left(spark, frame):
+def _optimum(sizes, length):
+    """Fewest bins, by trying all partitions into bins."""
+    best = len(sizes)
+
+    def walk(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for i in range(len(rooms)):
+            if rooms[i] >= sizes[k] and rooms[i] not in rooms[:i]:
+                walk(k + 1, rooms[:i] + [rooms[i] - sizes[k]] + rooms[i + 1 :])
+        walk(k + 1, [*rooms, length - sizes[k]])
+
+    walk(0, [])
+    return best
+
+
+def test_blocks_shrink_and_elites_migrate(spark, frame):
     docs = [(i, "word " * (i % 50)) for i in range(300)]
     table = packing.pieces(frame(docs), PATH, 64)
-    rows = packing.pack(table, 64, island=32).collect()
+    report = []
+    rows = packing.pack(table, 64, block=32, report=report).collect()
     assert len(rows) == table.count()
     assert _valid(rows, 64) <= -(-sum(x.length for x in rows) // 64) + 2
-
-
-def test_genetic_search_beats_best_fit():
-    sizes = [6, 5, 4, 3, 2] * 6
+    blocks = [r["blocks"] for r in report if r["epoch"] == 0]
+    assert blocks == sorted(blocks, reverse=True) and len(blocks) > 1
+    assert all(r["crossovers"] > 0 for r in report)
+
+
+@pytest.mark.parametrize(("low", "high"), [(33, 33), (22, 29)])
+def test_pieces_that_fill_no_sequence_end_in_one_round(spark, low, high):
+    rows = [(i, 0, 0, low + i % (high - low + 1), 0) for i in range(200)]
+    report = []
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 64, block=32, report=report).collect()
+    assert {r["round"] for r in report} == {1}
+    assert _valid(got, 64) == (200 if low > 32 else 100)
+
+
+def test_elite_replaces_the_neighbours_worst(spark):
+    good, bad = [[0, 3], [1, 2]], [[0], [1], [2], [3]]
+    sizes = [10, 20, 44, 54]
+    rows = [(0, k, [1, 2, 3, 4], sizes, [packing._packing(b, 4)], len(b), 2, 0, 0, 0) for k, b in enumerate((good, bad))]
+    ring = {r.island: r for r in packing._ring(spark.createDataFrame(rows, packing.ISLAND)).collect()}
+    assert ring[1].guest == packing._packing(good, 4) and ring[0].guest == packing._packing(bad, 4)
+    population, _ = packing.evolve(sizes, 64, 1, [packing._bins(p) for p in (ring[1].packings[0], ring[1].guest)])
+    assert len(population[0]) == 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_search_finds_the_optimum_of_small_inputs(seed):
+    r = random.Random(seed)
+    for _ in range(5):
+        sizes = [r.randrange(15, 70) for _ in range(r.randrange(1, 12))]
+        population, crossovers = packing.evolve(sizes, 100, seed)
+        assert crossovers > 0
+        assert sorted(i for b in population[0] for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= 100 for b in population[0])
+        assert len(population[0]) == _optimum(sizes, 100)
+
+
+def test_search_is_at_least_as_good_as_best_fit_decreasing():
     r = random.Random(1)
     for _ in range(20):
         sizes = [r.randrange(20, 60) for _ in range(60)]
         order = sorted(range(60), key=lambda i: -sizes[i])
-        bins = packing.evolve(sizes, 100)
-        assert sorted(i for b in bins for i in b) == list(range(60))
-        assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
-        assert len(bins) <= len(packing.best_fit(order, sizes, [], 100))
+        population, _ = packing.evolve(sizes, 100)
+        assert len(population[0]) <= len(packing.best_fit(order, sizes, [], 100))
 
 
-def test_crossover_keeps_every_piece_once():
+@pytest.mark.parametrize("change", [packing.crossover, lambda a, _, *rest: packing.mutate(a, *rest)])
+def test_changes_keep_every_piece_once(change):
     r = random.Random(2)
     sizes = [r.randrange(1, 50) for _ in range(80)]
     mixed = [packing.best_fit(r.sample(range(80), 80), sizes, [], 60) for _ in range(2)]
-    child = packing.crossover(*mixed, sizes, 60, r)
+    child = change(*mixed, sizes, 60, r)
     assert sorted(i for b in child for i in b) == list(range(80))
     assert all(sum(sizes[i] for i in b) <= 60 for b in child)
 
