@@ -12,8 +12,9 @@ is GENERATIONS generations at most; after it each island's elite, its best packi
 block's ring, where it takes the place of the worst. Epochs go on as long as some block above its lower bound got better.
 
 Of a block's best packing the bins that are filled up to SLACK settle. The pieces of all other bins are dealt to the fewer
-blocks of the next round, until one block is left or a round fills less than a part in PROGRESS of its pieces into settled
-bins (pieces that fill no sequence together); then all bins of the round settle. A task holds one block at a time.
+blocks of the next round. Where a round fills less than a part in PROGRESS of its pieces into such bins (pieces that fill
+no sequence together), all bins but the emptiest of each block settle. Rounds end when one block is left, or when there
+would not be fewer blocks; then all bins settle. A task holds one block at a time.
 
 Null and empty texts are the end id alone. Rows that repeat an id are packed each. Very long texts give many pieces. Equal
 lengths are interchangeable: which of them shares a sequence is not defined. An empty table gives no rows.
@@ -308,11 +309,11 @@ def _solved(waiting: DataFrame, blocks: int, number: int, length: int, report: l
         state = _ring(state)
 
 
-PLACED = "rid bigint, sequence_id bigint, offset bigint, settled boolean"
+PLACED = "rid bigint, sequence_id bigint, offset bigint, filled boolean, emptiest boolean"
 
 
 def _placed(solved: DataFrame, number: int, length: int) -> DataFrame:
-    """A row for each piece: its sequence, its place there, and whether that sequence is filled."""
+    """A row for each piece: its sequence, its place there, and whether that is filled or the emptiest of its block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -327,7 +328,8 @@ def _placed(solved: DataFrame, number: int, length: int) -> DataFrame:
                         "rid": np.asarray(r["rids"], np.int64)[order],
                         "sequence_id": (number << 56) | (int(r["block"]) << 24) | bin_of[order],
                         "offset": before - before[first],
-                        "settled": fill[bin_of[order]] >= length - SLACK,
+                        "filled": fill[bin_of[order]] >= length - SLACK,
+                        "emptiest": bin_of[order] == fill.argmin(),
                     }
                 )
 
@@ -344,13 +346,18 @@ def pack(table: DataFrame, length: int = LENGTH, block: int | None = None, repor
     while count:
         blocks = -(-count // (block or BLOCK))
         done = cut(_placed(_solved(waiting, blocks, number, length, report), number, length), "placed")
-        left = 0 if blocks == 1 else done.filter("not settled").count()
-        last = blocks == 1 or count - left < count // PROGRESS
-        final = done if last else done.filter("settled")
-        out = out.unionByName(table.join(final.drop("settled"), "rid").select(*columns, "sequence_id", "offset"))
-        if last:
-            break
-        waiting, count, number = table.join(done.filter("not settled").select("rid"), "rid").select("rid", "length"), left, number + 1
+        going = ~F.col("filled")
+        left = done.filter(going).count()
+        if count - left < count // PROGRESS:
+            going = F.col("emptiest")
+            left = done.filter(going).count()
+        if -(-left // (block or BLOCK)) >= blocks or blocks == 1:
+            going, left = F.lit(False), 0
+        final = done.filter(~going).select("rid", "sequence_id", "offset")
+        out = out.unionByName(table.join(final, "rid").select(*columns, "sequence_id", "offset"))
+        if left:
+            waiting = table.join(done.filter(going).select("rid"), "rid").select("rid", "length")
+        count, number = left, number + 1
     return out
 
 
