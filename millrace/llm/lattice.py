@@ -1,23 +1,22 @@
 """Language-model scores from a subword lattice.
 
-The vocabulary is an existing one: pieces with scores, of which some begin a word and 256 spell single bytes. A word's
-lattice holds every segmentation into pieces; characters without a piece of their own are spelt in bytes. The forward
-recursion in log space sums over all segmentations. Piece weights start from the vocabulary's scores and are re-estimated
-by ROUNDS rounds of expectation maximisation over the distinct training words (forward-backward, all of them).
-
-Known words are arcs of their own, and a text is a mixture over components, the languages of the training texts: with
-absolute discount D, a word that component k has seen c times among N tokens, of which V words are distinct, has
-p_k(w) = max(c - D, 0) / N + (D * V / N) * lattice(w), and the end of a text has its share of k's tokens. `lattice` is a
-proper distribution over words: the marginal of the pieces, times the chance to stop after them, given that a word
-begins. So p_k sums to 1 over words and end, and the text's probability is the sum of share_k * p_k(text). The language
-of a text that is scored is not used. Texts without a language, and languages beyond MAX_PARTS - 1, form a component.
-
-Counting, fitting and scoring are one pass each over texts, words and words; a word's lattice is computed once, however
-often it occurs. Scores reach the texts through a table of the TOP most frequent words (a fixed bound) that each task
-holds; all other words of a text are joined by hash.
-
-Null and empty texts are the end alone. Rows that repeat an id are scored each. A null doc_id is held out. Without any
-training text N is 0; base_score then takes c = V = 0, and score is null.
+The vocabulary is an existing one: pieces with scores, of which some begin a word, 256 spell single bytes and one ends a
+text. A text is its words, each behind the word mark, and the end. Its lattice holds every segmentation into pieces;
+characters without a piece of their own are spelt in bytes. The forward recursion in log space sums over all
+segmentations and gives the text's marginal probability. No piece has the word mark inside, so the lattice of a text is the
+chain of its words' lattices, and a word's lattice is computed once, however often it occurs.
+
+Two sets of piece weights give two scores. `vocabulary_score` takes the vocabulary's scores as they are; the file at hand
+gives merge ranks, and rank r gets the weight 1 / (r + 3). `score` learns from the training texts: ROUNDS rounds of
+expectation maximisation (forward-backward over all segmentations of all training words, weighted by their counts) begin
+at the vocabulary's weights, which also stay as a prior of PRIOR times the training tokens. Nothing but pieces is an arc.
+
+Counting, fitting and scoring are one pass each over texts, words and words. Scores reach the texts through a table of
+the TOP most frequent words (a fixed bound) that each task holds; all other words of a text are joined by hash.
+
+Null and empty texts are the end alone. Very long texts are scored whole; words over LONG characters are worked on one at
+a time. Rows that repeat an id are scored each. A null doc_id is held out. Without any training text N is 0; base_score
+then takes c = V = 0, and score is null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,17 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut, held_out, slices
+from millrace.llm.frames import cut, held_out, id_text, slices
 from millrace.llm.words import words_of
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, FOLD = 5, 1
-ROUNDS = 2
-DISCOUNT = 0.75
-#: Pseudo-counts that keep every piece possible, as a share of the words.
+ROUNDS = 3
+#: Weight of the vocabulary's scores when pieces are counted, as a share of the training tokens.
 PRIOR = 0.01
 TOP = 1 << 17
-MAX_PARTS = 8
 SLOT_BITS = 20
 #: Longer words are worked on one at a time.
 LONG = 48
@@ -57,7 +54,7 @@ _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
 @dataclass
 class Vocabulary:
-    """Pieces by hash, with their prior weights; `byte` holds the ids of the 256 byte pieces."""
+    """Pieces by hash, with the weights of their scores; `byte` holds the ids of the 256 byte pieces, `end` that of the end."""
 
     pieces: list[str]
     prior: np.ndarray
@@ -67,7 +64,7 @@ class Vocabulary:
     maybe: np.ndarray
     by_text: dict[str, int]
     longest: int
-    starts: np.ndarray
+    end: int
 
 
 def _hash_text(text: str) -> int:
@@ -94,12 +91,13 @@ def vocabulary(path: str) -> Vocabulary:
         elif not (model.is_control(i) or model.is_unknown(i)):
             by_text[p] = i
             weight[i] = 1 / (3 - model.get_score(i))
+        elif i == model.eos_id():
+            weight[i] = 1 / 3  # a score of 0, like the first rank's
     hashes = sorted((_hash_text(p), i) for p, i in by_text.items())
     keys = np.array([h for h, _ in hashes], np.uint64)
     maybe = np.zeros(1 << 22, bool)
     maybe[(keys * _SPREAD) >> np.uint64(42)] = True
-    starts = np.array([p.startswith(MARK) for p in pieces])
-    return Vocabulary(pieces, weight / weight.sum(), byte, keys, np.array([i for _, i in hashes]), maybe, by_text, max(map(len, by_text)), starts)
+    return Vocabulary(pieces, weight / weight.sum(), byte, keys, np.array([i for _, i in hashes]), maybe, by_text, max(map(len, by_text)), model.eos_id())
 
 
 def _edges(vocab: Vocabulary, chars: np.ndarray) -> tuple[dict[tuple[int, int], tuple[np.ndarray, np.ndarray]], list[tuple[int, np.ndarray]]]:
@@ -129,46 +127,59 @@ def _spelling(vocab: Vocabulary, code: int) -> np.ndarray:
     return vocab.byte[list(chr(code).encode("utf-8", "surrogatepass"))]
 
 
-def lattice(vocab: Vocabulary, logp: np.ndarray, chars: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log marginals of words of one length; with weights also the expected number of uses of each piece."""
-    n, length = chars.shape
-    arcs, unknown = _edges(vocab, chars)
-    spelt = {}
-    for i, rows in unknown:
-        codes, back = np.unique(chars[rows, i].astype(np.int64), return_inverse=True)
-        spelt[i] = (rows, codes, back, np.array([logp[_spelling(vocab, c)].sum() for c in codes])[back])
-    alpha = np.full((length + 1, n), -np.inf)
-    alpha[0] = 0.0
-    with np.errstate(invalid="ignore"):
-        for end in range(1, length + 1):
-            for i in range(max(0, end - vocab.longest), end):
-                if (i, end) in arcs:
-                    rows, ids = arcs[(i, end)]
-                    alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[i, rows] + logp[ids])
-            if end - 1 in spelt:
-                rows, _, _, cost = spelt[end - 1]
-                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - 1, rows] + cost)
-        total = alpha[length].copy()
-        if weights is None:
-            return total, None
-        beta = np.full((length + 1, n), -np.inf)
-        beta[length] = 0.0
+class Lattice:
+    """All segmentations of words of one length, given as code points (words, L)."""
+
+    def __init__(self, vocab: Vocabulary, chars: np.ndarray) -> None:
+        self.vocab, (self.n, self.length) = vocab, chars.shape
+        self.arcs, unknown = _edges(vocab, chars)
+        self.spelt = {}
+        for i, rows in unknown:
+            codes, back = np.unique(chars[rows, i].astype(np.int64), return_inverse=True)
+            self.spelt[i] = (rows, [_spelling(vocab, c) for c in codes], back)
+
+    def _spelt(self, i: int, logp: np.ndarray) -> np.ndarray:
+        _, spellings, back = self.spelt[i]
+        return np.array([logp[x].sum() for x in spellings])[back]
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        """Log sums over all segmentations of the first 0, 1, ... characters (L + 1, words); the last row is the marginal."""
+        alpha = np.full((self.length + 1, self.n), -np.inf)
+        alpha[0] = 0.0
+        with np.errstate(invalid="ignore"):
+            for end in range(1, self.length + 1):
+                for i in range(max(0, end - self.vocab.longest), end):
+                    if (i, end) in self.arcs:
+                        rows, ids = self.arcs[(i, end)]
+                        alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[i, rows] + logp[ids])
+                if end - 1 in self.spelt:
+                    rows = self.spelt[end - 1][0]
+                    alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - 1, rows] + self._spelt(end - 1, logp))
+        return alpha
+
+    def uses(self, logp: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece, over all segmentations of the words, by their weights."""
+        alpha = self.forward(logp)
+        total = alpha[self.length]
+        beta = np.full((self.length + 1, self.n), -np.inf)
+        beta[self.length] = 0.0
         used = np.zeros(logp.size)
-        for i in range(length - 1, -1, -1):
-            for end in range(i + 1, min(length, i + vocab.longest) + 1):
-                if (i, end) in arcs:
-                    rows, ids = arcs[(i, end)]
-                    tail = beta[end, rows] + logp[ids]
+        with np.errstate(invalid="ignore"):
+            for i in range(self.length - 1, -1, -1):
+                for end in range(i + 1, min(self.length, i + self.vocab.longest) + 1):
+                    if (i, end) in self.arcs:
+                        rows, ids = self.arcs[(i, end)]
+                        tail = beta[end, rows] + logp[ids]
+                        beta[i, rows] = np.logaddexp(beta[i, rows], tail)
+                        used += np.bincount(ids, np.exp(alpha[i, rows] + tail - total[rows]) * weights[rows], logp.size)
+                if i in self.spelt:
+                    rows, spellings, back = self.spelt[i]
+                    tail = beta[i + 1, rows] + self._spelt(i, logp)
                     beta[i, rows] = np.logaddexp(beta[i, rows], tail)
-                    used += np.bincount(ids, np.exp(alpha[i, rows] + tail - total[rows]) * weights[rows], logp.size)
-            if i in spelt:
-                rows, codes, back, cost = spelt[i]
-                tail = beta[i + 1, rows] + cost
-                beta[i, rows] = np.logaddexp(beta[i, rows], tail)
-                share = np.bincount(back, np.exp(alpha[i, rows] + tail - total[rows]) * weights[rows], codes.size)
-                for c, s in zip(codes.tolist(), share.tolist(), strict=True):
-                    np.add.at(used, _spelling(vocab, c), s)
-    return total, used
+                    share = np.bincount(back, np.exp(alpha[i, rows] + tail - total[rows]) * weights[rows], len(spellings))
+                    for pieces, x in zip(spellings, share.tolist(), strict=True):
+                        np.add.at(used, pieces, x)
+        return used
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,75 +195,71 @@ def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield np.array(own), np.frombuffer(raw, np.uint32).reshape(len(own), length + 1).astype(np.uint64)
 
 
-def marginals(vocab: Vocabulary, logp: np.ndarray, words: list[str]) -> np.ndarray:
-    out = np.zeros(len(words))
+def marginals(vocab: Vocabulary, logps: list[np.ndarray], words: list[str]) -> np.ndarray:
+    """Log marginals (words, weightings)."""
+    out = np.zeros((len(words), len(logps)))
     for rows, chars in _by_length(words):
-        out[rows] = lattice(vocab, logp, chars)[0]
+        own = Lattice(vocab, chars)
+        for k, logp in enumerate(logps):
+            out[rows, k] = own.forward(logp)[-1]
     return out
 
 
-def _count(docs: DataFrame, parts: int) -> DataFrame:
-    """(word, c0, c1, ...): every distinct word of all texts with its count in the training texts of each component."""
-    names = [f"c{k}" for k in range(parts)]
+def _count(docs: DataFrame) -> DataFrame:
+    """(word, c): every distinct word of all texts with its count in the training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
                 w = words_of(piece.column("text"))
                 if w.hashes.size:
-                    component = np.repeat(piece.column("part").to_numpy(zero_copy_only=False), np.diff(w.first))
+                    train = np.repeat(~piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(w.first))
                     _, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
                     raw = w.data.tobytes()
                     words = [raw[s:e] for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
                     lower = pa.compute.ascii_lower(pa.array(words, pa.binary()).cast(pa.string()))
-                    counts = [pa.array(np.bincount(back[component == k], minlength=at.size)) for k in range(parts)]
-                    yield pa.record_batch([lower, *counts], ["word", *names])
+                    yield pa.record_batch([lower, pa.array(np.bincount(back[train], minlength=at.size))], ["word", "c"])
 
-    ddl = "word string, " + ", ".join(f"{n} bigint" for n in names)
-    return docs.mapInArrow(run, ddl).groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
+    return docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _fit(words: DataFrame, path: str, logp: np.ndarray) -> np.ndarray:
-    """One round of expectation maximisation over the distinct training words. Gathers one number for each piece."""
+def _logs(weights: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(weights / weights.sum())
+
+
+def _fit(words: DataFrame, path: str, logp: np.ndarray, texts: int, tokens: int) -> np.ndarray:
+    """One round of expectation maximisation over the training words. Gathers one number for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, used = vocabulary(path), np.zeros(logp.size)
         for batch in batches:
+            counts = batch.column("c").to_numpy().astype(float)
             for rows, chars in _by_length(batch.column("word").to_pylist()):
-                used += lattice(vocab, logp, chars, np.ones(rows.size))[1]
+                used += Lattice(vocab, chars).uses(logp, counts[rows])
         at = np.flatnonzero(used)
         yield pa.record_batch([pa.array(at), pa.array(used[at])], ["piece", "used"])
 
     vocab = vocabulary(path)
-    got = words.filter(" + ".join(c for c in words.columns if c != "word") + " > 0").select("word").mapInArrow(run, "piece bigint, used double").groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
-    counts = np.zeros(logp.size)
-    counts[got["piece"].to_numpy(int)] = got["used"].to_numpy(float)
-    counts += max(1.0, PRIOR * counts.sum()) * vocab.prior
-    with np.errstate(divide="ignore"):
-        return np.log(counts / counts.sum())
+    got = words.filter("c > 0").mapInArrow(run, "piece bigint, used double").groupBy("piece").agg(F.sum("used").alias("used")).toPandas()
+    counts = PRIOR * tokens * vocab.prior
+    counts[got["piece"].to_numpy(int)] += got["used"].to_numpy(float)
+    counts[vocab.end] += texts
+    return _logs(counts)
 
 
-def _scored(words: DataFrame, path: str, logp: np.ndarray, tokens: list[int], distinct: list[int], n: int, v: int) -> DataFrame:
-    """(h, c, base, s0, s1, ...) of each distinct word: its count, base term and score in each component."""
-    vocab = vocabulary(path)
-    p = np.exp(logp)
-    shift = float(np.log(1 - p[~vocab.starts].sum()) - np.log(p[vocab.starts].sum()))
-    names = [f"s{k}" for k in range(len(tokens))]
+def _scored(words: DataFrame, path: str, logps: list[np.ndarray], n: int, v: int) -> DataFrame:
+    """(h, c, base, s0, s1) of each distinct word: its count, base term and log10 marginal under each weighting."""
+    names = [f"s{k}" for k in range(len(logps))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            counts = [batch.column(f"c{k}").to_numpy().astype(float) for k in range(len(tokens))]
-            spelt = marginals(vocab, logp, batch.column("word").to_pylist()) + shift
-            scores = []
-            for c, own, types in zip(counts, tokens, distinct, strict=True):
-                with np.errstate(divide="ignore"):
-                    seen = np.log(np.maximum(c - DISCOUNT, 0) / own)
-                scores.append(pa.array(np.logaddexp(seen, spelt + np.log(DISCOUNT * max(1, types) / own)) / np.log(10)))
-            c = sum(counts)
+            c = batch.column("c").to_numpy()
+            scores = marginals(vocab, logps, batch.column("word").to_pylist()) / np.log(10)
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
             hashes = words_of(batch.column("word")).hashes
-            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(c.astype(np.int64)), pa.array(base), *scores], ["h", "c", "base", *names])
+            yield pa.record_batch([pa.array(hashes.view(np.int64)), pa.array(c), pa.array(base), *map(pa.array, scores.T)], ["h", "c", "base", *names])
 
     return words.mapInArrow(run, "h bigint, c bigint, base double, " + ", ".join(f"{x} double" for x in names))
 
@@ -286,7 +293,7 @@ class _Slots:
 def _parts(docs: DataFrame, slots: _Slots, ends: list[float], end_known: bool) -> DataFrame:
     """A row for each text with the sums over the words that tasks hold and the end, and a row for each other word of it.
 
-    `ends` has the end's base term and its score in each component, in the order of the slots' values.
+    `ends` has the end's base term and its log10 weight under each weighting, in the order of the slots' values.
     """
     sums = ["base_score", *(f"s{k}" for k in range(len(ends) - 1))]
     fields = [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("h", pa.int64()), ("tf", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64())]
@@ -337,54 +344,36 @@ def _most_frequent(scored: DataFrame) -> pd.DataFrame:
     return held.toPandas().sort_values(["c", "h"], ascending=[False, True])
 
 
-def score_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
+def score_texts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score for each row."""
     path = path or public_tokenizers.path(VOCABULARY)
-    lang = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
-    rows = rows.withColumn("held_out", held_out("doc_id", FOLDS, FOLD))
-    found = rows.filter(~F.col("held_out")).groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    top = found.filter("lang is not null").orderBy(F.desc("n"), "lang").limit(MAX_PARTS - 1).collect()
-    trained = found.agg(F.sum("n")).first()[0] or 0
-    shares = [r["n"] for r in top]
-    part = F.lit(len(top))
-    for k, r in enumerate(top):
-        part = F.when(F.col("lang") == r["lang"], k).otherwise(part)
-    if trained > sum(shares) or not shares:
-        shares.append(trained - sum(shares))
-    rows = rows.select("doc_id", "text", "held_out", F.when(F.col("held_out"), -1).otherwise(part).alias("part"))
-    parts = len(shares)
-    words = cut(_count(rows, parts), "words")
-    names = [f"c{k}" for k in range(parts)]
-    figures = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names] + [F.count_if(F.col(c) > 0).alias(f"v{c}") for c in names]
-    total = words.agg(*figures, F.count_if(F.expr(" + ".join(names)) > 0).alias("v")).first()
-    tokens, distinct = [max(1, total[c] + s) for c, s in zip(names, shares, strict=True)], [total[f"v{c}"] for c in names]
-    n, v = sum(total[c] for c in names) + trained, total["v"] + (1 if trained else 0)
-    with np.errstate(divide="ignore"):
-        logp = np.log(vocabulary(path).prior)
-    for _ in range(ROUNDS):
-        logp = _fit(words, path, logp)
-    scored = cut(_scored(words, path, logp, tokens, distinct, n, v), "scored")
-    s = [f"s{k}" for k in range(parts)]
+    rows = id_text(docs, id_col, text_col).withColumn("held_out", held_out("doc_id", FOLDS, FOLD))
+    trained = rows.filter(~F.col("held_out")).count()
+    words = cut(_count(rows), "words")
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    n, v = total["n"] + trained, total["v"] + (1 if trained else 0)
+    vocab = vocabulary(path)
+    given = _logs(vocab.prior)
+    learnt = given
+    for _ in range(ROUNDS if trained else 0):
+        learnt = _fit(words, path, learnt, trained, n)
+    logps = [learnt, given]
+    scored = cut(_scored(words, path, logps, n, v), "scored")
     most = _most_frequent(scored)
-    values = np.column_stack([(most["c"] > 0).to_numpy(float), most["base"].to_numpy(float), most[s].to_numpy(float)])
+    values = np.column_stack([(most["c"] > 0).to_numpy(float), most["base"].to_numpy(float), most[["s0", "s1"]].to_numpy(float)])
     slots = _Slots(most["h"].to_numpy(np.int64).view(np.uint64), values)
-    with np.errstate(divide="ignore"):
-        ends = [float(np.log10((trained + 0.5) / (n + 0.5 * (v + 1))))] + [float(np.log10(max(x, 0.5) / t)) for x, t in zip(shares, tokens, strict=True)]
+    ends = [float(np.log10((trained + 0.5) / (n + 0.5 * (v + 1)))), *(float(logp[vocab.end] / np.log(10)) for logp in logps)]
     sums = cut(_parts(rows, slots, ends, trained > 0), "parts")
     rest = sums.filter("h is not null").select("rid", "h", "tf").join(scored, "h").groupBy("rid")
     rest = rest.agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), F.sum(F.col("tf") * F.col("base")).alias("b"), *[F.sum(F.col("tf") * F.col(x)).alias(f"m{x}") for x in s]
+        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"), *[F.sum(F.col("tf") * F.col(x)).alias(f"m{x}") for x in ("base", "s0", "s1")]
     )
     texts = sums.filter("h is null").join(rest, "rid", "left")
 
     def with_rest(own: str, more: str):  # noqa: ANN202
         return F.col(own) + F.coalesce(F.col(more), F.lit(0))
 
-    own = [with_rest(x, f"m{x}") + F.lit(float(np.log10(max(share, 1e-9) / max(1, trained)))) for x, share in zip(s, shares, strict=True)]
-    highest = F.greatest(*own) if parts > 1 else own[0]
-    mixed = highest + F.log10(sum((F.pow(F.lit(10.0), x - highest) for x in own), F.lit(0.0)))
     return texts.select(
-        "doc_id", "held_out", "n_tokens", with_rest("n_known", "k").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), with_rest("base_score", "b").alias("base_score"),
-        (mixed if trained else F.lit(None).cast("double")).alias("score"),
+        "doc_id", "held_out", "n_tokens", with_rest("n_known", "k").alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"), with_rest("base_score", "mbase").alias("base_score"),
+        (with_rest("s0", "ms0") if trained else F.lit(None).cast("double")).alias("score"), with_rest("s1", "ms1").alias("vocabulary_score"),
     )
