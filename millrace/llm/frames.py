@@ -1,15 +1,15 @@
-"""What the operators share: safe input columns, tables that cut lineage, and Arrow mapping."""
+"""What the operators share: safe input columns, tables that cut lineage, Bloom filters and Arrow mapping."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, so that a task's memory does not follow the batch size.
@@ -17,8 +17,13 @@ SLICE_BYTES = 2_000_000
 
 
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; a local one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "millrace-llm")
+    """A fresh folder below spark.checkpoint.dir. On one machine a local folder does where that is unset; on a cluster
+    each executor would write to a disk of its own, so that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/millrace-llm"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
@@ -29,6 +34,52 @@ def cut(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Shifts of a 64-bit key that give a Bloom filter's probes, and the filter's bits: per key, at least, at most (16 MB).
+PROBES = (0, 13, 26, 37)
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 32, 1 << 13, 1 << 27
+
+
+@dataclass
+class Bloom:
+    """A bitmap of bounded size that holds 64-bit keys; some other keys seem to be in it, the more the fuller it is."""
+
+    bitmap: bytes
+
+    def column(self, key: Column) -> Column:
+        """May the key be in it? JVM expressions only; a null key is not in it."""
+        if not any(self.bitmap):
+            return F.lit(False)
+        bits, out = F.lit(bytearray(self.bitmap)), F.lit(True)
+        for shift in PROBES:
+            at = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(8 * len(self.bitmap) - 1))
+            byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+            out = out & (F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
+        return F.coalesce(out, F.lit(False))
+
+    def array(self, keys: np.ndarray) -> np.ndarray:
+        """The same for an array of uint64."""
+        bits, out = np.frombuffer(self.bitmap, np.uint8), np.ones(keys.size, bool)
+        for shift in PROBES:
+            at = (keys >> np.uint64(shift)) & np.uint64(8 * bits.size - 1)
+            out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def bloom(keys: DataFrame) -> Bloom:
+    """Of the one column of 64-bit keys. The driver gets one number for each 64 bits of the map, at most 16 MB."""
+    keys = keys.toDF("key").filter("key is not null")
+    size = FEWEST_BITS
+    while size < min(MOST_BITS, BITS_PER_KEY * keys.count()):
+        size *= 2
+    probes = F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(size - 1)) for s in PROBES])
+    at = keys.select(F.explode(probes).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
+    got = words.toPandas()
+    bitmap = np.zeros(size // 64, "<i8")
+    bitmap[got["w"].to_numpy(int)] = got["v"].to_numpy(np.int64)
+    return Bloom(bitmap.tobytes())
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, under fixed names; a null text becomes empty. Other columns cannot clash."""
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
