@@ -28,10 +28,23 @@ def shared_path(spark: SparkSession, purpose: str) -> str:
 
 
 def cut(df: DataFrame, purpose: str) -> DataFrame:
-    """Writes the rows to the shared folder and reads them back: a lost executor costs a read, not a recomputation."""
+    """Writes the rows to the shared folder and reads them back: a lost executor costs a read, not a recomputation.
+
+    `discard` deletes such a table. Those that a result still reads stay until the shared folder is cleared.
+    """
     path = shared_path(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` has written, once nothing reads them any more."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Shifts of a 64-bit key that give a Bloom filter's probes, and the filter's bits: per key, at least, at most (16 MB).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut
+from millrace.llm.frames import cut, discard
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,6 +21,9 @@ def components(links: DataFrame) -> DataFrame:
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("label").alias("was"), F.least("label", "low").alias("l"))
         lower = cut(lower, "lower")
         if lower.filter("l < was").limit(1).count() == 0:
+            discard(both, lower)
             return labels
         jump = lower.select(F.col("node").alias("l"), F.col("l").alias("label"))
+        discard(labels)
         labels = cut(lower.join(jump, "l").select("node", "label"), "labels")
+        discard(lower)

@@ -9,14 +9,19 @@
    band lies in one family. Families of up to BLOCK classes are one group of texts; larger ones are dealt to groups by a
    hash, and a few pivots of the family go to each group. Within a group, pairs whose sketches are close are confirmed on
    their full sets, closest first, unless they are connected already; only links that connect are emitted.
-4. In larger families, everything outside the largest component then meets all members, in blocks of bounded size. So no
+4. Larger families of several components are split again by their rare shingles. In the order of their frequency in the
+   family, rarest first, two sets of a and b shingles that are linked share one of their first a - m + 1 and b - m + 1,
+   where m = 3 (a + b) / 7 is the least intersection. Components of the graph of these shared shingles are exact in that no
+   link lies between them; texts that share a template, but no link, fall apart here, as their rarest shingles are their
+   own. Within what is left, everything outside the largest component meets all members, in blocks of bounded size. So no
    link between different components of a family is lost, and a family of thousands of near copies, which step 3 has
    joined through its pivots, costs little more.
 
 Full sets are compared only where neither the sketches nor the triangle inequality of the Jaccard distance (through
 exact distances to common pivots, which is exact) rules a link out.
 
-Rows: null and empty texts have no shingles and stand alone. Repeated rows with one doc_id and equal texts give equal
+Very long texts are compared by their full sets. Equal sets never meet as pairs, so ties need no rule; a component's id is
+its smallest doc_id. Rows: null and empty texts have no shingles and stand alone. Repeated rows with one doc_id and equal texts give equal
 result rows; with different texts they count as one document that has all these texts. A row with a null doc_id links
 with nothing and is kept. An empty table gives an empty result.
 """
@@ -27,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut, id_text, map_slices, slices
+from millrace.llm.frames import bloom, cut, discard, id_text, map_slices, slices
 from millrace.llm.graph import components
 from millrace.llm.words import mix, shingle_sets, words_of
 
@@ -41,8 +46,10 @@ SKETCH_WORDS = SKETCH_BITS // 64
 #: Estimates below this are not confirmed; at a true similarity of 0.75 that is over five deviations away.
 SCREEN = 0.5
 #: Texts in a group, and pivots of a large family in each of its groups.
-BLOCK = 256
+BLOCK = 128
 PIVOTS = 8
+#: Sizes of sets are put into classes that grow by this factor.
+CLASS = 1.04
 #: intersection * DENOMINATOR >= union * NUMERATOR
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -199,7 +206,7 @@ def _stars(bands: DataFrame) -> DataFrame:
     """Links (a, b) that join every bucket: each member to the bucket's smallest node.
 
     A node with several such links keeps the one to the smallest and joins the others to that one, which leaves about one
-    link for each node however large its family is. A node has at most BANDS links, so its list is bounded.
+    link for each node however large its family is. A node's list is bounded by its bands or its shingles.
     """
     least = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a < z").select("key", "a")
     stars = bands.join(cut(least, "least"), "key").filter("node <> a").select("a", F.col("node").alias("b"))
@@ -222,19 +229,67 @@ def _first_round(members: DataFrame) -> DataFrame:
     return own.unionByName(pivots.select("family", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), *rest))
 
 
-def _second_round(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """In families of several groups: blocks of what lies outside the largest component against blocks of all."""
+_SHINGLES = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("s", pa.int64())])
+
+
+def _shingle_rows(members: DataFrame) -> DataFrame:
+    """(family, node, size, s): a row for each shingle of each member."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own, offsets = shingle_sets(words_of(batch.column("text")))
+        sizes = np.diff(offsets)
+        family, node = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("family", "node"))
+        columns = [pa.array(family), pa.array(node), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(own.view(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, schema=_SHINGLES)
+
+    return map_slices(members, run, "family bigint, node bigint, size int, s bigint")
+
+
+def _prefix_keys(members: DataFrame) -> DataFrame:
+    """(node, key): keys of rare shingles, such that linked members of a family share one.
+
+    A key is a shingle and the size classes of the smaller and the larger set. For each class that a partner may have, a
+    set gives those of its rarest shingles of which a linked partner of the class's smallest size must share one.
+    """
+    rows = cut(_shingle_rows(members), "shingles")
+    counts = rows.groupBy("family", "s").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(counts, ["family", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("family", "node").orderBy("df", "s")))
+    size = F.col("size")
+    own = F.floor(F.log(CLASS, size)).cast("int")
+    low = F.floor(F.log(CLASS, F.greatest(size * NUMERATOR / DENOMINATOR - 1, F.lit(1)))).cast("int")
+    high = F.floor(F.log(CLASS, size * DENOMINATOR / NUMERATOR + 1)).cast("int")
+    near = ranked.filter(f"df > 1 and place <= size * {1 - NUMERATOR / DENOMINATOR} + 2").select("family", "node", "s", "place", size, own.alias("own"), F.explode(F.sequence(low - 1, high + 1)).alias("other"))
+    least = F.floor(F.pow(F.lit(CLASS), "other") * (1 - 1e-9))  # no set of that class is smaller
+    fewest = F.ceil(F.lit(NUMERATOR / (NUMERATOR + DENOMINATOR)) * (size + least) - 1e-9)
+    near = near.filter(F.col("place") <= size - fewest + 1)
+    key = F.xxhash64("family", "s", F.least("own", "other"), F.greatest("own", "other"))
+    keys = cut(near.select("node", key.alias("key"), "own", "other"), "prefixes")
+    both = keys.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("node").alias("a"), F.max("node").alias("z"), F.bool_or(F.col("own") == F.col("other")).alias("same"))
+    both = both.filter("a < z and (same or low < high)").select("key")  # a smaller and a larger set, or two of one class
+    return keys.select("node", "key").join(both, "key").select("node", "key")
+
+
+def _second_round(members: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """In families of several groups and components: what shares rare shingles, blocks of what lies outside the largest
+    component against blocks of all. None if nothing is left to compare."""
     large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("comp"), "text")
     large = cut(large, "large")
-    sizes = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("family").agg(
+    several = large.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a < z").select("family")
+    split = components(_stars(cut(_prefix_keys(large.join(cut(several, "several"), "family", "left_semi")), "keys"))).withColumnRenamed("label", "part")
+    placed = cut(large.select("node", "comp").join(split, "node"), "parts")
+    sizes = placed.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.groupBy("part").agg(
+        F.count(F.lit(1)).alias("comps"),
         F.max_by("comp", F.struct("n", "comp")).alias("top"),
         F.ceil(F.sum("n") / BLOCK).cast("int").alias("na"),
         F.ceil((F.sum("n") - F.max("n")) / BLOCK).cast("int").alias("nq"),
     )
-    placed = large.join(cut(top, "top"), "family")
+    top = cut(top.filter("comps > 1").drop("comps"), "top")
+    if top.limit(1).count() == 0:
+        return None
+    placed = placed.join(top, "part").join(large.select("node", "text"), "node").withColumnRenamed("part", "family")
     spread = F.xxhash64("node", F.lit(2))
-    every = placed.filter("nq > 0").select(
+    every = placed.select(
         "family", F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("qb"), F.pmod(spread, "na").cast("int").alias("ab"), "node", "comp", F.lit(False).alias("q"), "text"
     )
     queries = placed.filter("comp <> top").select(
@@ -257,13 +312,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     families = components(_stars(bands)).withColumnRenamed("label", "family")
     sizes = cut(families.groupBy("family").agg(F.count(F.lit(1)).alias("n")), "sizes")
     families = families.join(sizes, "family")
-    members = cut(texts.join(families.hint("merge"), F.col("doc_id") == F.col("node")).select("family", "n", "node", "text"), "members")
+    near = texts.filter(bloom(families.select(F.xxhash64("node"))).column(F.xxhash64("doc_id")))  # others pass by the join
+    members = cut(near.join(families.hint("merge"), F.col("doc_id") == F.col("node")).select("family", "n", "node", "text"), "members")
     first = cut(_confirmed(_first_round(members)).unionByName(own), "links")
     labels = components(first)
     if sizes.filter(F.col("n") > BLOCK).limit(1).count():
-        more = cut(_confirmed(_second_round(members, labels)), "links")
-        if more.limit(1).count():
+        second = _second_round(members, labels)
+        more = None if second is None else cut(_confirmed(second), "links")
+        if more is not None and more.limit(1).count():
             labels = components(first.unionByName(more))
+    discard(bands, members)
     named = cut(classes.join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("component_id")), "named")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

@@ -41,6 +41,36 @@ def test_large_families_are_split_without_losing_links(frame, monkeypatch):
     _check(frame, _docs(2, 200))
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_split_families_keep_every_link(frame, monkeypatch, seed):
+    """Texts that share a template, of many sizes, with near copies among them."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    r = random.Random(seed)
+    template, rows = [f"t{i}" for i in range(60)], []
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(r.randrange(0, 30))]
+        rows.append((i, " ".join(template[: r.randrange(45, 60)] + own)))
+    for i in range(90, 130):
+        words = rows[r.randrange(90)][1].split()
+        words[r.randrange(len(words))] = f"n{i}"
+        rows.append((i, " ".join(words[r.randrange(0, 3) :])))
+    _check(frame, rows)
+
+
+def test_template_families_cost_in_proportion(spark, monkeypatch):
+    """Rows with full text that the rounds read, of one family without a link."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    read = {}
+    for n in (200, 800):
+        rows = [(i, " ".join([f"t{j}" for j in range(60)] + [f"o{i}x{j}" for j in range(12)])) for i in range(n)]
+        members = spark.createDataFrame([(0, n, i, t) for i, t in rows], "family bigint, n bigint, node bigint, text string")
+        none = spark.createDataFrame([], "node bigint, label bigint")
+        second = neardup._second_round(members, none)
+        read[n] = neardup._first_round(members).count() + (0 if second is None else second.count())
+    assert read[800] < 5 * read[200]
+
+
 def test_edge_rows(frame):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, "x" * 30000), (8, "é É"), (9, "é é")]
     _check(frame, rows)
