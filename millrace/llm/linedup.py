@@ -1,38 +1,51 @@
 """Repeated runs of lines: a suffix array over line-ID sequences, by distributed prefix doubling.
 
-Each document is the sequence of its lines (split at newlines). Rank table k orders all suffixes by their first 2**k
-lines; table k+1 sorts the pairs (rank at i, rank at i + 2**k). A rank is the place of a pair in a range-partitioned
-sort of the distinct pairs, so no task sees all of them and a hot line is one row there. Suffixes whose prefix occurs
-once drop out at every level: nothing that starts with it repeats.
-
-A run is worth deleting from MIN_WORDS words on. All suffixes that share their first m lines form an interval of the
-suffix array whose longest common prefix is at least m; the interval is named by m and the ranks of the two stretches
-of 2**k lines that cover the m lines. The earliest suffix of an interval (by doc_id, then line) keeps its lines, later
-ones lose them. It is enough to look at the shortest windows of MIN_WORDS words that start or end at each line: a
-maximal repeated run of at least MIN_WORDS words is the union of such windows, and each of them repeats where the run
-does. So the table levels end at the longest such window, and the earliest copy of every line always stays.
-
-Null and empty texts are one empty line and never change. Rows that repeat a doc_id with the same text are one
-document, and each of them gets its result; with different texts they are different documents, in the order of a hash
-of the text. A null doc_id comes first in the order. An empty table gives an empty result.
+1. Equal texts are one document, the one with the smallest id; the sequences are those of distinct texts. Each is cut into
+   segments of lines that occur more than once, and only segments of MIN_WORDS words or more stay: no repeated run of that
+   length leaves its segment. A suffix is what follows a line up to the segment's end.
+2. Prefix doubling. Rank k orders all suffixes by their first 2**k lines; rank k + 1 sorts the pairs (rank at i, rank at
+   i + 2**k). A rank is the place of a pair in a range-partitioned sort of the distinct pairs, so no task sees all of them
+   and a hot line is one row there. It ends when a level tells no more suffixes apart, or at the longest segment.
+3. Suffix array. A range-partitioned sort by the last rank, ties by place (doc_id, then line), puts all suffixes in order.
+4. Longest common prefixes of neighbours. Where the lines before both are equal, the prefix is that of the suffixes one
+   line earlier, less one line. For all others it is put together from the levels' ranks, largest first.
+5. Intervals. All suffixes that share their first m lines are an interval of the array. The earliest suffix of an interval
+   keeps its lines, later ones lose them; so each suffix loses its longest prefix that an earlier one shares, found by a
+   stack over the array forwards and backwards, if that has MIN_WORDS words. Each partition of the sort is streamed on its
+   own. What it passes to the others is a staircase: for each length, the earliest suffix that shares as many lines with
+   the suffix at its edge. A staircase, like the stack, has at most a step for each line of the longest repeated run; the
+   driver puts together two for each partition.
+
+All documents that copy an earlier one whole lose all lines, if they have MIN_WORDS words. The earliest copy of every line
+stays. Copies may overlap in one document.
+
+Null and empty texts are one empty line and never change. Very long texts are split whole. Rows that repeat a doc_id with
+the same text are one document, and each of them gets its result; with different texts they are different documents, in
+the order of a hash of the text. A null doc_id comes first in the order. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut
+from millrace.llm.frames import bloom, cut, discard
 
 #: Fewest words of a repeated run.
 MIN_WORDS = 50
 FIRST = -(1 << 63)
 DOC = ["did", "th"]
+PLACE = [*DOC, "i"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Documents with the key (did, th) that orders them."""
-    return docs.withColumn("did", F.coalesce("doc_id", F.lit(FIRST))).withColumn("th", F.xxhash64("text"))
+    """Documents with the key (did, th) that orders them; (th, t2) are the 128 bits of the text's MD5."""
+    named = docs.withColumn("did", F.coalesce("doc_id", F.lit(FIRST))).withColumn("md5", F.md5(F.col("text").cast("binary")))
+    half = [F.conv(F.substring("md5", at, 16), 16, -10).cast("bigint").alias(n) for at, n in ((1, "th"), (17, "t2"))]
+    return named.select("*", *half).drop("md5")
 
 
 def _words(line: Column) -> Column:
@@ -44,70 +57,233 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
     return cut(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id()), "ranks")
 
 
-def _level_0(docs: DataFrame) -> DataFrame:
-    """(did, th, i, nw, r): the lines that occur more than once, with the rank of their content."""
+def _segments(docs: DataFrame, min_words: int) -> DataFrame:
+    """(did, th, i, seg, end, c, p, key, r0): the lines of segments, with the segment, its last line, the words up to and
+    before the line, the line's rank and that of the line before."""
     lines = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select(*DOC, "i", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), _words(F.col("line")).alias("nw"))
+    lines = lines.select(*PLACE, F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), _words(F.col("line")).alias("nw"))
     twice = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    ranks = _ranked(twice, "key")
-    return cut(lines.join(ranks, "key").select(*DOC, "i", "nw", "r").dropDuplicates([*DOC, "i"]), "level")
+    again = cut(lines.join(cut(twice, "twice"), "key"), "again")
+    doc = Window.partitionBy(*DOC).orderBy("i")
+    seg = Window.partitionBy(*DOC, "seg")
+    parts = again.withColumn("seg", F.col("i") - F.row_number().over(doc))
+    parts = parts.withColumns({"all": F.sum("nw").over(seg), "end": F.max("i").over(seg)}).filter(F.col("all") >= min_words)
+    parts = cut(parts.withColumn("c", F.sum("nw").over(seg.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).drop("all"), "segments")
+    ranks = _ranked(parts.select("key").distinct(), "key")
+    out = parts.join(ranks, "key").select(*PLACE, "seg", "end", "c", "nw", "r")
+    out = cut(out.withColumn("r0", F.lag("r").over(seg.orderBy("i"))), "level")
+    discard(again, parts)
+    return out
 
 
-def _next_level(level: DataFrame, step: int) -> DataFrame:
-    """The ranks by twice as many lines, of suffixes that still share them with another."""
-    ahead = F.max("r").over(Window.partitionBy(*DOC).orderBy("i").rangeBetween(step, step))
-    pairs = level.select(*DOC, "i", F.col("r").alias("a"), ahead.alias("b")).filter("b is not null")
-    pairs = cut(pairs, "pairs")
-    twice = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a", "b")
-    return cut(pairs.join(_ranked(twice, "a", "b"), ["a", "b"]).select(*DOC, "i", "r"), "level")
+def _next_level(level: DataFrame, step: int) -> tuple[DataFrame, int]:
+    """The suffixes' ranks by twice as many lines, and the number of different ranks. A suffix may end before."""
+    ahead = F.max("r").over(Window.partitionBy(*DOC, "seg").orderBy("i").rangeBetween(step, step))
+    pairs = cut(level.select(*PLACE, "seg", "end", F.col("r").alias("a"), F.coalesce(ahead, F.lit(-1)).alias("b")), "pairs")
+    ranks = _ranked(pairs.select("a", "b").distinct(), "a", "b")
+    out = cut(pairs.join(ranks, ["a", "b"]).select(*PLACE, "seg", "end", "r"), "level")
+    count = ranks.count()
+    discard(pairs, ranks)
+    return out, count
 
 
-def _windows(level: DataFrame, min_words: int) -> DataFrame:
-    """(did, th, i, m): the shortest stretches of repeated lines with enough words, by their start and by their end."""
-    doc = Window.partitionBy(*DOC).orderBy("i")
-    sums = level.withColumn("c", F.sum("nw").over(doc.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    sums = sums.withColumn("seg", F.col("i") - F.row_number().over(doc)).withColumn("p", F.col("c") - F.col("nw"))
-    seg = Window.partitionBy(*DOC, "seg")
-    sums = sums.withColumns({"lo": F.min("i").over(seg), "hi": F.max("i").over(seg), "base": F.min("p").over(seg), "top": F.max("c").over(seg)})
-    after = F.min("i").over(seg.orderBy("p").rangeBetween(min_words, Window.unboundedFollowing))
-    before = F.max("i").over(seg.orderBy("c").rangeBetween(Window.unboundedPreceding, -min_words))
-    ends = F.coalesce(after - 1, F.when(F.col("top") >= F.col("p") + min_words, F.col("hi")))
-    starts = F.coalesce(before + 1, F.when(F.col("base") <= F.col("c") - min_words, F.col("lo")))
-    found = sums.withColumns({"e": ends, "s": starts})
-    from_start = found.filter("e is not null").select(*DOC, "i", (F.col("e") - F.col("i") + 1).alias("m"))
-    from_end = found.filter("s is not null").select(*DOC, F.col("s").alias("i"), (F.col("i") - F.col("s") + 1).alias("m"))
-    return from_start.unionByName(from_end).distinct()
-
-
-def _later(windows: DataFrame, level: DataFrame, step: int) -> DataFrame:
-    """Of the windows of step to 2 * step - 1 lines, those whose interval of the suffix array has an earlier suffix."""
-    own = windows.filter((F.col("m") >= step) & (F.col("m") < 2 * step)).withColumn("j", F.col("i") + F.col("m") - step)
-    named = own.join(level.select(*DOC, "i", F.col("r").alias("a")), [*DOC, "i"])
-    if step > 1:
-        named = named.join(level.select(*DOC, F.col("i").alias("j"), F.col("r").alias("b")), [*DOC, "j"])
-    else:
-        named = named.withColumn("b", F.col("a"))
-    named = cut(named.select(*DOC, "i", "m", "a", "b"), "named")
-    place = F.struct(*DOC, "i")
-    first = cut(named.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "intervals")
-    return named.join(first, ["m", "a", "b"]).filter(F.col("first") < place).select(*DOC, "i", "m")
+def _levels(first: DataFrame) -> list[DataFrame]:
+    """Ranks by 1, 2, 4, ... lines; the last tells apart all suffixes that differ."""
+    levels, step = [first], 1
+    longest = first.agg(F.max(F.col("end") - F.col("i") + 1)).first()[0] or 0
+    count = first.select("r").distinct().count()
+    while step < longest:
+        level, more = _next_level(levels[-1], step)
+        levels.append(level)
+        if more == count:
+            break
+        step, count = 2 * step, more
+    return levels
+
+
+def _neighbours(last: DataFrame, first: DataFrame) -> DataFrame:
+    """The suffix array in order `o`: each suffix with its left neighbour (x_did, x_th, x_i) and whether the lines before
+    both are equal."""
+    rows = last.select(*PLACE, "seg", "end", F.col("r").alias("top")).join(first.select(*PLACE, "c", "nw", F.col("r0").alias("before")), PLACE)
+    by = ["top", *PLACE]
+    ordered = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("o", F.monotonically_increasing_id()), "array")
+    own = F.struct(*PLACE, "before", "top")
+    part = F.shiftright("o", 33)
+    inside = ordered.withColumn("part", part).withColumn("x", F.lag(own).over(Window.partitionBy("part").orderBy("o")))
+    edge = ordered.groupBy(part.alias("part")).agg(F.max_by(own, "o").alias("x"))  # a row for each partition of the sort
+    edge = edge.select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("x").alias("edge")).filter("part is not null")
+    joined = inside.join(F.broadcast(edge), "part", "left").withColumn("x", F.coalesce("x", "edge"))
+    same = F.coalesce(F.col("before") == F.col("x.before"), F.lit(False))
+    found = joined.select("o", *PLACE, "seg", "end", "c", "nw", "top", *[F.col(f"x.{n}").alias(f"x_{n}") for n in PLACE], same.alias("same"), F.coalesce(F.col("x.top") == F.col("top"), F.lit(False)).alias("equal"))
+    return cut(found, "neighbours")
+
+
+def _common(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """(did, th, i, l): how many lines the suffixes of pairs (place, x_place) share, from the ranks of the levels."""
+    now = pairs.select(*PLACE, *[f"x_{n}" for n in PLACE], F.lit(0).alias("l"))
+    for k in range(len(levels) - 1, -1, -1):
+        size = F.least(F.lit(1 << k), F.col("left"))
+        rank = levels[k].select(*PLACE, F.col("r").alias("r"), (F.col("end") - F.col("i") + 1).alias("left"))
+        at = now.withColumns({"ay": F.col("i") + F.col("l"), "ax": F.col("x_i") + F.col("l")})
+        y = rank.select(*[F.col(n).alias(m) for n, m in zip(PLACE, [*DOC, "ay"], strict=True)], F.col("r").alias("ry"), "left")
+        x = rank.select(*[F.col(n).alias(m) for n, m in zip(PLACE, ["x_did", "x_th", "ax"], strict=True)], F.col("r").alias("rx"))
+        met = at.join(y, [*DOC, "ay"], "left").join(x, ["x_did", "x_th", "ax"], "left")
+        grown = F.when(F.col("ry") == F.col("rx"), F.col("l") + size).otherwise(F.col("l"))
+        now = cut(met.select(*PLACE, *[f"x_{n}" for n in PLACE], grown.cast("int").alias("l")), "lifted")
+    return now.select(*PLACE, "l")
+
+
+def _prefixes(array: DataFrame, levels: list[DataFrame], min_words: int) -> DataFrame:
+    """(o, did, th, i, l): the suffix array with the lines that each suffix shares with its left neighbour; 0 where these
+    have too few words."""
+    common = _common(array.filter("x_did is not null and not same and not equal"), levels)
+    own = F.when(F.col("equal"), F.col("end") - F.col("i") + 1).when(~F.col("same"), F.coalesce("own", F.lit(0)))
+    known = array.join(common.withColumnRenamed("l", "own"), PLACE, "left").withColumn("stop", own + F.col("i"))
+    # where the lines before both are equal, the common prefix stops where that of the suffixes before stops
+    seg = Window.partitionBy(*DOC, "seg").orderBy("i")
+    full = known.withColumn("l", F.greatest(F.last("stop", ignorenulls=True).over(seg) - F.col("i"), F.lit(0)))
+    full = cut(full.select("o", *PLACE, "c", "nw", "l"), "common")
+    ends = full.select(*DOC, F.col("i").alias("e"), F.col("c").alias("ce"))
+    met = full.filter("l > 0").withColumn("e", F.col("i") + F.col("l") - 1).join(ends, [*DOC, "e"])
+    long = met.filter(F.col("ce") - F.col("c") + F.col("nw") >= min_words).select("o", *PLACE, "l")
+    return cut(long.select("o", F.col("l").cast("int").alias("l")).join(full.select("o", *PLACE), "o", "right").fillna({"l": 0}), "prefixes")
+
+
+Place = tuple[int, int, int]
+Step = tuple[int, Place]
+FAR = 1 << 30
+
+
+def beyond(near: list[Step], across: int, far: list[Step]) -> list[Step]:
+    """The staircase of an edge: its near steps, then those seen from another edge, which shares `across` lines with it.
+
+    Steps (lines shared with the edge, place) fall in both; a step is the earliest place that shares so many lines.
+    """
+    out = list(near)
+    for n, place in far:
+        n = min(n, across)
+        if n == 0:
+            break
+        if not out or place < out[-1][1]:
+            if out and out[-1][0] == n:
+                out.pop()
+            out.append((n, place))
+    return out
+
+
+class Stack:
+    """Steps from the suffix at hand to one side of the array, the nearest last: (lines shared with it, earliest place)."""
+
+    def __init__(self, steps: list[Step] = ()) -> None:
+        self.entries = list(steps)[::-1]
+
+    def push(self, place: Place, lines: int) -> int:
+        """Moves on to the next suffix, which shares `lines` with the one at hand (FAR if the steps are its own already).
+        Returns the longest prefix that it shares with an earlier suffix on this side."""
+        entries, last = self.entries, None
+        while entries and entries[-1][0] >= lines:
+            last = entries.pop()
+        if last and lines:
+            entries.append((lines, last[1]))
+        while entries and entries[-1][1] > place:
+            entries.pop()
+        out = entries[-1][0] if entries else 0
+        entries.append((FAR, place))
+        return out
+
+
+_EDGES = "part bigint, lines int, across int, right array<struct<n:int,did:bigint,th:bigint,i:int>>, left array<struct<n:int,did:bigint,th:bigint,i:int>>"
+_EDGE = pa.list_(pa.struct([("n", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("i", pa.int32())]))
+_EDGES_SCHEMA = pa.schema([("part", pa.int64()), ("lines", pa.int32()), ("across", pa.int32()), ("right", _EDGE), ("left", _EDGE)])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Place, int]]:
+    for batch in batches:
+        part, did, th, i, lines = (batch.column(c).to_pylist() for c in ("part", *PLACE, "l"))
+        yield from zip(part, zip(did, th, i, strict=True), lines, strict=True)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each part: lines shared across its left edge, the fewest shared within, and the steps of both edges."""
+    part, stack, first, across, left = None, Stack(), 0, FAR, []
+
+    def done() -> pa.RecordBatch:
+        steps = [[{"n": n, "did": p[0], "th": p[1], "i": p[2]} for n, p in x] for x in (stack.entries[::-1], left)]
+        return pa.RecordBatch.from_pylist([{"part": part, "lines": first, "across": across, "right": steps[0], "left": steps[1]}], schema=_EDGES_SCHEMA)
+
+    for at, place, lines in _rows(batches):
+        if at != part:
+            if part is not None:
+                yield done()
+            part, stack, first, across, left = at, Stack(), lines, FAR, [(FAR, place)]
+            stack.push(place, FAR)
+        else:
+            across = min(across, lines)
+            stack.push(place, lines)
+            left = beyond(left, FAR, [(across, place)] if across else [])
+    if part is not None:
+        yield done()
+
+
+def _meet(edges: list[dict]) -> tuple[dict[int, list[Step]], dict[int, list[Step]]]:
+    """By part the steps from its first suffix to the left and from its last one to the right, other parts included."""
+    to_left: dict[int, list[Step]] = {}
+    to_right: dict[int, list[Step]] = {}
+    for a, b in zip(edges, edges[1:], strict=False):
+        to_left[b["part"]] = beyond(beyond([], b["lines"], a["right"]), min(b["lines"], a["across"]), to_left.get(a["part"], []))
+    for b, a in zip(edges[:0:-1], edges[-2::-1], strict=False):
+        to_right[a["part"]] = beyond(beyond([], b["lines"], b["left"]), min(b["lines"], b["across"]), to_right.get(b["part"], []))
+    return to_left, to_right
+
+
+_LATER = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("m", pa.int32())])
+
+
+def _earlier(steps: dict[int, list[Step]], backwards: bool):  # noqa: ANN202
+    """(place, m) of suffixes that share m lines with an earlier one on one side; rows come part by part, in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, stack, carried, out = None, Stack(), 0, []
+        for at, place, lines in _rows(batches):
+            shared = carried if backwards else lines
+            if at != part:
+                part, stack, shared = at, Stack(steps.get(at, [])), FAR
+            m = stack.push(place, shared)
+            carried = lines
+            if m:
+                out.append((*place, m))
+                if len(out) >= 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LATER, strict=True)], schema=_LATER)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LATER, strict=True)], schema=_LATER)
+
+    return run
+
+
+def _later(prefixes: DataFrame) -> DataFrame:
+    """(did, th, i, m): the first m lines of the suffix at i occur earlier; of each interval but for its earliest suffix."""
+    parts = prefixes.withColumn("part", F.shiftright("o", 33)).select("part", "o", *PLACE, "l")
+    dealt = parts.repartition("part")
+    forwards = dealt.sortWithinPartitions("part", "o")
+    edges = [r.asDict(recursive=True) for r in forwards.mapInArrow(_edges, _EDGES).orderBy("part").collect()]  # a row for each partition
+    for e in edges:
+        for side in ("right", "left"):
+            e[side] = [(x["n"], (x["did"], x["th"], x["i"])) for x in e[side]]
+    to_left, to_right = _meet(edges)
+    schema = "did bigint, th bigint, i int, m int"
+    one = forwards.mapInArrow(_earlier(to_left, False), schema)
+    other = dealt.sortWithinPartitions("part", F.desc("o")).mapInArrow(_earlier(to_right, True), schema)
+    return one.unionByName(other)
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(did, th, gone): for each document that loses lines, their sorted numbers. `docs` comes from `_keyed`."""
-    level = _level_0(docs)
-    windows = cut(_windows(level, min_words), "windows")
-    longest = windows.agg(F.max("m")).first()[0] or 0
-    step, found = 1, None
-    while step <= longest:
-        if step > 1:
-            level = _next_level(level, step // 2)
-        part = cut(_later(windows, level, step), "later")
-        found = part if found is None else found.unionByName(part)
-        step *= 2
-    if found is None:
-        found = windows
-    lines = found.select(*DOC, F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i"))
+    """(did, th, gone): for each document that loses lines, their sorted numbers. `docs` are distinct texts (did, th, text)."""
+    levels = _levels(_segments(docs, min_words))
+    array = _neighbours(levels[-1], levels[0])
+    prefixes = _prefixes(array, levels, min_words)
+    discard(array, *levels)
+    lines = _later(prefixes).select(*DOC, F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i"))
     return lines.groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("gone"))
 
 
@@ -123,11 +299,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     keep = keep or []
     own = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     keyed = _keyed(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *own))
-    gone = repeated_lines(keyed, min_words)
+    named = keyed.groupBy("th", "t2").agg(F.min("did").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = cut(named.select("th", "t2", "first"), "copies")
+    copied = bloom(copies.select("th")).column(F.col("th"))
+    one = keyed.filter(copied).groupBy("th", "t2").agg(F.min("did").alias("did"), F.first("text").alias("text"))
+    gone = repeated_lines(keyed.filter(~copied).select(*DOC, "text").unionByName(one.select(*DOC, "text")), min_words)
     gone = cut(gone.select(*DOC, F.size("gone").alias("n_removed"), _mask(F.col("gone")).alias("mask")), "gone")
+    # only documents that change meet the table of what they lose; all others pass by
+    whole = keyed.filter(copied).filter(_words(F.col("text")) >= min_words).select(*DOC, "t2").distinct().join(copies, ["th", "t2"]).filter("did > first")
+    fate = cut(gone.withColumn("whole", F.lit(False)).unionByName(whole.select(*DOC, F.lit(0).alias("n_removed"), F.lit(None).cast("array<boolean>").alias("mask"), F.lit(True).alias("whole"))), "fate")
+    changed = bloom(fate.select(F.xxhash64(*DOC))).column(F.xxhash64(*DOC))
     lines = F.split("text", "\n")
     left = F.array_join(F.filter(lines, lambda _, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
-    return keyed.join(gone.hint("merge"), DOC, "left").select(
-        "doc_id", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.size(lines).alias("n_lines"), F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("text"),
+    met = keyed.filter(changed).join(fate, DOC, "left")
+    kept = [F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]
+    met = met.select(
+        "doc_id", *kept, F.size(lines).alias("n_lines"), F.when(F.col("whole"), F.size(lines)).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(F.col("whole"), F.lit("")).when(F.col("mask").isNull(), F.col("text")).otherwise(left).alias("text"),
     )
+    return keyed.filter(~changed).select("doc_id", *kept, F.size(lines).alias("n_lines"), F.lit(0).alias("n_removed"), "text").unionByName(met)

@@ -28,6 +28,58 @@ def test_long_passage_goes_from_later_documents_only(frame):
     assert got[5] == (1, 1, "")
 
 
+def _plain_lpf(lines, places):
+    """Longest prefix of each suffix that an earlier one shares, within lists of lines by document."""
+    out = {}
+    for d, i in places:
+        best = 0
+        for e, j in places:
+            if (e, j) < (d, i):
+                n = 0
+                while i + n < len(lines[d]) and j + n < len(lines[e]) and lines[d][i + n] == lines[e][j + n]:
+                    n += 1
+                best = max(best, n)
+        out[(d, i)] = best
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_array_prefixes_and_intervals_match_brute_force(spark, monkeypatch, seed):
+    """The suffix array's order, its common prefixes, and the intervals over several partitions."""
+    r = random.Random(seed)
+    docs = [[r.choice("abc") for _ in range(r.randrange(1, 25))] for _ in range(12)]
+    df = spark.createDataFrame([(d, 0, "\n".join(x)) for d, x in enumerate(docs)], "did bigint, th bigint, text string")
+    first = linedup._segments(df, 0)
+    levels = linedup._levels(first)
+    ranges = type(df).repartitionByRange
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *by: ranges(self, 5, *by))
+    array = linedup._neighbours(levels[-1], levels[0])
+    prefixes = linedup._prefixes(array, levels, 0).orderBy("o").collect()
+    assert len({x.o >> 33 for x in prefixes}) > 2
+    segments = {(x.did, x.i): x.end for x in first.collect()}
+    order = [(x.did, x.i) for x in prefixes]
+    rank = {key: k for k, key in enumerate(sorted({line for x in docs for line in x}, key=lambda c: __import__("hashlib").md5(c.encode()).digest()))}
+    content = {(d, i): [rank[c] for c in docs[d][i : segments[(d, i)] + 1]] for d, i in segments}
+    assert order == sorted(content, key=lambda p: (content[p], p))
+    for a, b, x in zip(order, order[1:], prefixes[1:], strict=False):
+        n = 0
+        while n < min(len(content[a]), len(content[b])) and content[a][n] == content[b][n]:
+            n += 1
+        assert x.l == n
+    found = {}
+    for x in linedup._later(linedup._prefixes(array, levels, 0)).collect():
+        found[(x.did, x.i)] = max(x.m, found.get((x.did, x.i), 0))
+    assert {p: found.get(p, 0) for p in order} == _plain_lpf(docs, order)
+
+
+def test_copies_lose_all_lines_and_short_ones_stay(frame):
+    long, short = "\n".join(f"w{i} " * 9 for i in range(8)), "a few words\nof text"
+    rows = [(4, long), (9, long), (2, long), (3, short), (8, short), (11, long + "\nmore"), (12, "x\n" + long)]
+    got = _result(frame(rows), linedup.MIN_WORDS)
+    assert got == brute.dedup_lines(rows)
+    assert got[2][1] == 0 and got[4] == got[9] == (8, 8, "") and got[8][1] == 0 and got[11] == (9, 8, "more")
+
+
 def test_edge_rows(frame):
     rows = [(1, None), (2, ""), (3, "\n\n"), (None, "x " * 60), (7, "x " * 60), (7, "x " * 60)]
     got = sorted((r.doc_id or -1, r.n_lines, r.n_removed) for r in linedup.dedup_lines(frame(rows)).collect())
