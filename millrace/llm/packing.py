@@ -9,7 +9,8 @@ list of bins. The crossover copies whole well-filled bins of one parent into the
 copies of the same pieces or are not filled, and puts the displaced pieces back by best fit, largest first. Mutation
 dissolves the bins that are not filled and some others and puts their pieces back in the same way. Fewer bins win, then the larger mean squared fill. An epoch
 is GENERATIONS generations at most; after it each island's elite, its best packing, migrates to the next island of the
-block's ring, where it takes the place of the worst. Epochs go on as long as some block above its lower bound got better.
+block's ring, where it takes the place of the worst. Epochs go on in blocks above their lower bound, as long as one of
+them gets better.
 
 Of a block's best packing the bins that are filled up to SLACK settle. The pieces of all other bins are dealt to the fewer
 blocks of the next round. Where a round fills less than a part in PROGRESS of its pieces into such bins (pieces that fill
@@ -23,9 +24,12 @@ lengths are interchangeable: which of them shares a sequence is not defined. An
 from __future__ import annotations
 
 import random
+import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -36,7 +40,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import cut, id_text, slices
+from millrace.llm.frames import cut, id_text, map_slices
+from millrace.llm.words import words_of
 
 VOCABULARY = "word_bpe_49k.json"
 LENGTH = 4096
@@ -45,7 +50,8 @@ END = 1
 BLOCK = 4096
 ISLANDS = 2
 POPULATION = 6
-GENERATIONS = 24
+GENERATIONS = 10
+PATIENCE = 3
 #: Least and largest share of a donor's filled bins that a crossover injects, and of filled bins that a mutation leaves.
 GIFT, STAY = (0.3, 0.9), (0.5, 1.0)
 #: Free places up to which a bin counts as filled.
@@ -53,8 +59,8 @@ SLACK = 4
 PROGRESS = 8
 #: Tasks of an epoch, at most.
 MOST_TASKS = 4096
-#: Words and chunks remembered by a Python worker.
-REMEMBER = 300_000
+#: Words of up to LONG bytes that a Python worker remembers.
+REMEMBER, LONG = 500_000, 64
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -63,78 +69,97 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
-class ChunkTokenizer:
-    """Ids of whole texts as little-endian 32-bit bytes, word by word from a memory.
+class WordTokenizer:
+    """Ids of the texts of a slice, from a memory of words.
 
-    The pre-tokenizer never joins characters across white space, so a text's ids are those of its white-space chunks.
-    Chunks are normalised and split as the tokenizer does it, and its model encodes each new word once. Texts with
-    U+001C to U+001F, which Python takes for white space and the tokenizer does not, and texts that may hold a special
-    token go through the tokenizer itself.
+    The pre-tokenizer never joins characters across white space, so a text's ids are those of its words, one after the
+    other. The distinct words of a slice (by 64-bit hash, A-Z lower-cased) are normalised and split as the tokenizer does
+    it, and its model encodes each new one once; the ids of all words are then gathered as arrays. Texts with U+001C to
+    U+001F, which Python takes for white space and the tokenizer does not, and texts that may hold a special token go
+    through the tokenizer itself.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        added = self.whole.get_added_tokens_decoder().values()
-        self.special = regex.compile("|".join(regex.escape(t.content) for t in added) or "(?!)", regex.IGNORECASE)
+        added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
+        self.odd = re.compile(b"|".join([rb"[\x1c-\x1f]", *map(re.escape, added)]), re.IGNORECASE)
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_level = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = {}
 
-    def _word(self, word: str) -> bytes:
-        out = self.words.get(word)
+    def _part(self, part: str) -> bytes:
+        out = self.parts.get(part)
         if out is None:
-            spelt = word.encode().decode("latin-1").translate(self.byte_level)
-            out = np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
-            if len(self.words) >= REMEMBER:
-                self.words.clear()
-            self.words[word] = out
+            spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_level)
+            out = self.parts[part] = array("I", [t.id for t in self.whole.model.tokenize(spelt)]).tobytes()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        text = chunk.lower() if chunk.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", chunk))
-        return b"".join([self._word(w) for w in _SPLIT.findall(text)])
-
-    def ids(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f") or ("<" in text and self.special.search(text)):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        chunks, known = text.split(), self.chunks
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if word.isascii():
+            text = text.lower()
+        else:
+            text = unicodedata.normalize("NFC", text)
+            text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final sigma is like any other
+            if len(chunks := text.split()) > 1:
+                return b"".join([self._part(part) for chunk in chunks for part in _SPLIT.findall(chunk)])
+        if text.isalpha():
+            return self._part(text)
+        return b"".join([self._part(part) for part in _SPLIT.findall(text)])
+
+    def ids(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        w = words_of(column)
+        raw, known = w.data.tobytes(), self.words
         if len(known) >= REMEMBER:
             known.clear()
-        out = []
-        for c in chunks:
-            ids = known.get(c)
+            self.parts.clear()
+        _, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        own = []
+        for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True):
+            word = raw[s:e]
+            ids = known.get(word)
             if ids is None:
-                ids = known[c] = self._chunk(c)
-            out.append(ids)
-        return b"".join(out)
+                ids = self._word(word)
+                if e - s <= LONG:
+                    known[word] = ids
+            own.append(ids)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool = np.frombuffer(b"".join(own), "<u4")
+        counts = sizes[back]
+        ends = np.append(0, np.cumsum(counts))
+        every = pool[np.repeat((np.cumsum(sizes) - sizes)[back] - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = ends[w.first]
+        out = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        if self.odd.search(raw):
+            for k, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)):
+                if self.odd.search(raw, a, b):
+                    out[k] = np.array(self.whole.encode(raw[a:b].decode(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 @cache
-def _tokenizer(path: str) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
+def _tokenizer(path: str) -> WordTokenizer:
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of each document: number, start, length and CRC-32 of its ids."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, end = _tokenizer(path), np.array([END], "<u4").tobytes()
-        for batch in batches:
-            for part in slices(batch):
-                rows = []
-                for key, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids = tokenizer.ids(text) + end
-                    for k, at in enumerate(range(0, len(ids), 4 * length)):
-                        own = ids[at : at + 4 * length]
-                        rows.append((key, k, at // 4, len(own) // 4, zlib.crc32(own)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+    def run(part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for key, ids in zip(part.column("doc_id").to_pylist(), _tokenizer(path).ids(part.column("text")), strict=True):
+            ids = np.append(ids, np.array([END], "<u4"))
+            for k, at in enumerate(range(0, ids.size, length)):
+                own = ids[at : at + length]
+                rows.append((key, k, at, own.size, zlib.crc32(own.tobytes())))
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return map_slices(id_text(docs, id_col, text_col), run, PIECES)
 
 
 Bins = list[list[int]]
@@ -171,9 +196,22 @@ def _fills(bins: Bins, sizes: list[int]) -> list[int]:
     return [sum([sizes[i] for i in b]) for b in bins]
 
 
-def worth(bins: Bins, sizes: list[int]) -> tuple[int, int]:
-    """Sorts packings of the same pieces, the best first: fewer bins, then the larger sum of squared fills."""
-    return len(bins), -sum(f * f for f in _fills(bins, sizes))
+@dataclass
+class Packing:
+    """A chromosome: bins and their fills. Fewer bins come first, then the larger sum of squared fills."""
+
+    bins: Bins
+    fills: list[int]
+
+    @classmethod
+    def of(cls, bins: Bins, sizes: list[int]) -> Packing:
+        return cls(bins, _fills(bins, sizes))
+
+    def __post_init__(self) -> None:
+        self.worth = (len(self.bins), -sum([f * f for f in self.fills]))
+
+    def filled(self, length: int) -> Bins:
+        return [b for b, f in zip(self.bins, self.fills, strict=True) if f >= length - SLACK]
 
 
 def _least(sizes: list[int], length: int) -> int:
@@ -181,68 +219,58 @@ def _least(sizes: list[int], length: int) -> int:
     return max(-(-sum(sizes) // length), sum(2 * s > length for s in sizes))
 
 
-def _repaired(kept: Bins, sizes: list[int], length: int) -> Bins:
-    """The bins to keep, and all other pieces put back by best fit, largest first."""
-    placed = {i for b in kept for i in b}
-    displaced = sorted((i for i in range(len(sizes)) if i not in placed), key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, [list(b) for b in kept], length)
-
-
-def _filled(bins: Bins, sizes: list[int], length: int) -> Bins:
-    return [b for b, f in zip(bins, _fills(bins, sizes), strict=True) if f >= length - SLACK]
+def _repaired(kept: Bins, sizes: list[int], length: int) -> Packing:
+    """The bins to keep, and all other pieces put back by best fit, largest first. `sizes` descend."""
+    displaced = [True] * len(sizes)
+    for b in kept:
+        for i in b:
+            displaced[i] = False
+    return Packing.of(best_fit([i for i, d in enumerate(displaced) if d], sizes, [list(b) for b in kept], length), sizes)
 
 
-def crossover(base: Bins, donor: Bins, sizes: list[int], length: int, chance: random.Random) -> Bins:
+def crossover(base: Packing, donor: Packing, sizes: list[int], length: int, chance: random.Random) -> Packing:
     """Injects some of the donor's well-filled bins into the base. Base bins that hold copies of their pieces, and those
     that are not filled, lose their pieces, which best fit puts back."""
-    gift = _filled(donor, sizes, length)
+    gift = donor.filled(length)
     if not gift:  # then the fullest quarter
-        fills = _fills(donor, sizes)
-        gift = [donor[k] for k in sorted(range(len(donor)), key=lambda k: -fills[k])[: max(1, len(donor) // 4)]]
+        order = sorted(range(len(donor.bins)), key=lambda k: -donor.fills[k])
+        gift = [donor.bins[k] for k in order[: max(1, len(order) // 4)]]
     gift = chance.sample(gift, max(1, int(len(gift) * chance.uniform(*GIFT))))
     given = {i for b in gift for i in b}
-    return _repaired(gift + [b for b in _filled(base, sizes, length) if given.isdisjoint(b)], sizes, length)
+    return _repaired(gift + [b for b in base.filled(length) if given.isdisjoint(b)], sizes, length)
 
 
-def mutate(bins: Bins, sizes: list[int], length: int, chance: random.Random) -> Bins:
+def mutate(base: Packing, sizes: list[int], length: int, chance: random.Random) -> Packing:
     """Dissolves the bins that are not filled and some others; best fit puts their pieces back."""
-    filled = _filled(bins, sizes, length)
+    filled = base.filled(length)
     return _repaired(chance.sample(filled, int(len(filled) * chance.uniform(*STAY))), sizes, length)
 
 
-def _settles(bins: Bins, sizes: list[int], length: int) -> int:
-    return len(_filled(bins, sizes, length))
-
-
 def evolve(sizes: list[int], length: int = LENGTH, seed: int = 0, population: list[Bins] | None = None) -> tuple[list[Bins], int]:
     """One epoch of an island: its population, the best packing first, and the number of crossovers.
 
-    Without a population it starts from random ones. It ends early when as few bins as possible are left and all but one
-    are filled. Deterministic for given sizes, population and seed.
+    `sizes` descend. Without a population it starts from random ones. It ends early when as few bins as possible are left
+    and the best packing has not got better for PATIENCE generations. Deterministic for given sizes, population and seed.
     """
     chance = random.Random(seed)
-    bound, crossovers = _least(sizes, length), 0
+    bound, crossovers, idle = _least(sizes, length), 0, 0
     if not population:
         every = range(len(sizes))
         population = [best_fit(chance.sample(every, len(sizes)), sizes, [], length) for _ in range(POPULATION)]
-    ranked = sorted(((worth(b, sizes), k, b) for k, b in enumerate(population)), key=lambda x: x[:2])
+    ranked = sorted((Packing.of(b, sizes) for b in population), key=lambda x: x.worth)
     for _ in range(GENERATIONS):
-        children = []
-        for x, y in ((0, 1 + chance.randrange(len(ranked) - 1)), (1 + chance.randrange(len(ranked) - 1), 0)):
-            child = crossover(ranked[x][2], ranked[y][2], sizes, length, chance)
-            children.append(child)
-            crossovers += 1
-        children.append(mutate(ranked[0][2], sizes, length, chance))
-        pool = [b for _, _, b in ranked] + children
-        ranked = sorted(((worth(b, sizes), k, b) for k, b in enumerate(pool)), key=lambda x: x[:2])[:POPULATION]
-        best = ranked[0][2]
-        if len(best) <= bound and _settles(best, sizes, length) >= len(best) - 1:
+        best, other = ranked[0], ranked[chance.randrange(1, len(ranked))] if len(ranked) > 1 else ranked[0]
+        children = [crossover(best, other, sizes, length, chance), crossover(other, best, sizes, length, chance), mutate(best, sizes, length, chance)]
+        crossovers += 2
+        ranked = sorted(ranked + children, key=lambda x: x.worth)[:POPULATION]
+        idle = idle + 1 if ranked[0].worth == best.worth else 0
+        if ranked[0].worth[0] <= bound and idle >= PATIENCE:
             break
-    return [b for _, _, b in ranked], crossovers
+    return [x.bins for x in ranked], crossovers
 
 
 #: An island's state. `rids` and `sizes` are its block's pieces; a packing has the bin of each piece; the best comes first.
-ISLAND = "block int, island int, rids array<bigint>, sizes array<int>, packings array<array<int>>, bins int, bound int, settles int, squares bigint, crossovers bigint"
+ISLAND = "block int, island int, rids array<bigint>, sizes array<int>, packings array<array<int>>, bins int, bound int, squares bigint, crossovers bigint"
 
 
 def _bins(packing: np.ndarray) -> Bins:
@@ -271,9 +299,9 @@ def _epoch(islands: DataFrame, count: int, epoch: int, length: int) -> DataFrame
                 if r["guest"] is not None:
                     population = [_bins(p) for p in r["packings"]][: POPULATION - 1] + [_bins(r["guest"])]
                 population, crossovers = evolve(sizes, length, (int(r["block"]) * ISLANDS + int(r["island"])) * 1009 + epoch, population)
-                bins, squares = worth(population[0], sizes)
+                bins, squares = Packing.of(population[0], sizes).worth
                 row = {k: r[k] for k in ("block", "island", "rids", "sizes")}
-                row |= {"packings": [_packing(b, len(sizes)) for b in population], "bins": bins, "bound": _least(sizes, length), "settles": _settles(population[0], sizes, length)}
+                row |= {"packings": [_packing(b, len(sizes)) for b in population], "bins": bins, "bound": _least(sizes, length)}
                 yield pd.DataFrame([row | {"squares": -squares, "crossovers": int(r["crossovers"]) + crossovers}])
 
     return islands.repartition(max(1, min(count, MOST_TASKS)), "block", "island").mapInPandas(run, ISLAND)
@@ -286,27 +314,31 @@ def _ring(state: DataFrame) -> DataFrame:
 
 
 def _solved(waiting: DataFrame, blocks: int, number: int, length: int, report: list[dict] | None) -> DataFrame:
-    """The best island of each block, after as many epochs as make some block better."""
+    """The best island of each block, after as many epochs as make some block better; (block, rids, sizes, packing)."""
     dealt = waiting.select(F.pmod(F.xxhash64("rid", F.lit(number)), F.lit(blocks)).cast("int").alias("block"), "rid", F.col("length").cast("int").alias("length"))
-    problems = dealt.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("length", "rid"))).alias("p"))
+    problems = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("length", "rid")), asc=False).alias("p"))
     none = F.lit(None)
     state = problems.select(
         "block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), F.col("p.rid").alias("rids"), F.col("p.length").alias("sizes"),
         none.cast("array<array<int>>").alias("packings"), F.lit(0).cast("bigint").alias("crossovers"), none.cast("array<int>").alias("guest"),
     )
-    epoch, before = 0, None
-    best = F.min_by(F.struct("rids", "sizes", F.col("packings")[0].alias("packing"), "bins", "bound"), F.struct("bins", -F.col("squares"), "island")).alias("b")
+    out, epoch, before, count = None, 0, None, blocks
+    best = F.min_by(F.struct("rids", "sizes", F.col("packings")[0].alias("packing")), F.struct("bins", -F.col("squares"), "island")).alias("b")
     while True:
-        state = cut(_epoch(state, blocks * ISLANDS, epoch, length), "islands")
-        per_block = state.groupBy("block").agg(F.min("bins").alias("bins"), F.max("bound").alias("bound"), F.max("settles").alias("settles"), F.sum("crossovers").alias("crossovers"))
-        open_ = F.col("bins") > F.col("bound")
-        sums = per_block.agg(F.sum("bins").alias("bins"), F.sum("bound").alias("bound"), F.sum("settles").alias("settles"), F.sum("crossovers").alias("crossovers"), F.count_if(open_).alias("open")).first()
+        state = cut(_epoch(state, count * ISLANDS, epoch, length), "islands")
+        per_block = cut(state.groupBy("block").agg(*[f(c).alias(c) for f, c in ((F.min, "bins"), (F.max, "bound"), (F.sum, "crossovers"))]), "blocks")
+        open_blocks = per_block.filter("bins > bound")
+        sums = per_block.agg(*[F.sum(c).alias(c) for c in ("bins", "bound", "crossovers")], F.sum(F.when(F.col("bins") > F.col("bound"), F.col("bins"))).alias("open_bins"), F.count_if(F.col("bins") > F.col("bound")).alias("open")).first()
         if report is not None:
-            report.append({"round": number, "epoch": epoch, "blocks": blocks, **sums.asDict()})
-        if not sums["open"] or (before is not None and sums["bins"] >= before):
-            return state.groupBy("block").agg(best).select("block", "b.*")
-        before, epoch = sums["bins"], epoch + 1
-        state = _ring(state)
+            report.append({"round": number, "epoch": epoch, "blocks": count, **sums.asDict()})
+        last = not sums["open"] or (before is not None and sums["bins"] >= before)
+        solved = state if last else state.join(open_blocks.select("block"), "block", "left_anti")
+        solved = solved.groupBy("block").agg(best).select("block", "b.*")
+        out = solved if out is None else out.unionByName(solved)
+        if last:
+            return out
+        state = _ring(state.join(open_blocks.select("block"), "block", "left_semi"))
+        before, count, epoch = sums["open_bins"], sums["open"], epoch + 1
 
 
 PLACED = "rid bigint, sequence_id bigint, offset bigint, filled boolean, emptiest boolean"
