@@ -9,9 +9,10 @@
    band lies in one family. Families of up to BLOCK classes are one group of texts; larger ones are dealt to groups by a
    hash, and a few pivots of the family go to each group. Within a group, pairs whose sketches are close are confirmed on
    their full sets, closest first, unless they are connected already; only links that connect are emitted.
-4. Larger families of several components are split again by their rare shingles. In the order of their frequency in the
-   family, rarest first, two sets of a and b shingles that are linked share one of their first a - m + 1 and b - m + 1,
-   where m = 3 (a + b) / 7 is the least intersection. Components of the graph of these shared shingles are exact in that no
+4. Larger families of several components are split again by their rare shingles. In any common order two sets of a and b
+   shingles that are linked share one of their first a - m + 1 and b - m + 1, where m = 3 (a + b) / 7 is the least
+   intersection; the order here is by frequency in a sample of the family, rarest first. The largest component gives only
+   the shingles that others of the family look at. Components of the graph of these shared shingles are exact in that no
    link lies between them; texts that share a template, but no link, fall apart here, as their rarest shingles are their
    own. Within what is left, everything outside the largest component meets all members, in blocks of bounded size. So no
    link between different components of a family is lost, and a family of thousands of near copies, which step 3 has
@@ -32,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import bloom, cut, discard, id_text, map_slices, slices
+from millrace.llm.frames import Bloom, bloom, cut, discard, id_text, map_slices, slices
 from millrace.llm.graph import components
 from millrace.llm.words import mix, shingle_sets, words_of
 
@@ -48,7 +49,8 @@ SCREEN = 0.5
 #: Texts in a group, and pivots of a large family in each of its groups.
 BLOCK = 128
 PIVOTS = 8
-#: Sizes of sets are put into classes that grow by this factor.
+#: Texts of a large family that say which shingles are rare in it, and the factor by which classes of set sizes grow.
+SAMPLE = 16
 CLASS = 1.04
 #: intersection * DENOMINATOR >= union * NUMERATOR
 NUMERATOR, DENOMINATOR = 75, 100
@@ -229,53 +231,82 @@ def _first_round(members: DataFrame) -> DataFrame:
     return own.unionByName(pivots.select("family", F.lit(0).alias("qb"), F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), *rest))
 
 
-_SHINGLES = pa.schema([("family", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("s", pa.int64())])
-
-
-def _shingle_rows(members: DataFrame) -> DataFrame:
-    """(family, node, size, s): a row for each shingle of each member."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, offsets = shingle_sets(words_of(batch.column("text")))
-        sizes = np.diff(offsets)
-        family, node = (np.repeat(batch.column(c).to_numpy(), sizes) for c in ("family", "node"))
-        columns = [pa.array(family), pa.array(node), pa.array(np.repeat(sizes, sizes).astype(np.int32)), pa.array(own.view(np.int64))]
-        return pa.RecordBatch.from_arrays(columns, schema=_SHINGLES)
-
-    return map_slices(members, run, "family bigint, node bigint, size int, s bigint")
-
-
-def _prefix_keys(members: DataFrame) -> DataFrame:
-    """(node, key): keys of rare shingles, such that linked members of a family share one.
-
-    A key is a shingle and the size classes of the smaller and the larger set. For each class that a partner may have, a
-    set gives those of its rarest shingles of which a linked partner of the class's smallest size must share one.
-    """
-    rows = cut(_shingle_rows(members), "shingles")
-    counts = rows.groupBy("family", "s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(counts, ["family", "s"]).withColumn("place", F.row_number().over(Window.partitionBy("family", "node").orderBy("df", "s")))
-    size = F.col("size")
-    own = F.floor(F.log(CLASS, size)).cast("int")
-    low = F.floor(F.log(CLASS, F.greatest(size * NUMERATOR / DENOMINATOR - 1, F.lit(1)))).cast("int")
-    high = F.floor(F.log(CLASS, size * DENOMINATOR / NUMERATOR + 1)).cast("int")
-    near = ranked.filter(f"df > 1 and place <= size * {1 - NUMERATOR / DENOMINATOR} + 2").select("family", "node", "s", "place", size, own.alias("own"), F.explode(F.sequence(low - 1, high + 1)).alias("other"))
-    least = F.floor(F.pow(F.lit(CLASS), "other") * (1 - 1e-9))  # no set of that class is smaller
-    fewest = F.ceil(F.lit(NUMERATOR / (NUMERATOR + DENOMINATOR)) * (size + least) - 1e-9)
-    near = near.filter(F.col("place") <= size - fewest + 1)
-    key = F.xxhash64("family", "s", F.least("own", "other"), F.greatest("own", "other"))
-    keys = cut(near.select("node", key.alias("key"), "own", "other"), "prefixes")
-    both = keys.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.min("node").alias("a"), F.max("node").alias("z"), F.bool_or(F.col("own") == F.col("other")).alias("same"))
+def _classes(size: int) -> tuple[int, list[tuple[int, int]]]:
+    """The size class of a set, and for each class that a linked partner may have the number of rare shingles to look at:
+    of its first so many in any order, it shares one with each linked partner of that class."""
+    own = int(np.floor(np.log(size) / np.log(CLASS)))
+    out = []
+    low = np.log(max(size * NUMERATOR / DENOMINATOR - 1, 1)) / np.log(CLASS)
+    high = np.log(size * DENOMINATOR / NUMERATOR + 1) / np.log(CLASS)
+    for other in range(int(low) - 1, int(high) + 2):
+        least = int(np.floor(CLASS**other * (1 - 1e-9)))  # no set of that class is smaller
+        fewest = -(-NUMERATOR * (size + least) // (NUMERATOR + DENOMINATOR))
+        if size - fewest + 1 > 0:
+            out.append((other, size - fewest + 1))
+    return own, out
+
+
+_KEYS = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("own", pa.int32()), ("other", pa.int32())])
+
+
+def _prefixes(groups: DataFrame, sieve: Bloom | None) -> DataFrame:
+    """(node, key, own, other) of rows (family, ab, kind, node, text), kind 0 a sample of the family, which each of its groups
+    gets: keys of each member's rarest shingles, rare meaning in few texts of the sample. With a sieve only keys in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, sample, tokens, counts = None, [], None, None
+        for batch in batches:
+            for part in slices(batch):
+                own, offsets = shingle_sets(words_of(part.column("text")))
+                out = []
+                for i, (family, ab, kind, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("family", "ab", "kind", "node")), strict=True)):
+                    if (family, ab) != group:
+                        group, sample, tokens = (family, ab), [], None
+                    x = own[offsets[i] : offsets[i + 1]]
+                    if kind == 0:
+                        sample.append(x.copy())
+                        continue
+                    if tokens is None:
+                        tokens, counts = np.unique(np.concatenate([np.zeros(1, np.uint64), *sample]), return_counts=True)
+                    at = np.minimum(np.searchsorted(tokens, x), tokens.size - 1)
+                    x = x[np.lexsort((x, np.where(tokens[at] == x, counts[at], 0)))]
+                    place = mix(np.array([family], np.int64).view(np.uint64))
+                    mine, others = _classes(x.size)
+                    for other, n in others:
+                        pair = np.uint64(min(mine, other) * 100_000 + max(mine, other))
+                        keys = mix(x[:n] ^ mix(place ^ pair))
+                        keys = keys if sieve is None else keys[sieve.array(keys)]
+                        out.append((np.full(keys.size, node), keys.view(np.int64), np.full(keys.size, mine, np.int32), np.full(keys.size, other, np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_KEYS)
+
+    by = ["family", "ab"]
+    return groups.repartition(*by).sortWithinPartitions(*by, "kind", "node").mapInArrow(run, "node bigint, key bigint, own int, other int")
+
+
+def _rare_links(large: DataFrame) -> DataFrame:
+    """Links (a, b) between members (family, node, comp, top, n, text) of a family that share a key of rare shingles, such that
+    no two linked ones of different components stay apart. `top` is the family's largest component."""
+    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    sample = large.filter(F.pmod(F.xxhash64("node", F.lit(3)), "n") < SAMPLE)
+    sample = sample.select("family", F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), F.lit(0).alias("kind"), "node", "text")
+    own = large.select("family", F.pmod(F.xxhash64("node"), count).cast("int").alias("ab"), F.lit(1).alias("kind"), "node", "text", (F.col("comp") != F.col("top")).alias("q"))
+    queries = cut(_prefixes(sample.unionByName(own.filter("q").drop("q")), None), "query-keys")
+    others = cut(_prefixes(sample.unionByName(own.filter("not q").drop("q")), bloom(queries.select("key"))), "other-keys")
+    keys = queries.unionByName(others)
+    both = keys.groupBy("key").agg(*[f(c).alias(n) for f, c, n in ((F.min, "own", "low"), (F.max, "own", "high"), (F.min, "node", "a"), (F.max, "node", "z"))], F.bool_or(F.col("own") == F.col("other")).alias("same"))
     both = both.filter("a < z and (same or low < high)").select("key")  # a smaller and a larger set, or two of one class
-    return keys.select("node", "key").join(both, "key").select("node", "key")
+    return _stars(cut(keys.select("node", "key").join(both, "key").select("node", "key"), "keys"))
 
 
 def _second_round(members: DataFrame, labels: DataFrame) -> DataFrame | None:
     """In families of several groups and components: what shares rare shingles, blocks of what lies outside the largest
     component against blocks of all. None if nothing is left to compare."""
-    large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "node", F.coalesce("label", "node").alias("comp"), "text")
+    large = members.filter(F.col("n") > BLOCK).join(labels, "node", "left").select("family", "n", "node", F.coalesce("label", "node").alias("comp"), "text")
     large = cut(large, "large")
-    several = large.groupBy("family").agg(F.min("comp").alias("a"), F.max("comp").alias("z")).filter("a < z").select("family")
-    split = components(_stars(cut(_prefix_keys(large.join(cut(several, "several"), "family", "left_semi")), "keys"))).withColumnRenamed("label", "part")
+    tops = large.groupBy("family", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("family").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("top"))
+    tops = cut(tops.filter("comps > 1").select("family", "top"), "several")
+    split = components(_rare_links(large.join(tops, "family"))).withColumnRenamed("label", "part")
     placed = cut(large.select("node", "comp").join(split, "node"), "parts")
     sizes = placed.groupBy("part", "comp").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("part").agg(
