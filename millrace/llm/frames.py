@@ -47,9 +47,9 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Shifts of a 64-bit key that give a Bloom filter's probes, and the filter's bits: per key, at least, at most (16 MB).
-PROBES = (0, 13, 26, 37)
-BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 32, 1 << 13, 1 << 27
+#: Shifts of a 64-bit key that give a Bloom filter's probes, and the filter's bits: per key, at least, at most (4 MB).
+PROBES = (0, 13, 26, 39)
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 13, 1 << 25
 
 
 @dataclass
@@ -79,7 +79,7 @@ class Bloom:
 
 
 def bloom(keys: DataFrame) -> Bloom:
-    """Of the one column of 64-bit keys. The driver gets one number for each 64 bits of the map, at most 16 MB."""
+    """Of the one column of 64-bit keys. The driver gets one number for each 64 bits of the map, at most half a million."""
     keys = keys.toDF("key").filter("key is not null")
     size = FEWEST_BITS
     while size < min(MOST_BITS, BITS_PER_KEY * keys.count()):
