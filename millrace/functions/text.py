@@ -10,7 +10,7 @@ def tokens(text: Column | str, separator: str = " ") -> Column:
     """Array of the non-empty pieces between separators; null text has none."""
     col = F.col(text) if isinstance(text, str) else text
     literal = f"\\Q{separator}\\E"
-    return F.filter(F.split(F.coalesce(col, F.lit("")), literal), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col, F.lit("")), literal), "")
 
 
 def threshold_status(value: Column | str, limit: float) -> Column:

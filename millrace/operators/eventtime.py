@@ -6,6 +6,7 @@ pair is late when the window's end is not after it. Results do not depend on how
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,6 +40,45 @@ class Sliding:
         return F.window(ts, self.size, self.slide)
 
 
+@dataclass(frozen=True)
+class Custom:
+    """An own assigner: a function from the time column's name to an array of structs (start, end)."""
+
+    spans: Callable[[str], Column]
+
+
+Windows = Tumbling | Sliding | Custom
+
+
+@dataclass(frozen=True)
+class Bounded:
+    """The watermark follows the largest time, less a delay."""
+
+    delay: str
+
+    def mark(self, ts: str) -> Column:
+        return F.col(ts)
+
+
+@dataclass(frozen=True)
+class Marked:
+    """An own strategy: each record may set a mark, a column that is null where it sets none; the watermark is the largest
+    mark so far, less a delay. Any watermark that only rises is of this form."""
+
+    by: Column
+    delay: str = "0 seconds"
+
+    def mark(self, ts: str) -> Column:
+        return self.by
+
+
+Strategy = Bounded | Marked
+
+
+def strategy_of(given: str | Strategy) -> Strategy:
+    return Bounded(given) if isinstance(given, str) else given
+
+
 _UNITS = {"millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
 
 
@@ -51,19 +91,23 @@ def delay_of(delay: str) -> Column:
     return F.make_dt_interval(secs=F.lit(_micros(delay) / 1e6).cast("decimal(18,6)"))
 
 
-def watermark_before(df: DataFrame, ts: str, order: list[str], delay: str, name: str = "wm") -> DataFrame:
-    """Adds the watermark that holds when the row arrives; null before the first row."""
-    return running_max_before(df, F.col(ts), order, name).withColumn(name, F.col(name) - delay_of(delay))
+def watermark_before(df: DataFrame, ts: str, order: list[str], strategy: str | Strategy, name: str = "wm") -> DataFrame:
+    """Adds the watermark that holds when the row arrives; null before the first mark. A strategy may be a delay."""
+    s = strategy_of(strategy)
+    return running_max_before(df, s.mark(ts), order, name).withColumn(name, F.col(name) - delay_of(s.delay))
 
 
-def watermark_after(df: DataFrame, ts: str, order: list[str], delay: str, name: str = "wm") -> DataFrame:
+def watermark_after(df: DataFrame, ts: str, order: list[str], strategy: str | Strategy, name: str = "wm") -> DataFrame:
     """Adds the watermark right after the row, which counts the row itself."""
-    top = running_max_before(df, F.col(ts), order, name)
-    return top.withColumn(name, F.greatest(F.col(name), F.col(ts)) - delay_of(delay))
+    s = strategy_of(strategy)
+    top = running_max_before(df, s.mark(ts), order, name)
+    return top.withColumn(name, F.greatest(F.col(name), s.mark(ts)) - delay_of(s.delay))
 
 
-def assign_windows(df: DataFrame, ts: str, windows: Tumbling | Sliding) -> DataFrame:
+def assign_windows(df: DataFrame, ts: str, windows: Windows) -> DataFrame:
     """A row for each window that holds the time, with win_start and win_end. Rows with a null time have none."""
+    if isinstance(windows, Custom):
+        return assign_custom(df, windows.spans(ts))
     kind = df.schema[ts].dataType.simpleString()
     return (
         df.withColumn("__w", windows.column(ts))

@@ -46,13 +46,15 @@ def running_best(df: DataFrame, key: str, order: str, value: str, fields: list[s
     return df.withColumn("__best", best).select("*", *[F.col(f"__best.{f}").alias(prefix + f) for f in fields]).drop("__best")
 
 
-def ordered_fold(df: DataFrame, key: str, order: str, item: Column, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
-    """A left fold in arrival order for each key with a column function, commutative or not.
+def ordered_fold(df: DataFrame, keys: str | list[str | Column], order: str, item: Column, start: Column, step: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """A left fold in arrival order for each key (or key and window) with a column function, commutative or not.
 
-    The items of a key are collected, so it is for keys of bounded size; `final_reduce` has no such bound.
+    The items of a key are collected, so it is for keys, or keys and windows, of bounded size; `final_reduce` has no such
+    bound, and `last_of_fold` folds a key of any size with a Python function.
     """
     items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), item.alias("v"))))
-    return df.groupBy(key).agg(F.aggregate(items, start, lambda acc, x: step(acc, x["v"])).alias(name))
+    keys = [keys] if isinstance(keys, str) else keys
+    return df.groupBy(*keys).agg(F.aggregate(items, start, lambda acc, x: step(acc, x["v"])).alias(name), F.min(order).alias(order))
 
 
 def running_fold(df: DataFrame, key: str, order: str, value: str, fn: Callable[[Any, Any], Any], kind: str, name: str) -> DataFrame:
@@ -79,6 +81,32 @@ def running_fold(df: DataFrame, key: str, order: str, value: str, fn: Callable[[
     return df.repartition(F.col(key)).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
+def last_of_fold(df: DataFrame, keys: list[str], order: str, value: str, fn: Callable[[Any, Any], Any], kind: str, name: str) -> DataFrame:
+    """The last value of an opaque fold in arrival order for each of the keys: rows stream through, one key at a time."""
+    from pyspark.sql.types import StructType
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = StructType.fromDDL(f"{kinds}, `{name}` {kind}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, acc = None, None
+        for batch in batches:
+            out = []
+            for row in zip(*(batch[k] for k in keys), batch[value], strict=True):
+                key = tuple(None if pd.isna(x) else x for x in row[:-1])
+                if key != last:
+                    if last is not None:
+                        out.append((*last, acc))
+                    last, acc = key, row[-1]
+                else:
+                    acc = fn(acc, row[-1])
+            yield pd.DataFrame(out, columns=schema.names)
+        if last is not None:
+            yield pd.DataFrame([(*last, acc)], columns=schema.names)
+
+    return df.select(*keys, order, value).repartition(*keys).sortWithinPartitions(*keys, order).mapInPandas(run, schema)
+
+
 def previous_value(df: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
     """What a value state holds when a row arrives: the key's previous value, null at first."""
     return df.withColumn(name, F.lag(value).over(Window.partitionBy(key).orderBy(order)))

@@ -69,6 +69,13 @@ def set_parallelism(df: DataFrame, n: int) -> DataFrame:
     return df.repartition(n)
 
 
+def partition_by(df: DataFrame, channel: Column, n: int) -> DataFrame:
+    """Row r goes to partition `channel` mod n; a null channel goes to partition 0."""
+    if n < 1:
+        raise ValueError("parallelism must be at least 1")
+    return df.repartitionById(n, F.pmod(F.coalesce(channel.cast("bigint"), F.lit(0)), F.lit(n).cast("bigint")).cast("int"))
+
+
 def rebalance(df: DataFrame, n: int, order: str, name: str = "channel") -> DataFrame:
     """Round-robin in arrival order as a visible column: row k of the order goes to channel k mod n."""
     if n < 1:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,10 +29,12 @@ def build_session(name: str = "millrace", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which all executors see.
 
-    Only where that setting is missing (tests on one machine) is a local folder used.
+    Only on one machine may that setting be missing; a local folder does there. On a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = context_dir.get() if context_dir.isDefined() else os.path.join(tempfile.gettempdir(), "millrace")
+        if not context_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = context_dir.get() if context_dir.isDefined() else "/tmp/millrace"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.prefix import ordinal
+
 ORDER = "ord"
 
 
@@ -18,14 +20,14 @@ def collection(spark: SparkSession, rows: Iterable[Any], schema: str) -> DataFra
 
 
 def replay_from(df: DataFrame, offset: int, order: str = ORDER) -> DataFrame:
-    """What a source emits again after a restore at `offset`: everything behind the first `offset` rows."""
+    """What a source emits again after a restore at `offset`: everything behind the first `offset` rows of the order."""
     if offset < 0:
         raise ValueError("offset must not be negative")
-    return df.filter(F.col(order) >= offset)
+    return ordinal(df, order, "__at").filter(F.col("__at") >= offset).drop("__at")
 
 
 def shard(df: DataFrame, parallelism: int, order: str = ORDER, name: str = "subtask") -> DataFrame:
-    """Element i belongs to subtask i mod parallelism."""
+    """Element i of the order (its position, not its value) belongs to subtask i mod parallelism."""
     if parallelism < 1:
         raise ValueError("parallelism must be at least 1")
-    return df.withColumn(name, F.pmod(F.col(order), F.lit(parallelism).cast("bigint")))
+    return ordinal(df, order, "__at").withColumn(name, F.pmod("__at", F.lit(parallelism).cast("bigint"))).drop("__at")

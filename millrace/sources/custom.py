@@ -1,11 +1,14 @@
 """User-written sources as a Python data source, for batch and for streams.
 
-A source is a function `fn(subtask, parallelism)` that yields tuples in a fixed order. Each subtask is one input
-partition. Its position in the function's output is the offset, so a replay after a failure skips what was committed.
+A source is a function `fn(subtask, parallelism, start)` that yields tuples in a fixed order, from element `start` on; a
+function of two arguments always begins at element 0, and what comes before the offset is skipped, so it suits sources
+of a few batches. Each subtask is one input partition. Its position in the function's output is the offset, so a replay
+after a failure skips what was committed.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -13,7 +16,13 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-SourceFunction = Callable[[int, int], Iterator[tuple]]
+SourceFunction = Callable[..., Iterator[tuple]]
+
+
+def _from(fn: SourceFunction, subtask: int, parallelism: int, start: int) -> Iterator[tuple]:
+    if len(inspect.signature(fn).parameters) > 2:
+        return iter(fn(subtask, parallelism, start))
+    return islice(fn(subtask, parallelism), start, None)
 
 
 class _Slice(InputPartition):
@@ -34,7 +43,7 @@ class _BatchReader(DataSourceReader):
         return [_Slice(i) for i in range(self.parallelism)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        yield from self.fn(partition.subtask, self.parallelism)
+        yield from _from(self.fn, partition.subtask, self.parallelism, 0)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -57,7 +66,7 @@ class _StreamReader(DataSourceStreamReader):
         return [_Slice(i, start["n"], end["n"]) for i in range(self.parallelism)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        yield from islice(self.fn(partition.subtask, self.parallelism), partition.start, partition.end)
+        yield from islice(_from(self.fn, partition.subtask, self.parallelism, partition.start), partition.end - partition.start)
 
 
 class FunctionSource(DataSource):
@@ -82,11 +91,16 @@ def add_source(
     parallelism: int = 1,
     streaming: bool = False,
     step: int = 100,
-    limit: int = 1 << 40,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The rows that `fn` yields in each subtask, as a batch or as a stream of `step` rows per subtask and batch."""
+    """The rows that `fn` yields in each subtask, as a batch or as a stream of `step` rows per subtask and batch.
+
+    A stream needs `limit`, the number of elements of a subtask after which it ends; the batch ends with the function.
+    """
     if parallelism < 1:
         raise ValueError("parallelism must be at least 1")
+    if streaming and limit is None:
+        raise ValueError("a stream needs a limit")
     spark.dataSource.register(FunctionSource)
     reader = spark.readStream if streaming else spark.read
     return (
@@ -95,6 +109,6 @@ def add_source(
         .option("columns", columns)
         .option("parallelism", str(parallelism))
         .option("step", str(step))
-        .option("limit", str(limit))
+        .option("limit", str(limit or 0))
         .load()
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import shared_dir
+
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Batch face of `<root>/<name>.parquet`."""
@@ -27,6 +29,18 @@ def stream_table(spark: SparkSession, root: str, name: str, files_per_batch: int
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
 
 
+def replay_files(df: DataFrame, order: str, parts: int) -> str:
+    """Writes the rows as `parts` files in arrival order and returns their folder. Read as a stream with one file for each
+    batch, they arrive in that order: files are written one after the other, and the file source goes by their age."""
+    folder = shared_dir(df.sparkSession, "replay")
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    step = -(-((high or 0) - (low or 0) + 1) // parts)
+    for k in range(parts):
+        begin = (low or 0) + k * step
+        df.filter((F.col(order) >= begin) & (F.col(order) < begin + step)).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def with_cents(events: DataFrame) -> DataFrame:
     """Adds `c`, the value in integer cents, so that sums do not depend on their order."""
     return events.withColumn("c", F.round(F.col("value") * 100).cast("bigint"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from millrace import from_collection
 from millrace.functions.text import threshold_status, tokens
 from millrace.operators import eventtime, keyed, stateless
-from millrace.operators.eventtime import Sliding, Tumbling
+from millrace.operators.eventtime import Custom, Marked, Sliding, Tumbling
 from millrace.sources.collection import collection, replay_from, shard
 
 
@@ -45,6 +45,9 @@ def test_shard_rebalance_replay(spark):
     assert got == {10: 0, 11: 1, 12: 0, 13: 1, 14: 0}
     assert [r.channel for r in stateless.rebalance(df, 3, "ord").orderBy("ord").collect()] == [0, 1, 2, 0, 1]
     assert [r.x for r in replay_from(df, 2).orderBy("ord").collect()] == [12, 13, 14]
+    sparse = spark.createDataFrame([(10, "a"), (20, "b"), (30, "c")], "ord bigint, x string")
+    assert {r.x: r.subtask for r in shard(sparse, 2).collect()} == {"a": 0, "b": 1, "c": 0}
+    assert [r.x for r in replay_from(sparse, 1).orderBy("ord").collect()] == ["b", "c"]
     for bad in (lambda: shard(df, 0), lambda: stateless.rebalance(df, 0, "ord"), lambda: replay_from(df, -1)):
         with pytest.raises(ValueError):
             bad()
@@ -157,6 +160,55 @@ def test_window_without_time_is_one_per_key(spark):
     assert {r.key: r.n for r in got} == {"a": 3, "b": 5}
 
 
+def test_streams_go_on_behind_windows(spark):
+    s = _timed(spark, [("a", 1, 100), ("a", 2, 1200), ("b", 4, 1300), ("a", 8, 2100)]).assign_timestamps_and_watermarks("ts")
+    seconds = s.key_by("key").window(Tumbling("1 second")).reduce(F.sum("value").alias("total"))
+    assert [(r.key, r.total) for r in seconds.collect()] == [("a", 1), ("a", 2), ("b", 4), ("a", 8)]
+    tens = seconds.map(total=F.col("total") * 10).filter(F.col("total") > 10).key_by("key").sum("total")
+    assert [(r.key, r["sum"]) for r in tens.collect()] == [("a", 20), ("b", 40), ("a", 100)]
+
+
+def test_window_fold_need_not_commute(spark):
+    s = _timed(spark, [("a", 1, 100), ("a", 2, 50), ("a", 7, 1100), ("a", 3, 300)]).assign_timestamps_and_watermarks("ts", "1 minute")
+    got = s.key_by("key").window(Tumbling("1 second")).fold(F.col("value"), F.lit(0), lambda a, x: a * 10 + x, "digits")
+    assert [r.digits for r in got.collect()] == [123, 7]
+
+
+def test_own_assigner_and_strategy_on_the_fluent_api(spark):
+    whole = Custom(lambda ts: F.array(F.struct(F.timestamp_millis(F.lit(0)).alias("start"), F.timestamp_millis(F.lit(5000)).alias("end"))))
+    s = _timed(spark, [("a", 1, 100), ("a", 2, 9000), ("a", 4, 200)])
+    late = s.assign_timestamps_and_watermarks("ts").key_by("key").window(whole).reduce(F.sum("value").alias("total"))
+    assert [r.total for r in late.collect()] == [3]
+    marked = s.assign_timestamps_and_watermarks("ts", Marked(F.when(F.col("value") > 2, F.col("ts")), "1 second"))
+    assert [r.total for r in marked.key_by("key").window(whole).reduce(F.sum("value").alias("total")).collect()] == [7]
+
+
+def test_composite_and_computed_keys(spark):
+    s = from_collection(spark, [("a", 1), ("b", 3), ("a", 2)], "k string, x int")
+    assert _values(s.key_by(F.col("x") % 2, name="odd").sum("x"), "sum") == [1, 4, 2]
+    assert _values(s.key_by("k", F.col("x") % 2).sum("x"), "sum") == [1, 3, 2]
+
+
+def test_own_partitioner(spark):
+    s = from_collection(spark, range(6), "x int").partition_by(F.col("x") * 2 + 1, 4)
+    rows = s.df.withColumn("p", F.spark_partition_id()).collect()
+    assert all(r.p == (2 * r.x + 1) % 4 for r in rows)
+    with pytest.raises(ValueError, match="parallelism"):
+        s.partition_by(F.lit(0), 0)
+
+
+def test_last_of_fold_streams_keys(spark):
+    df = collection(spark, [("a", 1), (None, 5), ("a", 2), (None, 6), ("b", 9)], "k string, x int")
+    got = keyed.last_of_fold(df, ["k"], "ord", "x", lambda a, b: a * 10 + b, "bigint", "n").collect()
+    assert {r.k: r.n for r in got} == {"a": 12, None: 56, "b": 9}
+
+
+def test_opaque_functions_on_the_fluent_api(spark):
+    s = from_collection(spark, [3, 4], "x int")
+    assert _values(s.map_rows(lambda r: (r["x"] * 2, r["ord"]), "x int, ord bigint"), "x") == [6, 8]
+    assert _values(s.flat_map_rows(lambda r: [(r["x"], r["ord"])] * 2, "x int, ord bigint"), "x") == [3, 3, 4, 4]
+
+
 def test_plan_shapes(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
