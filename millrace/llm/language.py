@@ -2,12 +2,14 @@
 
 Learning counts character trigrams (letters lower-cased, everything else a space, centred on a letter) in BINS hashed
 bins for each language, over all training documents. A word's likelihood in a language is the product of its trigrams'.
-For each document, EM estimates the share of each language. The set of languages is chosen by penalised likelihood:
+For each document, EM estimates the share of each language, until no share moves by more than TOLERANCE. The set of languages is chosen by penalised likelihood:
 from all languages down to one, the smallest share is dropped again and again, the shares are fitted anew, and the set with
 the best log likelihood - PENALTY * (size - 1) * log(words) wins. The prediction is the language with the largest share.
 
-Null texts and texts without a letter are `und` with score 0. Rows are judged each. Without training rows all is `und`.
-A null doc_id counts as held out. At most MAX_LANGUAGES languages; more raise an error.
+Null texts and texts without a letter are `und` with score 0. Very long texts are judged whole. Of equal shares the language
+that comes first in the alphabet leads. Rows are judged each, repeated ones alike. Without training rows all is `und`. A
+null doc_id counts as held out. An empty table gives no rows. There may be any number of languages; the driver and each
+task hold BINS numbers for each.
 """
 
 from __future__ import annotations
@@ -24,9 +26,9 @@ from millrace.llm.frames import held_out, slices
 
 BINS = 1 << 16
 SMOOTH = 0.5
-MAX_LANGUAGES = 64
 PENALTY = 2.0
-STEPS, AGAIN = 6, 3
+#: Steps of EM, at most; it ends when no share moves by more than TOLERANCE.
+STEPS, TOLERANCE = 100, 0.002
 FOLDS, FOLD = 4, 2
 
 
@@ -63,8 +65,6 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
                 for k, lang in enumerate(part.column("lang").to_pylist()):
                     if lang not in counts:
                         counts[lang] = np.zeros(BINS, np.int64)
-                        if len(counts) > MAX_LANGUAGES:
-                            raise ValueError(f"more than {MAX_LANGUAGES} languages")
                     own = bins[at[k] : at[k + 1]]
                     if own.size > BINS // 8:
                         counts[lang] += np.bincount(own, minlength=BINS)
@@ -75,22 +75,39 @@ def learn(docs: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
             yield pa.record_batch([pa.array([lang] * b.size, pa.string()), pa.array(b.astype(np.int32)), pa.array(c[b])], ["lang", "bin", "n"])
 
     summed = rows.mapInArrow(run, "lang string, bin int, n bigint").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    got = summed.toPandas()  # at most MAX_LANGUAGES * BINS rows
-    langs = sorted(got["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counts = np.full((len(langs), BINS), SMOOTH)
-    counts[[langs.index(x) for x in got["lang"]] if len(got) else [], got["bin"].to_numpy(int)] += got["n"].to_numpy(float)
-    return langs, np.log(counts / counts.sum(axis=1, keepdims=True)) if langs else counts
+    one = summed.groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("c")).select("lang", F.col("c.bin").alias("bins"), F.col("c.n").alias("n"))
+    langs, rows_of = [], []
+    for r in one.orderBy("lang").toLocalIterator():  # a row for each language, with at most BINS counts
+        counts = np.full(BINS, SMOOTH)
+        counts[np.array(r["bins"], int)] += np.array(r["n"], float)
+        langs.append(r["lang"])
+        rows_of.append(np.log(counts / counts.sum()).astype(np.float32))
+    return langs, np.stack(rows_of) if langs else np.zeros((0, BINS), np.float32)
 
 
 def _fit(lik: np.ndarray, doc: np.ndarray, first: np.ndarray, shares: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM from given shares (documents, languages); zero shares stay zero. Returns shares and log likelihoods."""
-    n = np.diff(first, append=doc.size)[:, None]
+    """EM from given shares (documents, languages); zero shares stay zero. Returns shares and log likelihoods.
+
+    Each document leaves once its shares are settled.
+    """
+    n = np.diff(first, append=doc.size)
+    shares = shares.copy()
+    rows, own, at, left = lik, doc, first, np.arange(first.size)
     for _ in range(steps):
-        joint = lik * shares[doc]
+        joint = rows * shares[own]
         joint /= joint.sum(axis=1, keepdims=True)
-        shares = np.add.reduceat(joint, first, axis=0) / n
+        new = np.add.reduceat(joint, at, axis=0) / n[left][:, None]
+        moves = np.abs(new - shares[left]).max(axis=1) > TOLERANCE
+        shares[left] = new
+        if not moves.any():
+            break
+        if not moves.all():
+            left = left[moves]
+            still = np.zeros(first.size, bool)
+            still[left] = True
+            keep = still[own]
+            rows, own = rows[keep], own[keep]
+            at = np.concatenate([[0], np.cumsum(n[left])[:-1]])
     return shares, np.add.reduceat(np.log((lik * shares[doc]).sum(axis=1)), first)
 
 
@@ -113,7 +130,7 @@ def infer(bins: np.ndarray, new: np.ndarray, first: np.ndarray, model: np.ndarra
         np.put_along_axis(kept, order[:, :size], 1.0, axis=1)
         shares = (shares + 1e-6) * kept
         shares /= shares.sum(axis=1, keepdims=True)
-        shares, value = _fit(lik, doc, at, shares, AGAIN if size > 1 else 0)
+        shares, value = _fit(lik, doc, at, shares, STEPS if size > 1 else 0)
         value = value - PENALTY * (size - 1) * np.log(sizes + 1)
         better = value >= best_value
         best[better], best_value = shares[better], np.maximum(value, best_value)
@@ -123,7 +140,7 @@ def infer(bins: np.ndarray, new: np.ndarray, first: np.ndarray, model: np.ndarra
 
 def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str], text_col: str = "text") -> DataFrame:
     """Adds lang_pred, score and lang_mix (language=share of the set, largest first) to the columns to keep."""
-    shared = model.astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
     source = docs.select(*[F.col(c) for c in keep], F.col(text_col).cast("string").alias("__text"))
     names = [f"k{i}" for i in range(len(keep))]
     source = source.toDF(*names, "text")
@@ -132,7 +149,7 @@ def detect(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                shares = infer(*trigrams(part.column("text").to_pylist()), shared)
+                shares = infer(*trigrams(part.column("text").to_pylist()), shared.value)
                 pred, score, mix = [], [], []
                 for row in shares:
                     order = [int(i) for i in np.argsort(-row, kind="stable") if row[i] > 0]
