@@ -12,11 +12,11 @@ letters included, are decoded as well; what decoding joins gives features.
 Scoring. Features are the restored words, the runs of letters in them (you,idiot or idiot/moron), and the beginnings of 4
 and 5 letters of both; words over LONG characters are features by their hash. Document counts by label over at most
 MAX_LABELLED labelled rows of each label (those with the smallest hash of the id) give each feature its smoothed share of
-toxic documents; features with a share of at least STRONG are kept, at most MAX_FEATURES. Copies of one toxic document
+toxic documents; all features with a share of at least STRONG are kept. Copies of one toxic document
 make its harmless words look toxic, so the kept features are fitted together: a noisy-or whose credit for each toxic
 document is divided by expectation maximisation. A text's score is the noisy-or of its features and the base rate.
 
-Null and empty texts have the base score. Rows are scored each; labels that repeat an id count as toxic if one says so;
+Null and empty texts have the base score. Very long texts are scored whole; ties of readings go to the one found first. Rows are scored each; labels that repeat an id count as toxic if one says so;
 null labels and null ids are left out. Without labels every text has the base score. A null doc_id is held out.
 """
 
@@ -40,7 +40,6 @@ from millrace.llm.words import LOWER, SPACE, utf8
 FOLDS, FOLD = 4, 2
 CUTOFF = 0.3
 MAX_LABELLED = 10_000
-MAX_FEATURES = 50_000
 LEAST = 3
 PRIOR_DOCS, STRONG, BASE = 10, 0.35, 0.02
 STEPS, WEAKEST = 30, 0.1
@@ -284,7 +283,7 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> dict[str, fl
     rate = sum(mark.values()) / len(mark)
     share = (F.col("pos") + PRIOR_DOCS * rate) / (F.col("pos") + F.col("neg") + PRIOR_DOCS)
     strong = sums.filter(F.col("pos") >= LEAST).withColumn("share", share).filter(F.col("share") >= STRONG)
-    kept = strong.orderBy(F.desc("share"), F.desc("pos"), "f").limit(MAX_FEATURES).collect()
+    kept = strong.orderBy(F.desc("share"), F.desc("pos"), "f").collect()  # of the labelled texts only
     if not kept:
         return {}
     at = {r["f"]: k for k, r in enumerate(kept)}
