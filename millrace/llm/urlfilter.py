@@ -5,8 +5,10 @@ runs in the span of the training rows: with kernel K[i][j] = shared n-grams + 1,
 one higher-order expression over one row iterates a. The resulting bucket weights are at most BUCKETS numbers; they go
 to the scoring plan as one literal, so scoring is a projection without join or shuffle.
 
-Null urls and urls without '://' have empty host and path, fit no rule and get the verdict of the bias alone.
-Repeated rows are judged each; an empty table gives an empty result; an empty labelled table allows everything.
+Null urls and urls without '://' have empty host and path, fit no rule and get the verdict of the bias alone. Very long urls
+are judged whole. Of rules of equal length that both fit, which is possible only for a rule given twice, the later one
+wins. Repeated rows and rows with a null id are judged each; an empty table gives an empty result; an empty labelled table
+allows everything.
 """
 
 from __future__ import annotations
@@ -78,7 +80,8 @@ def labelled_table(spark: SparkSession, rows: Sequence[tuple[str, int]] = LABELL
     """The labelled URLs as a table of literals."""
     if not rows:
         return spark.sql("SELECT CAST(NULL AS STRING) AS url, 0 AS label WHERE false")
-    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, y in rows) + " AS t(url, label)")
+    quoted = (u.replace("\\", "\\\\").replace("'", "\\'") for u, _ in rows)
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {y})" for u, (_, y) in zip(quoted, rows, strict=True)) + " AS t(url, label)")
 
 
 def train(labelled: DataFrame) -> tuple[float, list[float]]:
@@ -146,7 +149,7 @@ def oracle(rules: Sequence[Rule] = RULES, rows: Sequence[tuple[str, int]] = LABE
         for r, v in sorted(rules, key=lambda r: -len(r[0]))
         for n, s, p in [r.partition("/")]
     )
-    values = ", ".join(f"('{u}', {y})" for u, y in rows)
+    values = ", ".join("('" + u.replace("'", "''") + f"', {y})" for u, y in rows)
     f = "list_sum(list_transform(list_zip(k[i], a), lambda z: z[1] * z[2]))"
     step = f"list_transform(range(1, len(k) + 1), lambda i: a[i] * {1 - RATE * SHRINK!r} + (t[i].y - 1 / (1 + exp(-({f})))) * {RATE!r})"
     return f"""

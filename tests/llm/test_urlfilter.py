@@ -41,6 +41,22 @@ def test_empty_tables(spark):
     assert urlfilter.judge(none, empty).first()["verdict"] == "allow"
 
 
+def test_quotes_in_labelled_urls(spark):
+    rows = [("http://o'neill.example/it's", 0), ("http://back\\slash.example/'", 1)]
+    assert [tuple(r) for r in urlfilter.labelled_table(spark, rows).collect()] == rows
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages AS SELECT 1 AS page_id, 'http://a.example/x' AS url")
+    assert con.sql(urlfilter.oracle(rows=rows)).fetchall()[0][0] == 1
+
+
+def test_repeated_null_and_long_urls(spark):
+    df = spark.createDataFrame([(None, "http://a.com/de/"), (1, "http://casino-bets.example/" + "x/" * 20_000), (1, None), (1, None)], "page_id bigint, url string")
+    got = sorted(((r.page_id or 0, r.verdict) for r in urlfilter.judge(df, urlfilter.labelled_table(spark)).collect()))
+    assert len(got) == 4 and got[0] == (0, "block")
+
+
 def test_bound_of_the_labelled_table(spark):
     big = spark.range(urlfilter.MAX_LABELLED + 1).select(F.concat(F.lit("http://h/"), "id").alias("url"), F.lit(1).alias("label"))
     with pytest.raises(ValueError, match="more than"):
@@ -72,3 +88,6 @@ def test_limit_is_set_on_held_out_urls(spark):
         return sum((r.z > limit) != bool(r.label) for r in rows)
 
     assert errors(urlfilter.LIMIT) == min(errors(r.z) for r in rows) <= 6
+    blocked = [bool(r.label) for r in rows if r.z > urlfilter.LIMIT]
+    assert sum(blocked) / len(blocked) > 0.85  # precision
+    assert sum(blocked) / sum(r.label for r in rows) > 0.75  # recall
