@@ -44,6 +44,11 @@ def op7_media(spark: SparkSession, root: str) -> DataFrame:
     return media.media_digest(_table(spark, root, "documents"))
 
 
+def media_clips(spark: SparkSession, root: str) -> DataFrame:
+    """The shots of the files that op7_media stores."""
+    return media.clips(media.store(_table(spark, root, "documents")))
+
+
 def op8_decontaminate(spark: SparkSession, root: str) -> DataFrame:
     return decontam.overlaps(_table(spark, root, "documents"), _table(spark, root, "benchmark")).drop("text")
 
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in (pipeline, op1_near_duplicates, op2_token_counts, op3_lattice_score, op4_language, op5_toxicity, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup)}
+    return {q.__name__: q for q in (pipeline, op1_near_duplicates, op2_token_counts, op3_lattice_score, op4_language, op5_toxicity, op6_packing, op7_media, op8_decontaminate, op9_url_filter, op10_line_dedup, media_clips)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,11 @@ to a bit-by-bit decoder for files with other tables.
 
 AVI: RIFF('AVI ' LIST(hdrl avih strl(strh strf)) LIST(INFO ISFT) LIST(movi 00dc*) idx1). The true number of payload
 bytes stands in ISFT as text, because the last frame is filled up with zero rows.
+
+Null and empty texts become one frame of one zero row. Very long texts become many frames; a file is held whole. Rows that
+repeat an id, or have none, are stored each; equal texts give equal files. An empty table gives no rows. Files of others:
+frames may be any lossless JPEG with one component of 8 bits and predictor 1. A file that is not an AVI, is cut off, holds no
+frames or frames of another kind gives one row that says why, and the others go on; a null file gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ SCHEMA = (
     "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, "
     "media_bytes bigint, media_sha256 string, feature string"
 )
-CLIPS = "doc_id bigint, clip int, first_frame int, end_frame int, start_s double, end_s double, mean_level double"
+CLIPS = "doc_id bigint, clip int, first_frame int, end_frame int, start_s double, end_s double, mean_level double, status string"
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -281,23 +286,29 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def clips(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each shot of each stored file, with frame range and times. A null file has no rows."""
+    """A row for each shot of each stored file, with frame range, times and the status 'ok'. A null file has no rows; one that
+    cannot be decoded has one row, with the reason as its status and nothing else but the id."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data is not None:
+                if data is None:
+                    continue
+                try:
                     avi, samples, _ = decode_avi(data)
-                    rows += [(key, i, a, b, a / avi.fps, b / avi.fps, float(samples[a:b].mean())) for i, (a, b) in enumerate(shots(samples))]
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    rows.append((key, *[None] * 6, f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(key, i, a, b, a / avi.fps, b / avi.fps, float(samples[a:b].mean()), "ok") for i, (a, b) in enumerate(shots(samples))]
             if rows:
                 yield pa.RecordBatch.from_pylist([dict(zip(_CLIP_NAMES, r, strict=True)) for r in rows], schema=_CLIP_SCHEMA)
 
     return media.select(id_col, media_col).mapInArrow(run, CLIPS)
 
 
-_CLIP_NAMES = ["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s", "mean_level"]
-_CLIP_SCHEMA = pa.schema(list(zip(_CLIP_NAMES, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64()], strict=True)))
+_CLIP_NAMES = ["doc_id", "clip", "first_frame", "end_frame", "start_s", "end_s", "mean_level", "status"]
+_CLIP_SCHEMA = pa.schema(list(zip(_CLIP_NAMES, [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.string()], strict=True)))
 _SCHEMA = pa.schema(
     [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64())]
     + [("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]

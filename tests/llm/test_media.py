@@ -68,6 +68,18 @@ def test_digest_of_rows(frame):
     assert media.media_digest(frame([])).collect() == []
 
 
+def test_bad_files_have_a_row_that_says_why(spark):
+    good = media.write_avi(bytes(range(256)) * 40)
+    baseline = good.replace(b"\xff\xc3", b"\xff\xc0")
+    rows = [(1, good), (2, b"not an avi"), (3, good[:-400]), (4, baseline), (5, None), (6, b""), (7, media.write_avi(b"\0" * 64).replace(b"00dc", b"00xx")), (None, good)]
+    df = spark.createDataFrame([(k, bytearray(b) if b is not None else None) for k, b in rows], "doc_id bigint, media binary")
+    got = {r.doc_id: r.status for r in media.clips(df).collect()}
+    assert got.keys() == {1, 2, 3, 4, 6, 7, None}
+    assert got[1] == got[None] == "ok"
+    assert "not an AVI" in got[2] and "lossless" in got[4]
+    assert all(got[k] != "ok" for k in (3, 6, 7))
+
+
 def test_clips_are_timed(frame):
     text = "\x00" * 64 * 64 * 3 + "~" * 64 * 64 * 2
     got = media.clips(media.store(frame([(1, text), (2, None)]))).orderBy("doc_id", "clip").collect()
