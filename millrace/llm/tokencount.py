@@ -12,7 +12,8 @@ So section counts always add up to the document's count. A token that ends insid
 placed by bytes, without rounding. Offsets in results are in characters.
 
 Sections of a document are its lines with their newline, or given fields joined by a newline. Null and empty texts are
-one empty section with no tokens. Rows that repeat an id are counted each. An empty table gives no rows.
+one empty section with no tokens. Very long texts are encoded whole. Rows that repeat an id, or have none, are counted each.
+An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -33,6 +33,21 @@ def test_rules_on_a_crossing_token():
     assert tokencount.attribute(ends, bounds, "most")[1].tolist() == [0, 0, 1]
 
 
+def test_rule_most_matches_brute_force():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        ends = np.unique(r.integers(1, 40, r.integers(1, 15)))
+        bounds = np.append(np.unique(r.integers(1, ends[-1] + 1, r.integers(0, 6))), ends[-1])
+        bounds = np.unique(bounds)
+        want = [0] * bounds.size
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            shares = [sum(lo <= x < hi for x in range(a, b)) for lo, hi in zip([0, *bounds[:-1]], bounds, strict=True)]
+            want[shares.index(max(shares))] += 1
+        assert tokencount.attribute(ends, bounds, "most")[0].tolist() == want
+
+
 def test_fields(spark):
     df = spark.createDataFrame([(1, "A title", "Some body text.\nMore", None), (2, None, "", "x")], "doc_id bigint, text string, body string, note string")
     got = [(r.doc_id, r.section, r.start, r.end) for r in tokencount.field_counts(df, ["text", "body", "note"]).orderBy("doc_id", "section").collect()]
