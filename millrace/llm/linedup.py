@@ -3,12 +3,14 @@
 1. Equal texts are one document, the one with the smallest id; the sequences are those of distinct texts. Each is cut into
    segments of lines that occur more than once, and only segments of MIN_WORDS words or more stay: no repeated run of that
    length leaves its segment. A suffix is what follows a line up to the segment's end.
-2. Prefix doubling. Rank k orders all suffixes by their first 2**k lines; rank k + 1 sorts the pairs (rank at i, rank at
+2. Each line of a segment gets a number in the order of doc_id, text and line, which names its suffix too. Prefix doubling:
+   rank k orders all suffixes by their first 2**k lines; rank k + 1 sorts the pairs (rank at i, rank at
    i + 2**k). A rank is the place of a pair in a range-partitioned sort of the distinct pairs, so no task sees all of them
    and a hot line is one row there. It ends when a level tells no more suffixes apart, or at the longest segment.
-3. Suffix array. A range-partitioned sort by the last rank, ties by place (doc_id, then line), puts all suffixes in order.
+3. Suffix array. A range-partitioned sort by the last rank, ties by number, puts all suffixes in order.
 4. Longest common prefixes of neighbours. Where the lines before both are equal, the prefix is that of the suffixes one
-   line earlier, less one line. For all others it is put together from the levels' ranks, largest first.
+   line earlier, less one line. For all others the two segments are compared from there on, in pieces that grow by GROW, so
+   what is shipped for a pair is at most GROW times its prefix and one piece.
 5. Intervals. All suffixes that share their first m lines are an interval of the array. The earliest suffix of an interval
    keeps its lines, later ones lose them; so each suffix loses its longest prefix that an earlier one shares, found by a
    stack over the array forwards and backwards, if that has MIN_WORDS words. Each partition of the sort is streamed on its
@@ -38,7 +40,8 @@ from millrace.llm.frames import bloom, cut, discard
 MIN_WORDS = 50
 FIRST = -(1 << 63)
 DOC = ["did", "th"]
-PLACE = [*DOC, "i"]
+#: Lines in the first pieces of two suffixes that are compared, and the factor by which pieces grow.
+PIECE, GROW = 16, 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -57,127 +60,134 @@ def _ranked(keys: DataFrame, *by: str) -> DataFrame:
     return cut(keys.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("r", F.monotonically_increasing_id()), "ranks")
 
 
-def _segments(docs: DataFrame, min_words: int) -> DataFrame:
-    """(did, th, i, seg, end, c, p, key, r0): the lines of segments, with the segment, its last line, the words up to and
-    before the line, the line's rank and that of the line before."""
+def _segments(docs: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Two tables of the lines of segments: (pos, did, th, i) and (pos, start, end, c, nw, r, before).
+
+    `pos` numbers the lines in the order of (did, th, i), without gaps in a segment, which lies from `start` to `end`; c is
+    the number of words of the segment up to the line, r the line's rank and `before` that of the line before.
+    """
     lines = docs.select(*DOC, F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    lines = lines.select(*PLACE, F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), _words(F.col("line")).alias("nw"))
+    lines = lines.select(*DOC, "i", F.unhex(F.md5(F.col("line").cast("binary"))).alias("key"), _words(F.col("line")).alias("nw"))
     twice = lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    again = cut(lines.join(cut(twice, "twice"), "key"), "again")
+    again = lines.join(cut(twice, "twice"), "key").repartitionByRange(*DOC)
     doc = Window.partitionBy(*DOC).orderBy("i")
     seg = Window.partitionBy(*DOC, "seg")
+    upto = seg.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     parts = again.withColumn("seg", F.col("i") - F.row_number().over(doc))
-    parts = parts.withColumns({"all": F.sum("nw").over(seg), "end": F.max("i").over(seg)}).filter(F.col("all") >= min_words)
-    parts = cut(parts.withColumn("c", F.sum("nw").over(seg.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))).drop("all"), "segments")
-    ranks = _ranked(parts.select("key").distinct(), "key")
-    out = parts.join(ranks, "key").select(*PLACE, "seg", "end", "c", "nw", "r")
-    out = cut(out.withColumn("r0", F.lag("r").over(seg.orderBy("i"))), "level")
-    discard(again, parts)
-    return out
+    parts = parts.withColumns({"all": F.sum("nw").over(seg), "size": F.count(F.lit(1)).over(seg), "at": F.row_number().over(seg.orderBy("i")), "c": F.sum("nw").over(upto)})
+    parts = parts.filter(F.col("all") >= min_words).withColumn("pos", F.monotonically_increasing_id())
+    parts = parts.withColumns({"start": F.col("pos") - F.col("at") + 1, "end": F.col("pos") - F.col("at") + F.col("size")})
+    parts = cut(parts.select("pos", "start", "end", *DOC, "i", "c", "nw", "key"), "segments")
+    ranked = parts.select("pos", "start", "end", "c", "nw", "key").join(_ranked(parts.select("key").distinct(), "key"), "key").drop("key")
+    level = cut(ranked.withColumn("before", F.lag("r").over(Window.partitionBy("start").orderBy("pos"))), "level")
+    return parts.select("pos", "start", *DOC, "i"), level
 
 
-def _next_level(level: DataFrame, step: int) -> tuple[DataFrame, int]:
+def _next_rank(level: DataFrame, step: int) -> tuple[DataFrame, int]:
     """The suffixes' ranks by twice as many lines, and the number of different ranks. A suffix may end before."""
-    ahead = F.max("r").over(Window.partitionBy(*DOC, "seg").orderBy("i").rangeBetween(step, step))
-    pairs = cut(level.select(*PLACE, "seg", "end", F.col("r").alias("a"), F.coalesce(ahead, F.lit(-1)).alias("b")), "pairs")
+    ahead = F.max("r").over(Window.partitionBy("start").orderBy("pos").rangeBetween(step, step))
+    pairs = cut(level.select("pos", "start", "end", F.col("r").alias("a"), F.coalesce(ahead, F.lit(-1)).alias("b")), "pairs")
     ranks = _ranked(pairs.select("a", "b").distinct(), "a", "b")
-    out = cut(pairs.join(ranks, ["a", "b"]).select(*PLACE, "seg", "end", "r"), "level")
+    out = cut(pairs.join(ranks, ["a", "b"]).select("pos", "start", "end", "r"), "level")
     count = ranks.count()
     discard(pairs, ranks)
     return out, count
 
 
-def _levels(first: DataFrame) -> list[DataFrame]:
-    """Ranks by 1, 2, 4, ... lines; the last tells apart all suffixes that differ."""
-    levels, step = [first], 1
-    longest = first.agg(F.max(F.col("end") - F.col("i") + 1)).first()[0] or 0
-    count = first.select("r").distinct().count()
+def _ranks(first: DataFrame) -> DataFrame:
+    """(pos, start, end, r): ranks that tell apart all suffixes that differ."""
+    level, step = cut(first.select("pos", "start", "end", "r"), "level"), 1
+    longest = first.agg(F.max(F.col("end") - F.col("start") + 1)).first()[0] or 0
+    count = level.select("r").distinct().count()
     while step < longest:
-        level, more = _next_level(levels[-1], step)
-        levels.append(level)
-        if more == count:
+        more, now = _next_rank(level, step)
+        discard(level)
+        level = more
+        if now == count:
             break
-        step, count = 2 * step, more
-    return levels
+        step, count = 2 * step, now
+    return level
 
 
 def _neighbours(last: DataFrame, first: DataFrame) -> DataFrame:
-    """The suffix array in order `o`: each suffix with its left neighbour (x_did, x_th, x_i) and whether the lines before
-    both are equal."""
-    rows = last.select(*PLACE, "seg", "end", F.col("r").alias("top")).join(first.select(*PLACE, "c", "nw", F.col("r0").alias("before")), PLACE)
-    by = ["top", *PLACE]
+    """The suffix array in order `o`: each suffix with its left neighbour (x, x_start), whether the lines before both are equal
+    (same) and whether the suffixes are (equal)."""
+    rows = last.withColumnRenamed("r", "top").join(first.select("pos", "c", "nw", "before"), "pos")
+    by = ["top", "pos"]
     ordered = cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("o", F.monotonically_increasing_id()), "array")
-    own = F.struct(*PLACE, "before", "top")
+    own = F.struct("pos", "start", "before", "top")
     part = F.shiftright("o", 33)
     inside = ordered.withColumn("part", part).withColumn("x", F.lag(own).over(Window.partitionBy("part").orderBy("o")))
     edge = ordered.groupBy(part.alias("part")).agg(F.max_by(own, "o").alias("x"))  # a row for each partition of the sort
     edge = edge.select(F.lead("part").over(Window.orderBy("part")).alias("part"), F.col("x").alias("edge")).filter("part is not null")
-    joined = inside.join(F.broadcast(edge), "part", "left").withColumn("x", F.coalesce("x", "edge"))
-    same = F.coalesce(F.col("before") == F.col("x.before"), F.lit(False))
-    found = joined.select("o", *PLACE, "seg", "end", "c", "nw", "top", *[F.col(f"x.{n}").alias(f"x_{n}") for n in PLACE], same.alias("same"), F.coalesce(F.col("x.top") == F.col("top"), F.lit(False)).alias("equal"))
-    return cut(found, "neighbours")
-
-
-def _common(pairs: DataFrame, levels: list[DataFrame]) -> DataFrame:
-    """(did, th, i, l): how many lines the suffixes of pairs (place, x_place) share, from the ranks of the levels."""
-    now = pairs.select(*PLACE, *[f"x_{n}" for n in PLACE], F.lit(0).alias("l"))
-    for k in range(len(levels) - 1, -1, -1):
-        size = F.least(F.lit(1 << k), F.col("left"))
-        rank = levels[k].select(*PLACE, F.col("r").alias("r"), (F.col("end") - F.col("i") + 1).alias("left"))
-        at = now.withColumns({"ay": F.col("i") + F.col("l"), "ax": F.col("x_i") + F.col("l")})
-        y = rank.select(*[F.col(n).alias(m) for n, m in zip(PLACE, [*DOC, "ay"], strict=True)], F.col("r").alias("ry"), "left")
-        x = rank.select(*[F.col(n).alias(m) for n, m in zip(PLACE, ["x_did", "x_th", "ax"], strict=True)], F.col("r").alias("rx"))
-        met = at.join(y, [*DOC, "ay"], "left").join(x, ["x_did", "x_th", "ax"], "left")
-        grown = F.when(F.col("ry") == F.col("rx"), F.col("l") + size).otherwise(F.col("l"))
-        now = cut(met.select(*PLACE, *[f"x_{n}" for n in PLACE], grown.cast("int").alias("l")), "lifted")
-    return now.select(*PLACE, "l")
-
-
-def _prefixes(array: DataFrame, levels: list[DataFrame], min_words: int) -> DataFrame:
-    """(o, did, th, i, l): the suffix array with the lines that each suffix shares with its left neighbour; 0 where these
-    have too few words."""
-    common = _common(array.filter("x_did is not null and not same and not equal"), levels)
-    own = F.when(F.col("equal"), F.col("end") - F.col("i") + 1).when(~F.col("same"), F.coalesce("own", F.lit(0)))
-    known = array.join(common.withColumnRenamed("l", "own"), PLACE, "left").withColumn("stop", own + F.col("i"))
+    met = inside.join(F.broadcast(edge), "part", "left").withColumn("x", F.coalesce("x", "edge"))
+    equal, same = (F.coalesce(F.col(n) == F.col(f"x.{n}"), F.lit(False)).alias(m) for n, m in (("top", "equal"), ("before", "same")))
+    return cut(met.select("o", "pos", "start", "end", "c", "nw", F.col("x.pos").alias("x"), F.col("x.start").alias("x_start"), same, equal), "neighbours")
+
+
+def _common(pairs: DataFrame, first: DataFrame) -> DataFrame:
+    """(pos, own): how many lines the suffixes of pairs (pos, start, x, x_start) share, by comparing their segments."""
+    ids = cut(first.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("l")).select("start", F.col("l.r").alias("ids")), "ids")
+    now, done, size = pairs.select("pos", "start", "x", "x_start", F.lit(0).alias("own")), None, PIECE
+    while True:
+        ask = [now.select(F.col(s).alias("start"), F.struct((F.col(p) - F.col(s) + F.col("own") + 1).cast("int").alias("at"), "pos", F.lit(k).alias("side")).alias("q")) for p, s, k in (("pos", "start", 0), ("x", "x_start", 1))]
+        asked = ask[0].unionByName(ask[1]).groupBy("start").agg(F.collect_list("q").alias("qs"))  # a line is asked for twice at most
+        given = ids.join(asked, "start").select("ids", F.explode("qs").alias("q"))
+        pieces = given.select("q.pos", "q.side", F.slice("ids", F.col("q.at"), size).alias("piece"))
+        sides = pieces.groupBy("pos").agg(*[F.max(F.when(F.col("side") == k, F.col("piece"))).alias(n) for k, n in ((0, "y"), (1, "z"))])
+        differs = F.array_position(F.zip_with("y", "z", lambda a, b: a.eqNullSafe(b)), False)
+        more = F.when(differs > 0, differs - 1).otherwise(F.size("y")).cast("int")
+        grown = cut(now.join(sides.select("pos", more.alias("more")), "pos").withColumn("own", F.col("own") + F.col("more")), "grown")
+        ended = grown.filter(F.col("more") < size).select("pos", "own")
+        done = ended if done is None else done.unionByName(ended)
+        now, size = grown.filter(F.col("more") == size).drop("more"), size * GROW
+        if now.limit(1).count() == 0:
+            return done
+
+
+def _shared(array: DataFrame, first: DataFrame, min_words: int) -> DataFrame:
+    """(o, pos, l): the suffix array with the lines that each suffix shares with its left neighbour; 0 where these have too
+    few words."""
+    own = F.when(F.col("equal"), F.col("end") - F.col("pos") + 1).when(~F.col("same"), F.coalesce("own", F.lit(0)))
+    common = _common(array.filter("x is not null and not same and not equal"), first)
+    known = array.join(common, "pos", "left").withColumn("stop", own + F.col("pos"))
     # where the lines before both are equal, the common prefix stops where that of the suffixes before stops
-    seg = Window.partitionBy(*DOC, "seg").orderBy("i")
-    full = known.withColumn("l", F.greatest(F.last("stop", ignorenulls=True).over(seg) - F.col("i"), F.lit(0)))
-    full = cut(full.select("o", *PLACE, "c", "nw", "l"), "common")
-    ends = full.select(*DOC, F.col("i").alias("e"), F.col("c").alias("ce"))
-    met = full.filter("l > 0").withColumn("e", F.col("i") + F.col("l") - 1).join(ends, [*DOC, "e"])
-    long = met.filter(F.col("ce") - F.col("c") + F.col("nw") >= min_words).select("o", *PLACE, "l")
-    return cut(long.select("o", F.col("l").cast("int").alias("l")).join(full.select("o", *PLACE), "o", "right").fillna({"l": 0}), "prefixes")
+    seg = Window.partitionBy("start").orderBy("pos")
+    full = known.withColumn("l", F.greatest(F.last("stop", ignorenulls=True).over(seg) - F.col("pos"), F.lit(0)))
+    full = full.select("o", "pos", F.col("l").cast("int").alias("l"), (F.col("c") - F.col("nw")).alias("p"))
+    ends = first.select(F.col("pos").alias("e"), F.col("c").alias("ce"))
+    met = full.withColumn("e", F.when(F.col("l") > 0, F.col("pos") + F.col("l") - 1)).join(ends, "e", "left")
+    return cut(met.select("o", "pos", F.when(F.col("ce") - F.col("p") >= min_words, F.col("l")).otherwise(0).alias("l")), "shared")
 
 
-Place = tuple[int, int, int]
-Step = tuple[int, Place]
+Step = tuple[int, int]
 FAR = 1 << 30
 
 
 def beyond(near: list[Step], across: int, far: list[Step]) -> list[Step]:
     """The staircase of an edge: its near steps, then those seen from another edge, which shares `across` lines with it.
 
-    Steps (lines shared with the edge, place) fall in both; a step is the earliest place that shares so many lines.
+    Steps (lines shared with the edge, pos) fall in both; a step is the earliest suffix that shares so many lines.
     """
     out = list(near)
-    for n, place in far:
+    for n, pos in far:
         n = min(n, across)
         if n == 0:
             break
-        if not out or place < out[-1][1]:
+        if not out or pos < out[-1][1]:
             if out and out[-1][0] == n:
                 out.pop()
-            out.append((n, place))
+            out.append((n, pos))
     return out
 
 
 class Stack:
-    """Steps from the suffix at hand to one side of the array, the nearest last: (lines shared with it, earliest place)."""
+    """Steps from the suffix at hand to one side of the array, the nearest last: (lines shared with it, earliest pos)."""
 
     def __init__(self, steps: list[Step] = ()) -> None:
         self.entries = list(steps)[::-1]
 
-    def push(self, place: Place, lines: int) -> int:
+    def push(self, pos: int, lines: int) -> int:
         """Moves on to the next suffix, which shares `lines` with the one at hand (FAR if the steps are its own already).
         Returns the longest prefix that it shares with an earlier suffix on this side."""
         entries, last = self.entries, None
@@ -185,22 +195,21 @@ class Stack:
             last = entries.pop()
         if last and lines:
             entries.append((lines, last[1]))
-        while entries and entries[-1][1] > place:
+        while entries and entries[-1][1] > pos:
             entries.pop()
         out = entries[-1][0] if entries else 0
-        entries.append((FAR, place))
+        entries.append((FAR, pos))
         return out
 
 
-_EDGES = "part bigint, lines int, across int, right array<struct<n:int,did:bigint,th:bigint,i:int>>, left array<struct<n:int,did:bigint,th:bigint,i:int>>"
-_EDGE = pa.list_(pa.struct([("n", pa.int32()), ("did", pa.int64()), ("th", pa.int64()), ("i", pa.int32())]))
+_EDGES = "part bigint, lines int, across int, right array<struct<n:int,pos:bigint>>, left array<struct<n:int,pos:bigint>>"
+_EDGE = pa.list_(pa.struct([("n", pa.int32()), ("pos", pa.int64())]))
 _EDGES_SCHEMA = pa.schema([("part", pa.int64()), ("lines", pa.int32()), ("across", pa.int32()), ("right", _EDGE), ("left", _EDGE)])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Place, int]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, int]]:
     for batch in batches:
-        part, did, th, i, lines = (batch.column(c).to_pylist() for c in ("part", *PLACE, "l"))
-        yield from zip(part, zip(did, th, i, strict=True), lines, strict=True)
+        yield from zip(*(batch.column(c).to_pylist() for c in ("part", "pos", "l")), strict=True)
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,19 +217,19 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, stack, first, across, left = None, Stack(), 0, FAR, []
 
     def done() -> pa.RecordBatch:
-        steps = [[{"n": n, "did": p[0], "th": p[1], "i": p[2]} for n, p in x] for x in (stack.entries[::-1], left)]
+        steps = [[{"n": n, "pos": p} for n, p in x] for x in (stack.entries[::-1], left)]
         return pa.RecordBatch.from_pylist([{"part": part, "lines": first, "across": across, "right": steps[0], "left": steps[1]}], schema=_EDGES_SCHEMA)
 
-    for at, place, lines in _rows(batches):
+    for at, pos, lines in _rows(batches):
         if at != part:
             if part is not None:
                 yield done()
-            part, stack, first, across, left = at, Stack(), lines, FAR, [(FAR, place)]
-            stack.push(place, FAR)
+            part, stack, first, across, left = at, Stack(), lines, FAR, [(FAR, pos)]
+            stack.push(pos, FAR)
         else:
             across = min(across, lines)
-            stack.push(place, lines)
-            left = beyond(left, FAR, [(across, place)] if across else [])
+            stack.push(pos, lines)
+            left = beyond(left, FAR, [(across, pos)] if across else [])
     if part is not None:
         yield done()
 
@@ -236,55 +245,54 @@ def _meet(edges: list[dict]) -> tuple[dict[int, list[Step]], dict[int, list[Step
     return to_left, to_right
 
 
-_LATER = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("i", pa.int32()), ("m", pa.int32())])
+_LATER = pa.schema([("pos", pa.int64()), ("m", pa.int32())])
 
 
 def _earlier(steps: dict[int, list[Step]], backwards: bool):  # noqa: ANN202
-    """(place, m) of suffixes that share m lines with an earlier one on one side; rows come part by part, in order."""
+    """(pos, m) of suffixes that share m lines with an earlier one on one side; rows come part by part, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, stack, carried, out = None, Stack(), 0, []
-        for at, place, lines in _rows(batches):
-            shared = carried if backwards else lines
-            if at != part:
-                part, stack, shared = at, Stack(steps.get(at, [])), FAR
-            m = stack.push(place, shared)
-            carried = lines
-            if m:
-                out.append((*place, m))
-                if len(out) >= 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LATER, strict=True)], schema=_LATER)
-                    out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LATER, strict=True)], schema=_LATER)
+        part, stack, carried = None, Stack(), 0
+        for batch in batches:
+            out = []
+            for at, pos, lines in _rows([batch]):
+                shared = carried if backwards else lines
+                if at != part:
+                    part, stack, shared = at, Stack(steps.get(at, [])), FAR
+                m = stack.push(pos, shared)
+                carried = lines
+                if m:
+                    out.append((pos, m))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _LATER, strict=True)], schema=_LATER)
 
     return run
 
 
-def _later(prefixes: DataFrame) -> DataFrame:
-    """(did, th, i, m): the first m lines of the suffix at i occur earlier; of each interval but for its earliest suffix."""
-    parts = prefixes.withColumn("part", F.shiftright("o", 33)).select("part", "o", *PLACE, "l")
-    dealt = parts.repartition("part")
+def _later(shared: DataFrame) -> DataFrame:
+    """(pos, m): the first m lines of the suffix at pos occur earlier; of each interval but for its earliest suffix."""
+    dealt = shared.withColumn("part", F.shiftright("o", 33)).repartition("part")
     forwards = dealt.sortWithinPartitions("part", "o")
     edges = [r.asDict(recursive=True) for r in forwards.mapInArrow(_edges, _EDGES).orderBy("part").collect()]  # a row for each partition
     for e in edges:
         for side in ("right", "left"):
-            e[side] = [(x["n"], (x["did"], x["th"], x["i"])) for x in e[side]]
+            e[side] = [(x["n"], x["pos"]) for x in e[side]]
     to_left, to_right = _meet(edges)
-    schema = "did bigint, th bigint, i int, m int"
-    one = forwards.mapInArrow(_earlier(to_left, False), schema)
-    other = dealt.sortWithinPartitions("part", F.desc("o")).mapInArrow(_earlier(to_right, True), schema)
-    return one.unionByName(other)
+    one = forwards.mapInArrow(_earlier(to_left, False), "pos bigint, m int")
+    other = dealt.sortWithinPartitions("part", F.desc("o")).mapInArrow(_earlier(to_right, True), "pos bigint, m int")
+    return one.unionByName(other).groupBy("pos").agg(F.max("m").alias("m"))
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(did, th, gone): for each document that loses lines, their sorted numbers. `docs` are distinct texts (did, th, text)."""
-    levels = _levels(_segments(docs, min_words))
-    array = _neighbours(levels[-1], levels[0])
-    prefixes = _prefixes(array, levels, min_words)
-    discard(array, *levels)
-    lines = _later(prefixes).select(*DOC, F.explode(F.sequence(F.col("i"), F.col("i") + F.col("m") - 1)).alias("i"))
-    return lines.groupBy(*DOC).agg(F.array_sort(F.collect_set("i")).alias("gone"))
+    places, first = _segments(docs, min_words)
+    last = _ranks(first)
+    array = _neighbours(last, first)
+    shared = _shared(array, first, min_words)
+    discard(array, last)
+    reach = F.max(F.col("pos") + F.col("m")).over(Window.partitionBy("start").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    lines = places.join(_later(shared), "pos", "left").withColumn("reach", reach).filter("reach > pos")
+    return lines.groupBy(*DOC).agg(F.array_sort(F.collect_list("i")).alias("gone"))
 
 
 def _mask(gone: Column) -> Column:

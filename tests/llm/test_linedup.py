@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import brute
@@ -48,27 +49,29 @@ def test_array_prefixes_and_intervals_match_brute_force(spark, monkeypatch, seed
     """The suffix array's order, its common prefixes, and the intervals over several partitions."""
     r = random.Random(seed)
     docs = [[r.choice("abc") for _ in range(r.randrange(1, 25))] for _ in range(12)]
+    monkeypatch.setattr(linedup, "PIECE", 2)
+    monkeypatch.setattr(linedup, "GROW", 2)
     df = spark.createDataFrame([(d, 0, "\n".join(x)) for d, x in enumerate(docs)], "did bigint, th bigint, text string")
-    first = linedup._segments(df, 0)
-    levels = linedup._levels(first)
+    places, first = linedup._segments(df, 0)
+    last = linedup._ranks(first)
     ranges = type(df).repartitionByRange
     monkeypatch.setattr(type(df), "repartitionByRange", lambda self, *by: ranges(self, 5, *by))
-    array = linedup._neighbours(levels[-1], levels[0])
-    prefixes = linedup._prefixes(array, levels, 0).orderBy("o").collect()
-    assert len({x.o >> 33 for x in prefixes}) > 2
-    segments = {(x.did, x.i): x.end for x in first.collect()}
-    order = [(x.did, x.i) for x in prefixes]
-    rank = {key: k for k, key in enumerate(sorted({line for x in docs for line in x}, key=lambda c: __import__("hashlib").md5(c.encode()).digest()))}
-    content = {(d, i): [rank[c] for c in docs[d][i : segments[(d, i)] + 1]] for d, i in segments}
+    shared = linedup._shared(linedup._neighbours(last, first), first, 0)
+    rows = shared.orderBy("o").collect()
+    assert len({x.o >> 33 for x in rows}) > 2
+    place = {x.pos: (x.did, x.i) for x in places.collect()}
+    assert [place[k] for k in sorted(place)] == sorted(place.values())
+    ends = {place[x.pos]: place[x.end][1] for x in first.collect()}
+    order = [place[x.pos] for x in rows]
+    rank = {key: k for k, key in enumerate(sorted({line for x in docs for line in x}, key=lambda c: hashlib.md5(c.encode()).digest()))}
+    content = {(d, i): [rank[c] for c in docs[d][i : e + 1]] for (d, i), e in ends.items()}
     assert order == sorted(content, key=lambda p: (content[p], p))
-    for a, b, x in zip(order, order[1:], prefixes[1:], strict=False):
+    for a, b, x in zip(order, order[1:], rows[1:], strict=False):
         n = 0
         while n < min(len(content[a]), len(content[b])) and content[a][n] == content[b][n]:
             n += 1
         assert x.l == n
-    found = {}
-    for x in linedup._later(linedup._prefixes(array, levels, 0)).collect():
-        found[(x.did, x.i)] = max(x.m, found.get((x.did, x.i), 0))
+    found = {place[x.pos]: x.m for x in linedup._later(shared).collect()}
     assert {p: found.get(p, 0) for p in order} == _plain_lpf(docs, order)
 
 
