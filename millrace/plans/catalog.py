@@ -246,7 +246,7 @@ def stream_text_pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 def stream_keyed_reduce(spark: SparkSession, root: str) -> DataFrame:
     events = _event_stream(spark, root).select("event_id", "user_id", "c")
-    return runner.run_to_parquet(processors.running_fold_stream(events, "user_id", "event_id", "c", "bigint", lambda a, b: a + b))
+    return runner.run_to_parquet(processors.running_fold_stream(events, "user_id", "event_id", "c", "bigint", lambda a, b: a + b)).drop("c")
 
 
 def stream_fluent_reduce(spark: SparkSession, root: str) -> DataFrame:
@@ -459,7 +459,7 @@ ORACLE = {
         WHERE total > 0 GROUP BY 1, 2""",
     "keyed_by_expression": f"SELECT event_id, CAST(sum({_C}) OVER (PARTITION BY user_id % 7, event_type ORDER BY event_id) AS BIGINT) AS acc FROM events",
     "partitioned": "SELECT event_id, user_id % 3 AS channel FROM events",
-    "stream_idle_keys": "SELECT user_id, epoch_ms(max(ts)) + 365 * 86400000 AS end_ms, count(*) AS n FROM events GROUP BY 1",
+    "stream_idle_keys": "SELECT user_id, epoch_us(max(ts)) // 1000 + 365 * 86400000::BIGINT AS end_ms, count(*) AS n FROM events GROUP BY 1",
     "stream_list_groups": """
         SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS items FROM (
           SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 10 AS g FROM events)
