@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes it as Parquet and reads it back for the
 next one. All stages but the last return the columns of documents; the last returns packed pieces.
+
+Null and empty texts have no language and go in the first stage. A null lang, source or n_chars stays null where a stage
+does not set it. Rows with a null doc_id, and rows that repeat one, go through all stages; what becomes of copies among
+them says the near-duplicate stage. Very long texts are worked on whole. Further columns are dropped, whatever their names.
+Where ties matter (which copy of a run, which document of a group stays), the smallest doc_id stays. Without documents
+every stage gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontam, language, linedup, neardup, packing
-from millrace.llm.frames import cut
+from millrace.llm.frames import bloom, cut, discard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -44,7 +50,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = neardup.near_duplicates(docs)
     drop = cut(found.filter("not kept").select("doc_id").distinct(), "dropped")
     repeated = cut(docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
-    left = docs.select(*COLUMNS).join(drop, "doc_id", "left_anti").select(*COLUMNS)
+    key = F.xxhash64("doc_id")
+    maybe = bloom(drop.select(key)).column(key)  # all others pass by the join
+    own = docs.select(*COLUMNS)
+    left = own.filter(~maybe).unionByName(own.filter(maybe).join(drop, "doc_id", "left_anti").select(*COLUMNS))
     if repeated.isEmpty():
         return left
     rows = cut(left.join(repeated, "doc_id", "left_semi").withColumn("row", F.monotonically_increasing_id()), "repeated-rows")
@@ -83,7 +92,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the last stage over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
