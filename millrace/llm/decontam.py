@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import Bloom, bloom, cut, id_text, map_slices
+from millrace.llm.frames import bloom, cut, id_text, map_slices, probed
 from millrace.llm.words import grams, mix, utf8, words_of
 
 MATCH = 5
@@ -144,14 +144,14 @@ def seeds_of(items: DataFrame, match: int = MATCH) -> DataFrame:
     return map_slices(items.select("k", "text"), run, "size int, g bigint, k bigint")
 
 
-def _hits(texts: DataFrame, sizes: list[int], sieve: Bloom) -> DataFrame:
+def _hits(texts: DataFrame, sizes: list[int], sieve: bytes) -> DataFrame:
     """(t, g, raw): for each text with seeds that pass the sieve a row with its bytes, and a row for each such seed."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         w, rows = words_of(batch.column("text")), []
         for size in sizes:
             g = _seed(w.hashes, size)
-            at = np.flatnonzero(sieve.array(g))
+            at = np.flatnonzero(probed(sieve, g))
             doc = np.searchsorted(w.first, at, "right") - 1
             inside = at + size <= w.first[doc + 1]
             rows.append(np.stack([doc[inside].astype(np.uint64), g[at[inside]]], axis=1))
@@ -200,7 +200,7 @@ def found_in(texts: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     sizes = sorted(r["size"] for r in seeds.select("size").distinct().collect())  # at most MATCH
     if not sizes:
         return None
-    hits = cut(_hits(texts, sizes, bloom(seeds.select("g").distinct())), "hits")
+    hits = cut(_hits(texts, sizes, bloom(seeds.select("g").distinct()).bitmap), "hits")
     pairs = hits.filter("g is not null").select("t", "g").distinct().join(seeds.select("g", "k"), "g").select("t", "k").distinct()
     pairs = cut(pairs, "pairs")
     own = hits.filter("g is null").groupBy("t").agg(F.first("raw").alias("raw")).join(pairs.select("t").distinct(), "t", "left_semi")

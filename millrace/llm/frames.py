@@ -54,15 +54,19 @@ BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 13, 1 << 25
 
 @dataclass
 class Bloom:
-    """A bitmap of bounded size that holds 64-bit keys; some other keys seem to be in it, the more the fuller it is."""
+    """A bitmap of bounded size that holds 64-bit keys; some other keys seem to be in it, the more the fuller it is.
+
+    `bits` is the same bitmap as the one value of a table: a plan names that table and does not spell the bitmap out.
+    """
 
     bitmap: bytes
+    bits: DataFrame
 
     def column(self, key: Column) -> Column:
         """May the key be in it? JVM expressions only; a null key is not in it."""
         if not any(self.bitmap):
             return F.lit(False)
-        bits, out = F.lit(bytearray(self.bitmap)), F.lit(True)
+        bits, out = self.bits.scalar(), F.lit(True)
         for shift in PROBES:
             at = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(8 * len(self.bitmap) - 1))
             byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -71,16 +75,20 @@ class Bloom:
 
     def array(self, keys: np.ndarray) -> np.ndarray:
         """The same for an array of uint64."""
-        bits, out = np.frombuffer(self.bitmap, np.uint8), np.ones(keys.size, bool)
-        for shift in PROBES:
-            at = (keys >> np.uint64(shift)) & np.uint64(8 * bits.size - 1)
-            out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return out
+        return probed(self.bitmap, keys)
+
+
+def probed(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
+    bits, out = np.frombuffer(bitmap, np.uint8), np.ones(keys.size, bool)
+    for shift in PROBES:
+        at = (keys >> np.uint64(shift)) & np.uint64(8 * bits.size - 1)
+        out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    return out
 
 
 def bloom(keys: DataFrame) -> Bloom:
     """Of the one column of 64-bit keys. The driver gets one number for each 64 bits of the map, at most half a million."""
-    keys = keys.toDF("key").filter("key is not null")
+    spark, keys = keys.sparkSession, keys.toDF("key").filter("key is not null")
     size = FEWEST_BITS
     while size < min(MOST_BITS, BITS_PER_KEY * keys.count()):
         size *= 2
@@ -90,7 +98,7 @@ def bloom(keys: DataFrame) -> Bloom:
     got = words.toPandas()
     bitmap = np.zeros(size // 64, "<i8")
     bitmap[got["w"].to_numpy(int)] = got["v"].to_numpy(np.int64)
-    return Bloom(bitmap.tobytes())
+    return Bloom(bitmap.tobytes(), cut(spark.createDataFrame([(bytearray(bitmap.tobytes()),)], "bits binary"), "bits"))
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

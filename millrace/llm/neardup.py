@@ -33,10 +33,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.frames import Bloom, bloom, cut, discard, id_text, map_slices, slices
+from millrace.llm.frames import bloom, cut, discard, id_text, map_slices, probed, slices
 from millrace.llm.graph import components
 from millrace.llm.words import mix, shingle_sets, words_of
 
@@ -49,9 +49,10 @@ SCREEN = 0.5
 #: Texts in a group, and pivots of a large family in each of its groups.
 BLOCK = 128
 PIVOTS = 8
-#: Texts of a large family that say which shingles are rare in it, and the factor by which classes of set sizes grow.
-SAMPLE = 16
-CLASS = 1.04
+#: Texts of a large family that say which shingles are rare in it, texts that are looked at with them at a time, and the
+#: factor by which classes of set sizes grow.
+SAMPLE, FEW = 8, 32
+CLASS = 1.06
 #: intersection * DENOMINATOR >= union * NUMERATOR
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -219,7 +220,7 @@ def _stars(bands: DataFrame) -> DataFrame:
 
 def _confirmed(groups: DataFrame) -> DataFrame:
     """Links within the groups (family, qb, ab) of rows (node, comp, q, text)."""
-    return groups.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "node").mapInArrow(_groups, "a bigint, b bigint")
+    return _dealt(groups, F.xxhash64("family", "qb"), F.col("ab"), *_GROUP, "node").mapInArrow(_groups, "a bigint, b bigint")
 
 
 def _first_round(members: DataFrame) -> DataFrame:
@@ -232,13 +233,12 @@ def _first_round(members: DataFrame) -> DataFrame:
 
 
 def _classes(size: int) -> tuple[int, list[tuple[int, int]]]:
-    """The size class of a set, and for each class that a linked partner may have the number of rare shingles to look at:
-    of its first so many in any order, it shares one with each linked partner of that class."""
+    """The size class of a set, and for it and each smaller class that a linked partner may have the number of rare shingles
+    to look at: of its first so many in any order, it shares one with each linked partner of that class."""
     own = int(np.floor(np.log(size) / np.log(CLASS)))
+    low = int(np.log(max(size * NUMERATOR / DENOMINATOR - 1, 1)) / np.log(CLASS)) - 1
     out = []
-    low = np.log(max(size * NUMERATOR / DENOMINATOR - 1, 1)) / np.log(CLASS)
-    high = np.log(size * DENOMINATOR / NUMERATOR + 1) / np.log(CLASS)
-    for other in range(int(low) - 1, int(high) + 2):
+    for other in range(low, own + 1):
         least = int(np.floor(CLASS**other * (1 - 1e-9)))  # no set of that class is smaller
         fewest = -(-NUMERATOR * (size + least) // (NUMERATOR + DENOMINATOR))
         if size - fewest + 1 > 0:
@@ -249,9 +249,17 @@ def _classes(size: int) -> tuple[int, list[tuple[int, int]]]:
 _KEYS = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("own", pa.int32()), ("other", pa.int32())])
 
 
-def _prefixes(groups: DataFrame, sieve: Bloom | None) -> DataFrame:
+def _dealt(groups: DataFrame, start: Column, number: Column, *order: str) -> DataFrame:
+    """Rows with equal `start` and `number` in one partition; consecutive numbers in consecutive ones, so that the groups of
+    one large family never pile up."""
+    n = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.repartitionById(n, F.pmod(start + number, F.lit(n).cast("bigint")).cast("int")).sortWithinPartitions(*order)
+
+
+def _prefixes(groups: DataFrame, sieve: bytes | None) -> DataFrame:
     """(node, key, own, other) of rows (family, ab, kind, node, text), kind 0 a sample of the family, which each of its groups
-    gets: keys of each member's rarest shingles, rare meaning in few texts of the sample. With a sieve only keys in it."""
+    gets: keys of each member's rarest shingles, rare meaning in few texts of the sample, and a class for the smaller of two
+    sets. With a sieve only keys in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sample, tokens, counts = None, [], None, None
@@ -273,29 +281,27 @@ def _prefixes(groups: DataFrame, sieve: Bloom | None) -> DataFrame:
                     place = mix(np.array([family], np.int64).view(np.uint64))
                     mine, others = _classes(x.size)
                     for other, n in others:
-                        pair = np.uint64(min(mine, other) * 100_000 + max(mine, other))
-                        keys = mix(x[:n] ^ mix(place ^ pair))
-                        keys = keys if sieve is None else keys[sieve.array(keys)]
+                        keys = mix(x[:n] ^ mix(place ^ np.uint64(other + 2)))
+                        keys = keys if sieve is None else keys[probed(sieve, keys)]
                         out.append((np.full(keys.size, node), keys.view(np.int64), np.full(keys.size, mine, np.int32), np.full(keys.size, other, np.int32)))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_KEYS)
 
-    by = ["family", "ab"]
-    return groups.repartition(*by).sortWithinPartitions(*by, "kind", "node").mapInArrow(run, "node bigint, key bigint, own int, other int")
+    return _dealt(groups, F.xxhash64("family"), F.col("ab"), "family", "ab", "kind", "node").mapInArrow(run, "node bigint, key bigint, own int, other int")
 
 
 def _rare_links(large: DataFrame) -> DataFrame:
     """Links (a, b) between members (family, node, comp, top, n, text) of a family that share a key of rare shingles, such that
     no two linked ones of different components stay apart. `top` is the family's largest component."""
-    count = F.ceil(F.col("n") / BLOCK).cast("int")
+    count = F.ceil(F.col("n") / FEW).cast("int")
     sample = large.filter(F.pmod(F.xxhash64("node", F.lit(3)), "n") < SAMPLE)
     sample = sample.select("family", F.explode(F.sequence(F.lit(0), count - 1)).alias("ab"), F.lit(0).alias("kind"), "node", "text")
     own = large.select("family", F.pmod(F.xxhash64("node"), count).cast("int").alias("ab"), F.lit(1).alias("kind"), "node", "text", (F.col("comp") != F.col("top")).alias("q"))
     queries = cut(_prefixes(sample.unionByName(own.filter("q").drop("q")), None), "query-keys")
-    others = cut(_prefixes(sample.unionByName(own.filter("not q").drop("q")), bloom(queries.select("key"))), "other-keys")
+    others = cut(_prefixes(sample.unionByName(own.filter("not q").drop("q")), bloom(queries.select("key")).bitmap), "other-keys")
     keys = queries.unionByName(others)
-    both = keys.groupBy("key").agg(*[f(c).alias(n) for f, c, n in ((F.min, "own", "low"), (F.max, "own", "high"), (F.min, "node", "a"), (F.max, "node", "z"))], F.bool_or(F.col("own") == F.col("other")).alias("same"))
-    both = both.filter("a < z and (same or low < high)").select("key")  # a smaller and a larger set, or two of one class
+    both = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.bool_or(F.col("own") == F.col("other")).alias("small"))
+    both = both.filter("a < z and small").select("key")  # several sets, of which one is of the smaller class
     return _stars(cut(keys.select("node", "key").join(both, "key").select("node", "key"), "keys"))
 
 
