@@ -249,16 +249,19 @@ def _marked(docs: DataFrame, mark: dict[int, int], model: np.ndarray, fn, ddl: s
     return docs.mapInArrow(run, ddl)
 
 
-def noisy_or(marks: np.ndarray, rows: np.ndarray, features: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Fits the shares of features to labels: pair k says that document rows[k] has features[k]."""
-    p = shares.copy()
-    has = np.bincount(features, minlength=p.size)
-    prior = PRIOR_DOCS * marks.mean()
+def noisy_or(rows: np.ndarray, features: np.ndarray, shares: np.ndarray, has: np.ndarray, rate: float) -> np.ndarray:
+    """Fits the shares of features to labels: pair k says that toxic document rows[k] has features[k]; `has` counts all labelled
+    documents with a feature, `rate` is the share of toxic ones. Pairs are worked on in parts of a million."""
+    p, count = shares.copy(), int(rows.max(initial=-1)) + 1
+    prior = PRIOR_DOCS * rate
+    parts = [slice(k, k + 1_000_000) for k in range(0, rows.size, 1_000_000)]
     for _ in range(STEPS):
-        clean = np.full(marks.size, np.log(1 - BASE))
-        np.add.at(clean, rows, np.log1p(-np.minimum(p[features], 0.999)))
-        credit = marks[rows] * p[features] / np.maximum(1 - np.exp(clean[rows]), 1e-9)
-        p = (np.bincount(features, credit, p.size) + prior * p) / (has + PRIOR_DOCS)
+        clean, credit = np.full(count, np.log(1 - BASE)), np.zeros(p.size)
+        for x in parts:
+            clean += np.bincount(rows[x], np.log1p(-np.minimum(p[features[x]], 0.999)), count)
+        for x in parts:
+            credit += np.bincount(features[x], p[features[x]] / np.maximum(1 - np.exp(clean[rows[x]]), 1e-9), p.size)
+        p = (credit + prior * p) / (has + PRIOR_DOCS)
     return p
 
 
@@ -283,20 +286,21 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> dict[str, fl
     rate = sum(mark.values()) / len(mark)
     share = (F.col("pos") + PRIOR_DOCS * rate) / (F.col("pos") + F.col("neg") + PRIOR_DOCS)
     strong = sums.filter(F.col("pos") >= LEAST).withColumn("share", share).filter(F.col("share") >= STRONG)
-    kept = strong.orderBy(F.desc("share"), F.desc("pos"), "f").collect()  # of the labelled texts only
-    if not kept:
+    kept = strong.orderBy(F.desc("share"), F.desc("pos"), "f").select("f", "share", (F.col("pos") + F.col("neg")).alias("has")).toArrow()  # of the labelled texts only
+    if not kept.num_rows:
         return {}
-    at = {r["f"]: k for k, r in enumerate(kept)}
+    names = kept.column("f").to_pylist()
+    at = {f: k for k, f in enumerate(names)}
 
     def present(keys: list[int], sets: list[set[str]]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(keys, pa.int64()), pa.array([sorted(at[f] for f in s if f in at) for s in sets], pa.list_(pa.int32()))], ["doc_id", "x"])
 
-    table = _marked(docs, mark, model, present, "doc_id bigint, x array<int>").orderBy("doc_id").collect()  # a row for each labelled text
-    marks = np.array([mark[r["doc_id"]] for r in table], float)
-    rows = np.repeat(np.arange(len(table)), [len(r["x"]) for r in table])
-    features = np.array([k for r in table for k in r["x"]], int)
-    fitted = noisy_or(marks, rows, features, np.array([r["share"] for r in kept]))
-    return {r["f"]: float(p) for r, p in zip(kept, fitted, strict=True) if p >= WEAKEST}
+    toxic = {k: y for k, y in mark.items() if y}
+    table = _marked(docs, toxic, model, present, "doc_id bigint, x array<int>").orderBy("doc_id").toArrow()  # a row for each toxic text
+    x = table.column("x").combine_chunks()
+    rows = np.repeat(np.arange(table.num_rows, dtype=np.int32), pa.compute.list_value_length(x).to_numpy())
+    fitted = noisy_or(rows, x.flatten().to_numpy(), kept.column("share").to_numpy(), kept.column("has").to_numpy(), rate)
+    return {names[k]: float(fitted[k]) for k in np.flatnonzero(fitted >= WEAKEST).tolist()}
 
 
 def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: list[str]) -> DataFrame:

@@ -83,10 +83,9 @@ def test_viterbi_matches_enumeration(model):
 
 
 def test_noisy_or_moves_credit_to_the_cause():
-    marks = np.array([1.0] * 20 + [0.0] * 80)
     rows = np.concatenate([np.arange(20), np.arange(8)])
     features = np.array([0] * 20 + [1] * 8)
-    p = toxicity.noisy_or(marks, rows, features, np.array([0.8, 0.5]))
+    p = toxicity.noisy_or(rows, features, np.array([0.8, 0.5]), np.array([20, 8]), 0.2)
     assert p[0] > 0.6
     assert p[1] < p[0]
 
