@@ -106,26 +106,26 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def slices(table: pa.Table | pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Consecutive row slices of about SLICE_BYTES of text each; at least one row."""
+def slices(table: pa.Table | pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive row slices of about `most` bytes of text each; at least one row."""
     column = table.column(text)
     sizes = pa.compute.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, n in enumerate(sizes):
         total += int(n)
-        if total >= SLICE_BYTES:
+        if total >= most:
             yield table.slice(start, i + 1 - start)
             start, total = i + 1, 0
     if start < len(sizes):
         yield table.slice(start)
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, most: int = SLICE_BYTES) -> DataFrame:
     """mapInArrow over slices of bounded text size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=most):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out

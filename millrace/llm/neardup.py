@@ -53,6 +53,8 @@ PIVOTS = 8
 #: factor by which classes of set sizes grow.
 SAMPLE, FEW = 8, 32
 CLASS = 1.06
+#: Bytes of text that are hashed at a time.
+MOST_TEXT = 500_000
 #: intersection * DENOMINATOR >= union * NUMERATOR
 NUMERATOR, DENOMINATOR = 75, 100
 
@@ -121,7 +123,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         columns = [batch.column("doc_id"), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), bands]
         return pa.record_batch(columns, ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
-    return map_slices(id_text(docs, id_col, text_col), run, SIGNATURES)
+    return map_slices(id_text(docs, id_col, text_col), run, SIGNATURES, MOST_TEXT)
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -189,7 +191,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pydict({"a": [a for a, _ in found], "b": [b for _, b in found]}, schema=_PAIR)
 
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, most=MOST_TEXT):
             own, offsets = shingle_sets(words_of(part.column("text")))
             keys = zip(*(part.column(c).to_pylist() for c in _GROUP), strict=True)
             rows = zip(keys, part.column("node").to_pylist(), part.column("comp").to_pylist(), part.column("q").to_pylist(), strict=True)
@@ -264,7 +266,7 @@ def _prefixes(groups: DataFrame, sieve: bytes | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sample, tokens, counts = None, [], None, None
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=MOST_TEXT):
                 own, offsets = shingle_sets(words_of(part.column("text")))
                 out = []
                 for i, (family, ab, kind, node) in enumerate(zip(*(part.column(c).to_pylist() for c in ("family", "ab", "kind", "node")), strict=True)):
