@@ -248,7 +248,7 @@ def _classes(size: int) -> tuple[int, list[tuple[int, int]]]:
     return own, out
 
 
-_KEYS = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("own", pa.int32()), ("other", pa.int32())])
+_KEYS = pa.schema([("node", pa.int64()), ("key", pa.int64()), ("own", pa.int32()), ("low", pa.int32()), ("high", pa.int32())])
 
 
 def _dealt(groups: DataFrame, start: Column, number: Column, *order: str) -> DataFrame:
@@ -259,9 +259,9 @@ def _dealt(groups: DataFrame, start: Column, number: Column, *order: str) -> Dat
 
 
 def _prefixes(groups: DataFrame, sieve: bytes | None) -> DataFrame:
-    """(node, key, own, other) of rows (family, ab, kind, node, text), kind 0 a sample of the family, which each of its groups
-    gets: keys of each member's rarest shingles, rare meaning in few texts of the sample, and a class for the smaller of two
-    sets. With a sieve only keys in it."""
+    """(node, key, own, low, high) of rows (family, ab, kind, node, text), kind 0 a sample of the family, which each of its
+    groups gets: one key for each of a member's rarest shingles, rare meaning in few texts of the sample, with the member's
+    class and the range of classes for the smaller of two sets in which the shingle is looked at. With a sieve only keys in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, sample, tokens, counts = None, [], None, None
@@ -282,14 +282,18 @@ def _prefixes(groups: DataFrame, sieve: bytes | None) -> DataFrame:
                     x = x[np.lexsort((x, np.where(tokens[at] == x, counts[at], 0)))]
                     place = mix(np.array([family], np.int64).view(np.uint64))
                     mine, others = _classes(x.size)
+                    low, most = others[0]  # larger classes look at fewer shingles
+                    high = np.full(most, low, np.int32)
                     for other, n in others:
-                        keys = mix(x[:n] ^ mix(place ^ np.uint64(other + 2)))
-                        keys = keys if sieve is None else keys[probed(sieve, keys)]
-                        out.append((np.full(keys.size, node), keys.view(np.int64), np.full(keys.size, mine, np.int32), np.full(keys.size, other, np.int32)))
+                        high[:n] = other
+                    keys = mix(x[:most] ^ mix(place))
+                    seen = slice(None) if sieve is None else probed(sieve, keys)
+                    keys, high = keys[seen], high[seen]
+                    out.append((np.full(keys.size, node), keys.view(np.int64), np.full(keys.size, mine, np.int32), np.full(keys.size, low, np.int32), high))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=_KEYS)
 
-    return _dealt(groups, F.xxhash64("family"), F.col("ab"), "family", "ab", "kind", "node").mapInArrow(run, "node bigint, key bigint, own int, other int")
+    return _dealt(groups, F.xxhash64("family"), F.col("ab"), "family", "ab", "kind", "node").mapInArrow(run, "node bigint, key bigint, own int, low int, high int")
 
 
 def _rare_links(large: DataFrame) -> DataFrame:
@@ -301,10 +305,22 @@ def _rare_links(large: DataFrame) -> DataFrame:
     own = large.select("family", F.pmod(F.xxhash64("node"), count).cast("int").alias("ab"), F.lit(1).alias("kind"), "node", "text", (F.col("comp") != F.col("top")).alias("q"))
     queries = cut(_prefixes(sample.unionByName(own.filter("q").drop("q")), None), "query-keys")
     others = cut(_prefixes(sample.unionByName(own.filter("not q").drop("q")), bloom(queries.select("key")).bitmap), "other-keys")
-    keys = queries.unionByName(others)
-    both = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.bool_or(F.col("own") == F.col("other")).alias("small"))
-    both = both.filter("a < z and small").select("key")  # several sets, of which one is of the smaller class
-    return _stars(cut(keys.select("node", "key").join(both, "key").select("node", "key"), "keys"))
+    keys = queries.withColumn("q", F.lit(True)).unionByName(others.withColumn("q", F.lit(False)))
+    # of a shingle in several sets, only classes that one of these has and a query looks at
+    held = keys.groupBy("key").agg(
+        F.min("node").alias("a"),
+        F.max("node").alias("z"),
+        F.collect_set("own").alias("classes"),
+        F.min(F.when(F.col("q"), F.col("low"))).alias("qlow"),
+        F.max(F.when(F.col("q"), F.col("high"))).alias("qhigh"),
+    )
+    shared = keys.join(held.filter("a < z and qlow is not null").drop("a", "z"), "key")
+    least, most = F.greatest("low", "qlow"), F.least("high", "qhigh")
+    placed = shared.select("node", "own", "q", "key", F.explode(F.filter("classes", lambda c: (c >= least) & (c <= most))).alias("other"))
+    placed = cut(placed.select("node", "own", "q", "other", F.xxhash64("key", "other").alias("key")), "placed")
+    both = placed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.bool_or(F.col("own") == F.col("other")).alias("small"), F.bool_or("q").alias("q"))
+    both = both.filter("a < z and small and q").select("key")  # several sets, of which one is of the smaller class and one a query
+    return _stars(cut(placed.select("node", "key").join(both, "key").select("node", "key"), "keys"))
 
 
 def _second_round(members: DataFrame, labels: DataFrame) -> DataFrame | None:

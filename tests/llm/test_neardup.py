@@ -71,6 +71,15 @@ def test_template_families_cost_in_proportion(spark, monkeypatch):
     assert read[800] < 5 * read[200]
 
 
+def test_rare_shingles_give_one_row_each(spark):
+    """Not one for each class of partners: a text gives less than a third of its shingles."""
+    rows = [(1, 0, 1, i, " ".join([f"t{j}" for j in range(50)] + [f"o{i}x{j}" for j in range(i % 40)])) for i in range(80)]
+    groups = spark.createDataFrame(rows, "family bigint, ab int, kind int, node bigint, text string")
+    made = {r.node: r["count"] for r in neardup._prefixes(groups, None).groupBy("node").count().collect()}
+    assert made.keys() == set(range(80))
+    assert all(3 * made[i] <= 46 + i % 40 for i in made)
+
+
 def test_edge_rows(frame):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one TWO"), (6, "one two three"), (7, "x" * 30000), (8, "é É"), (9, "é é")]
     _check(frame, rows)
