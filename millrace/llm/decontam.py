@@ -193,6 +193,13 @@ def _tiled(work: DataFrame, match: int) -> DataFrame:
     return work.repartition("t").sortWithinPartitions(F.col("t"), F.col("k").asc_nulls_first()).mapInArrow(run, "t string, item_id bigint, coverage double")
 
 
+def _texts(hits: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(t, raw) of the texts in pairs, once each. The others, which only seem to share a seed, go before the exchange."""
+    paired = cut(pairs.select("t").distinct(), "paired")
+    maybe = bloom(paired.select(F.xxhash64("t"))).column(F.xxhash64("t"))
+    return hits.filter("g is null").filter(maybe).groupBy("t").agg(F.first("raw").alias("raw")).join(paired, "t", "left_semi")
+
+
 def found_in(texts: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, match: int = MATCH) -> DataFrame | None:
     """(t, item_id, coverage, n_items) by MD5 of the text, for texts that share a seed with an item; None without seeds."""
     items = cut(id_text(benchmark, "item_id", "text").withColumn("k", F.monotonically_increasing_id()), "items")
@@ -203,7 +210,7 @@ def found_in(texts: DataFrame, benchmark: DataFrame, threshold: float = THRESHOL
     hits = cut(_hits(texts, sizes, bloom(seeds.select("g").distinct()).bitmap), "hits")
     pairs = hits.filter("g is not null").select("t", "g").distinct().join(seeds.select("g", "k"), "g").select("t", "k").distinct()
     pairs = cut(pairs, "pairs")
-    own = hits.filter("g is null").groupBy("t").agg(F.first("raw").alias("raw")).join(pairs.select("t").distinct(), "t", "left_semi")
+    own = _texts(hits, pairs)
     own = own.select("t", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("item_id"), "raw")
     theirs = pairs.join(items, "k").select("t", "k", F.col("doc_id").alias("item_id"), F.col("text").cast("binary").alias("raw"))
     tiled = _tiled(own.unionByName(theirs), match).filter("coverage > 0")

@@ -109,6 +109,21 @@ def test_repeated_rows_null_ids_and_long_texts(spark):
     assert got == [(0, 9, 1), (1, 0, 0), (1, 7, 2), (1, 7, 2), (5, 7, 2)]
 
 
+def test_texts_without_a_pair_go_before_the_exchange(spark):
+    """Also where the pairs are too many to be broadcast."""
+    hits = spark.createDataFrame([(f"t{i}", None, b"x") for i in range(300)], "t string, g bigint, raw binary")
+    pairs = spark.createDataFrame([("t7", 1), ("t8", 1), ("t8", 2)], "t string, k bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        own = decontam._texts(hits, pairs)
+        plan = own._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(r.t for r in own.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == ["t7", "t8"]
+    assert "getbit" in plan.split("first(raw")[1]
+
+
 def test_extra_columns_are_kept(spark):
     docs = spark.createDataFrame([(1, "a", 5, "b")], "doc_id bigint, text string, coverage int, k0 string")
     bench = spark.createDataFrame([(1, "q w e r t")], "item_id bigint, text string")
