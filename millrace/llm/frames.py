@@ -47,9 +47,10 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Shifts of a 64-bit key that give a Bloom filter's probes, and the filter's bits: per key, at least, at most (4 MB).
-PROBES = (0, 13, 26, 39)
-BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 16, 1 << 13, 1 << 25
+#: A Bloom filter's key sets bits of one 64-bit word, which its low bits choose; shifts of the key that give these bits.
+#: The filter's bits: per key, at least, at most (4 MB).
+PROBES = (40, 46, 52, 58)
+BITS_PER_KEY, FEWEST_BITS, MOST_BITS = 64, 1 << 13, 1 << 25
 
 
 @dataclass
@@ -67,8 +68,9 @@ class Bloom:
         if not any(self.bitmap):
             return F.lit(False)
         bits, out = self.bits.scalar(), F.lit(True)
+        word = key.bitwiseAND(F.lit(8 * len(self.bitmap) - 64))
         for shift in PROBES:
-            at = F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(8 * len(self.bitmap) - 1))
+            at = word.bitwiseOR(F.shiftrightunsigned(key, shift).bitwiseAND(F.lit(63)))
             byte = F.conv(F.hex(F.substring(bits, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
             out = out & (F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
         return F.coalesce(out, F.lit(False))
@@ -80,24 +82,25 @@ class Bloom:
 
 def probed(bitmap: bytes, keys: np.ndarray) -> np.ndarray:
     bits, out = np.frombuffer(bitmap, np.uint8), np.ones(keys.size, bool)
+    word = keys & np.uint64(8 * bits.size - 64)
     for shift in PROBES:
-        at = (keys >> np.uint64(shift)) & np.uint64(8 * bits.size - 1)
+        at = word | (keys >> np.uint64(shift)) & np.uint64(63)
         out &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
     return out
 
 
 def bloom(keys: DataFrame) -> Bloom:
-    """Of the one column of 64-bit keys. The driver gets one number for each 64 bits of the map, at most half a million."""
+    """Of the one column of 64-bit keys. The driver gets one number for each word of the map, at most half a million, as
+    Arrow columns: as Python objects they would take over a hundred MB of its memory."""
     spark, keys = keys.sparkSession, keys.toDF("key").filter("key is not null")
     size = FEWEST_BITS
     while size < min(MOST_BITS, BITS_PER_KEY * keys.count()):
         size *= 2
-    probes = F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(size - 1)) for s in PROBES])
-    at = keys.select(F.explode(probes).alias("at"))
-    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v"))
-    got = words.toPandas()
+    own = F.expr(" | ".join(f"shiftleft(1L, cast(shiftrightunsigned(key, {s}) & 63 as int))" for s in PROBES))
+    word = F.shiftright(F.col("key").bitwiseAND(F.lit(size - 1)), 6)
+    got = keys.groupBy(word.alias("w")).agg(F.bit_or(own).alias("v")).toArrow()
     bitmap = np.zeros(size // 64, "<i8")
-    bitmap[got["w"].to_numpy(int)] = got["v"].to_numpy(np.int64)
+    bitmap[got.column("w").to_numpy()] = got.column("v").to_numpy()
     return Bloom(bitmap.tobytes(), cut(spark.createDataFrame([(bytearray(bitmap.tobytes()),)], "bits binary"), "bits"))
 
 

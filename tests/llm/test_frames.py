@@ -17,6 +17,24 @@ def test_bloom_filter_holds_its_keys_in_both_forms(spark, n):
     assert nulls is False
 
 
+def test_few_other_keys_seem_to_be_in_a_bloom_filter(spark):
+    made = frames.bloom(spark.range(32_000).select(F.xxhash64("id")))
+    others = np.random.default_rng(5).integers(0, 1 << 63, 200_000).astype(np.uint64)
+    assert made.array(others).mean() < 0.0006
+
+
+def test_bloom_filters_take_little_of_the_drivers_memory(spark):
+    import tracemalloc
+
+    keys = spark.range(600_000).select(F.xxhash64("id"))
+    tracemalloc.start()
+    made = frames.bloom(keys)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(made.bitmap) == frames.MOST_BITS // 8
+    assert most < 40_000_000
+
+
 def test_plans_do_not_spell_bitmaps_out(spark):
     made = frames.bloom(spark.range(50_000).select(F.xxhash64("id")))
     assert len(made.bitmap) >= 100_000
