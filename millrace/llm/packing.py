@@ -30,7 +30,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -59,8 +59,11 @@ SLACK = 4
 PROGRESS = 8
 #: Tasks of an epoch, at most.
 MOST_TASKS = 4096
-#: Words of up to LONG bytes that a Python worker remembers.
+#: Words of up to LONG bytes that a Python worker remembers, their ids (at most), and parts of words.
 REMEMBER, LONG = 500_000, 64
+MOST_IDS, PARTS = 4_000_000, 30_000
+#: Texts are encoded in slices of about so many bytes: a slice's arrays take some forty times that.
+SLICE = 500_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -77,6 +80,9 @@ class WordTokenizer:
     it, and its model encodes each new one once; the ids of all words are then gathered as arrays. Texts with U+001C to
     U+001F, which Python takes for white space and the tokenizer does not, and texts that may hold a special token go
     through the tokenizer itself.
+
+    The memory is three arrays (sorted hashes, where each word's ids start, how many) and the ids: some 30 bytes a word, of
+    bounded size. When it is full, the words of the slice at hand stay.
     """
 
     def __init__(self, path: str) -> None:
@@ -88,15 +94,16 @@ class WordTokenizer:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_level = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.short = lru_cache(PARTS)(self._encoded)
+        self.hashes, self.ids_of = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _encoded(self, part: str) -> bytes:
+        spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_level)
+        return array("I", [t.id for t in self.whole.model.tokenize(spelt)]).tobytes()
 
     def _part(self, part: str) -> bytes:
-        out = self.parts.get(part)
-        if out is None:
-            spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_level)
-            out = self.parts[part] = array("I", [t.id for t in self.whole.model.tokenize(spelt)]).tobytes()
-        return out
+        return self.short(part) if len(part) <= LONG else self._encoded(part)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
@@ -111,28 +118,43 @@ class WordTokenizer:
             return self._part(text)
         return b"".join([self._part(part) for part in _SPLIT.findall(text)])
 
+    def _remember(self, hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, pool: np.ndarray, new: np.ndarray, short: np.ndarray) -> None:
+        """Adds the short new words of a slice; `at` and `sizes` give the ids of all its words in the pool."""
+        add = new & short
+        n = int(sizes[add].sum())
+        if self.hashes.size + np.count_nonzero(add) > REMEMBER or self.ids_of.size + n > MOST_IDS:
+            self.hashes, self.ids_of = self.hashes[:0], self.ids_of[:0]
+            self.at, self.sizes = self.at[:0], self.sizes[:0]
+            add = short & (np.cumsum(short) <= REMEMBER) & (np.cumsum(sizes * short) <= MOST_IDS)
+        hashes, at, sizes = hashes[add], at[add], sizes[add]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        own = pool[np.repeat(at - ends + sizes, sizes) + np.arange(sizes.sum())]
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")  # merges two sorted runs
+        self.hashes = every[order]
+        self.at = np.concatenate([self.at, self.ids_of.size + ends - sizes])[order]
+        self.sizes = np.concatenate([self.sizes, sizes])[order]
+        self.ids_of = np.concatenate([self.ids_of, own])
+
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
         w = words_of(column)
-        raw, known = w.data.tobytes(), self.words
-        if len(known) >= REMEMBER:
-            known.clear()
-            self.parts.clear()
-        _, at, back = np.unique(w.hashes, return_index=True, return_inverse=True)
-        own = []
-        for s, e in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True):
-            word = raw[s:e]
-            ids = known.get(word)
-            if ids is None:
-                ids = self._word(word)
-                if e - s <= LONG:
-                    known[word] = ids
-            own.append(ids)
-        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-        pool = np.frombuffer(b"".join(own), "<u4")
+        raw = w.data.tobytes()
+        hashes, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hashes, hashes)
+        known = np.append(self.hashes, np.uint64(0))[place] == hashes
+        known &= place < self.hashes.size
+        new = one[~known]
+        own = [self._word(raw[s:e]) for s, e in zip(w.starts[new].tolist(), w.ends[new].tolist(), strict=True)]
+        pool = np.concatenate([self.ids_of, np.frombuffer(b"".join(own), "<u4")])
+        at, sizes = np.zeros(hashes.size, np.int64), np.zeros(hashes.size, np.int32)
+        at[known], sizes[known] = self.at[place[known]], self.sizes[place[known]]
+        sizes[~known] = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        at[~known] = self.ids_of.size + np.cumsum(sizes[~known], dtype=np.int64) - sizes[~known]
+        self._remember(hashes, at, sizes, pool, ~known, w.ends[one] - w.starts[one] <= LONG)
         counts = sizes[back]
         ends = np.append(0, np.cumsum(counts))
-        every = pool[np.repeat((np.cumsum(sizes) - sizes)[back] - ends[:-1], counts) + np.arange(ends[-1])]
+        every = pool[np.repeat(at[back] - ends[:-1], counts) + np.arange(ends[-1])]
         bounds = ends[w.first]
         out = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         if self.odd.search(raw):
@@ -159,7 +181,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, id_col: str = "doc_
                 rows.append((key, k, at, own.size, zlib.crc32(own.tobytes())))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return map_slices(id_text(docs, id_col, text_col), run, PIECES)
+    return map_slices(id_text(docs, id_col, text_col), run, PIECES, SLICE)
 
 
 Bins = list[list[int]]

@@ -26,6 +26,35 @@ def test_ids_equal_the_tokenizers(text):
     assert [x.tolist() for x in got] == [_ids(t)[:-1].tolist() for t in (text, "other words", "", text)]
 
 
+def test_remembered_words_take_little_memory():
+    import tracemalloc
+
+    r = random.Random(3)
+    tokenizer = packing.WordTokenizer(PATH)
+    tracemalloc.start()
+    for size in (9, 9, 9, 80):  # words of over LONG bytes are not remembered at all
+        for _ in range(3):
+            tokenizer.ids(pa.array([" ".join("".join(r.choices("abcdefghij", k=size)) for _ in range(1_000_000 // size // 4))]))
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert tokenizer.hashes.size > 200_000
+    assert kept < 30_000_000
+
+
+@pytest.mark.parametrize(("words", "ids"), [(40, 10_000), (10_000, 90), (3, 2), (0, 0)])
+def test_ids_do_not_depend_on_what_is_remembered(monkeypatch, words, ids):
+    monkeypatch.setattr(packing, "REMEMBER", words)
+    monkeypatch.setattr(packing, "MOST_IDS", ids)
+    r = random.Random(7)
+    tokenizer = packing.WordTokenizer(PATH)
+    some = ["Alpha", "alpha", "é!", "x1", "l" * 70, "日本", *["".join(r.choices("abcXY'", k=r.randrange(1, 9))) for _ in range(60)]]
+    for _ in range(12):
+        texts = [" ".join(r.choices(some, k=r.randrange(0, 30))) for _ in range(4)]
+        assert [x.tolist() for x in tokenizer.ids(pa.array(texts))] == [_ids(t)[:-1].tolist() for t in texts]
+        assert tokenizer.hashes.size <= words and tokenizer.ids_of.size <= ids
+        assert (tokenizer.hashes[1:] > tokenizer.hashes[:-1]).all()
+
+
 def _packed(df, length):
     return packing.pack_documents(df, length=length).collect()
 
