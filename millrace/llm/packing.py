@@ -27,10 +27,10 @@ import random
 import re
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -70,16 +70,33 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 
 #: Fixed values of the vocabulary's pre-tokenizer.
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Kinds of bytes: 1 for letters of ASCII, 2 for its other signs but the apostrophe, 0 for all else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:128] = _KIND[:9] = _KIND[14:32] = 2
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[39] = 0
+
+
+def _breaks(data: np.ndarray) -> np.ndarray:
+    """Bytes before which the pre-tokenizer always parts a word: between a letter of ASCII or Latin-1 and a sign of ASCII.
+    None of its tokens but those that start with an apostrophe has both, and normalising joins nothing there."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]  # the signs of times and division
+    kind[lead] = kind[lead + 1] = 1
+    out = np.zeros(data.size, bool)
+    np.equal(kind[1:] + kind[:-1], 3, out=out[1:])
+    return out
 
 
 class WordTokenizer:
     """Ids of the texts of a slice, from a memory of words.
 
-    The pre-tokenizer never joins characters across white space, so a text's ids are those of its words, one after the
-    other. The distinct words of a slice (by 64-bit hash, A-Z lower-cased) are normalised and split as the tokenizer does
-    it, and its model encodes each new one once; the ids of all words are then gathered as arrays. Texts with U+001C to
-    U+001F, which Python takes for white space and the tokenizer does not, and texts that may hold a special token go
-    through the tokenizer itself.
+    The pre-tokenizer never joins characters across white space, nor letters of ASCII or Latin-1 and signs of ASCII but the
+    apostrophe; a text's ids are those of the words between, one after the other. The distinct words of a slice (by 64-bit
+    hash, A-Z lower-cased) are normalised and split as the tokenizer does it, and its model encodes each new one once; the
+    ids of all words are then gathered as arrays. Texts with U+001C to U+001F, which Python takes for white space and the
+    tokenizer does not, and texts that may hold a special token go through the tokenizer itself.
 
     The memory is three arrays (sorted hashes, where each word's ids start, how many) and the ids: some 30 bytes a word, of
     bounded size. When it is full, the words of the slice at hand stay.
@@ -89,8 +106,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.tokenize = self.whole.model.tokenize
         added = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
         self.odd = re.compile(b"|".join([rb"[\x1c-\x1f]", *map(re.escape, added)]), re.IGNORECASE)
+        self.odd_start = np.zeros(256, bool)  # first bytes of what is odd
+        self.odd_start[[*range(0x1C, 0x20), *(b for t in added for b in (t[:1].lower() + t[:1].upper()))]] = True
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.byte_level = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -98,14 +118,14 @@ class WordTokenizer:
         self.hashes, self.ids_of = np.zeros(0, np.uint64), np.zeros(0, "<u4")
         self.at, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
-    def _encoded(self, part: str) -> bytes:
+    def _encoded(self, part: str) -> list[int]:
         spelt = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.byte_level)
-        return array("I", [t.id for t in self.whole.model.tokenize(spelt)]).tobytes()
+        return [t.id for t in self.tokenize(spelt)]
 
-    def _part(self, part: str) -> bytes:
+    def _part(self, part: str) -> list[int]:
         return self.short(part) if len(part) <= LONG else self._encoded(part)
 
-    def _word(self, word: bytes) -> bytes:
+    def _word(self, word: bytes) -> list[int]:
         text = word.decode()
         if word.isascii():
             text = text.lower()
@@ -113,10 +133,10 @@ class WordTokenizer:
             text = unicodedata.normalize("NFC", text)
             text = "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()  # a final sigma is like any other
             if len(chunks := text.split()) > 1:
-                return b"".join([self._part(part) for chunk in chunks for part in _SPLIT.findall(chunk)])
+                return [i for chunk in chunks for part in _SPLIT.findall(chunk) for i in self._part(part)]
         if text.isalpha():
-            return self._part(text)
-        return b"".join([self._part(part) for part in _SPLIT.findall(text)])
+            return self._encoded(text)  # remembered as a word
+        return [i for part in _SPLIT.findall(text) for i in self._part(part)]
 
     def _remember(self, hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, pool: np.ndarray, new: np.ndarray, short: np.ndarray) -> None:
         """Adds the short new words of a slice; `at` and `sizes` give the ids of all its words in the pool."""
@@ -138,7 +158,7 @@ class WordTokenizer:
 
     def ids(self, column: pa.Array) -> list[np.ndarray]:
         """The ids of each text."""
-        w = words_of(column)
+        w = words_of(column, _breaks)
         raw = w.data.tobytes()
         hashes, one, back = np.unique(w.hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.hashes, hashes)
@@ -146,10 +166,11 @@ class WordTokenizer:
         known &= place < self.hashes.size
         new = one[~known]
         own = [self._word(raw[s:e]) for s, e in zip(w.starts[new].tolist(), w.ends[new].tolist(), strict=True)]
-        pool = np.concatenate([self.ids_of, np.frombuffer(b"".join(own), "<u4")])
+        n_own = np.fromiter(map(len, own), np.int32, len(own))
+        pool = np.concatenate([self.ids_of, np.fromiter(chain.from_iterable(own), "<u4", int(n_own.sum()))])
         at, sizes = np.zeros(hashes.size, np.int64), np.zeros(hashes.size, np.int32)
         at[known], sizes[known] = self.at[place[known]], self.sizes[place[known]]
-        sizes[~known] = np.fromiter(map(len, own), np.int32, len(own)) // 4
+        sizes[~known] = n_own
         at[~known] = self.ids_of.size + np.cumsum(sizes[~known], dtype=np.int64) - sizes[~known]
         self._remember(hashes, at, sizes, pool, ~known, w.ends[one] - w.starts[one] <= LONG)
         counts = sizes[back]
@@ -157,8 +178,10 @@ class WordTokenizer:
         every = pool[np.repeat(at[back] - ends[:-1], counts) + np.arange(ends[-1])]
         bounds = ends[w.first]
         out = [every[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-        if self.odd.search(raw):
-            for k, (a, b) in enumerate(zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True)):
+        at = np.flatnonzero(self.odd_start[w.data])
+        if at.size:
+            for k in np.unique(np.searchsorted(w.offsets, at, "right") - 1).tolist():
+                a, b = int(w.offsets[k]), int(w.offsets[k + 1])
                 if self.odd.search(raw, a, b):
                     out[k] = np.array(self.whole.encode(raw[a:b].decode(), add_special_tokens=False).ids, "<u4")
         return out

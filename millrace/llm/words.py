@@ -6,6 +6,7 @@ for each byte value and each place (a multilinear hash), then mixed; a shingle h
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -55,7 +56,8 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, breaks: Callable[[np.ndarray], np.ndarray] | None = None) -> Words:
+    """`breaks` marks the bytes before which words are parted as well."""
     data, offsets = utf8(column)
     n = data.size
     if not n:
@@ -64,6 +66,8 @@ def words_of(column: pa.Array) -> Words:
     word = ~SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
+    if breaks is not None:
+        edge[:n] |= breaks(data)
     before = np.empty(n, bool)
     before[0] = False
     before[1:] = word[:-1]

@@ -26,6 +26,25 @@ def test_ids_equal_the_tokenizers(text):
     assert [x.tolist() for x in got] == [_ids(t)[:-1].tolist() for t in (text, "other words", "", text)]
 
 
+def test_words_with_other_signs_around_are_encoded_once():
+    words, marks = ["".join(random.Random(k).choices("abcdeé", k=7)) for k in range(40)], [".", ",", "!!", "(%s)", "1", "###", "[%s]", "-"]
+    text = " ".join(m % w if "%" in m else w + m for w in words for m in marks)
+    tokenizer = packing.WordTokenizer(PATH)
+    assert tokenizer.ids(pa.array([text]))[0].tolist() == _ids(text)[:-1].tolist()
+    assert tokenizer.hashes.size <= 40 + 10  # not 40 * 8
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_words_are_parted_as_the_tokenizer_does(seed):
+    r = random.Random(seed)
+    signs = [*"abSTé×÷ÃßŒж日Σσİﬁ'’.!=<>|1٣²_\x00\x7f\x1d\u0301\u0338\u0345\u00a0\u00aa\u0085 ", "'s", "'LL", "'", "'re", "e\u0301", "=\u0338", "<|", "<|endoftext|>"]
+    texts = ["".join(r.choices(signs, k=r.randrange(1, 9))) for _ in range(1500)]
+    got = packing.WordTokenizer(PATH).ids(pa.array(texts))
+    whole = Tokenizer.from_file(PATH)
+    for text, ids in zip(texts, got, strict=True):
+        assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_remembered_words_take_little_memory():
     import tracemalloc
 
