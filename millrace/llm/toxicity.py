@@ -61,6 +61,11 @@ _CODE[[ord(c) for c in LETTERS]] = np.arange(len(LETTERS))
 _CODE[[9, 10, 11, 12, 13, 32]] = _SPACE_ID
 _IDS = {c: i for i, c in enumerate(LETTERS)} | {c: _SPACE_ID for c in " \n\t"}
 
+#: Where a reading may differ from what is written: at a sign, at a separator inside, or (group 1) at a repeated character.
+_TURN = re.compile(f"[{re.escape(''.join(LOOKS))}]|[{re.escape(SEPARATORS)}](?!\\Z)|([{re.escape(''.join(_IDS))}])\\1")
+#: Two readings nearer than this are compared by sums over the whole stretch.
+_NEAR = 1e-6
+
 _SIGN = np.zeros(256, bool)
 _SIGN[[ord(c) for c in LOOKS]] = True
 _LETTER = np.zeros(256, bool)
@@ -94,28 +99,43 @@ class Decoder:
     """Viterbi over the last two restored characters."""
 
     def __init__(self, model: np.ndarray) -> None:
-        self.model = model
+        self.p = model.ravel().tolist()
         self.decode = lru_cache(50_000)(self._decode)
 
     def _decode(self, raw: str) -> str:
-        p = self.model
-        states: dict[tuple[int, int], tuple[float, tuple]] = {(_SPACE_ID, _SPACE_ID): (0.0, ())}
-        for k, ch in enumerate(raw):
-            options = [(ch, 0.0)] + [(c, LOOK_COST) for c in LOOKS.get(ch, "")]
+        p = self.p
+        turn = _TURN.search(raw)
+        if turn is None:
+            return raw
+        at = turn.start()
+        if turn[1] and _TURN.search(raw, at + 1) is None:  # one letter to keep or to drop: only the characters around it count
+            a, c, end = [_IDS.get(x, _OTHER) for x in (raw[at - 1] if at else " ", raw[at], raw[at + 2] if at + 2 < len(raw) else " ")]
+            gain = DROP_COST + p[(a * _SIZE + c) * _SIZE + end] - p[(a * _SIZE + c) * _SIZE + c] - p[(c * _SIZE + c) * _SIZE + end]
+            if abs(gain) > _NEAR:
+                return raw[:at] + raw[at + 1 :] if gain > 0 else raw
+        last, value = _SPACE_ID * _SIZE + _SPACE_ID, 0.0
+        for ch in raw[:at]:
+            at_p = last * _SIZE + _IDS.get(ch, _OTHER)
+            value += p[at_p]
+            last = at_p % _SIZE**2
+        states: dict[int, tuple[float, tuple]] = {last: (value, ((), raw[:at]) if at else ())}
+        for k, ch in enumerate(raw[at:], at):
+            options = [(ch, _IDS.get(ch, _OTHER), 0.0)] + [(c, _IDS[c], LOOK_COST) for c in LOOKS.get(ch, "")]
             drop = k and ((ch == raw[k - 1] and ch in _IDS) or (ch in SEPARATORS and k + 1 < len(raw)))
-            new: dict[tuple[int, int], tuple[float, tuple]] = {}
-            for (a, b), (value, path) in states.items():
-                for c, cost in options:
-                    i = _IDS.get(c, _OTHER)
-                    v = value + cost + float(p[a, b, i])
-                    if (b, i) not in new or v > new[(b, i)][0]:
-                        new[(b, i)] = (v, (path, c))
+            new: dict[int, tuple[float, tuple]] = {}
+            for last, (value, path) in states.items():
+                for c, i, cost in options:
+                    at_p = last * _SIZE + i
+                    v = value + cost + p[at_p]
+                    key = at_p % _SIZE**2
+                    if key not in new or v > new[key][0]:
+                        new[key] = (v, (path, c))
                 if drop:
                     v = value + DROP_COST
-                    if (a, b) not in new or v > new[(a, b)][0]:
-                        new[(a, b)] = (v, path)
+                    if last not in new or v > new[last][0]:
+                        new[last] = (v, path)
             states = new
-        best = max(((v + float(p[a, b, _SPACE_ID]), path) for (a, b), (v, path) in states.items()), key=lambda x: x[0])[1]
+        best = max(((v + p[last * _SIZE + _SPACE_ID], path) for last, (v, path) in states.items()), key=lambda x: x[0])[1]
         out = []
         while best:
             best, c = best
@@ -145,21 +165,21 @@ def suspicious(column: pa.Array) -> tuple[np.ndarray, list[list[tuple[int, int]]
         within = inner[:-2] & inner[1:-1] & inner[2:]
         wide = np.flatnonzero((data[:-3] >= 192) & (data[:-3] == data[2:-1]) & (data[1:-2] == data[3:]) & within)
         dotted = np.flatnonzero(_LETTER[data[:-3]] & np.isin(data[1:-2], [46, 45, 95, 42]) & _LETTER[data[2:-1]] & np.isin(data[3:], [46, 45, 95, 42]) & within)
-    words = set((np.searchsorted(starts, np.concatenate([signs, double, wide, dotted]), "right") - 1).tolist())
-    ranges = [(int(starts[w]), int(ends[w])) for w in words if w >= 0]
+    words = np.unique(np.searchsorted(starts, np.concatenate([signs, double, wide, dotted]), "right") - 1)
+    words = words[words >= 0]
     single = (ends - starts == 1) & (_LETTER[data[starts]] | _SIGN[data[starts]])
     doc = np.searchsorted(offsets, starts, "right") - 1
     run = single[1:] & single[:-1] & (doc[1:] == doc[:-1]) & (starts[1:] == ends[:-1] + 1)
     turns = np.flatnonzero(np.diff(np.concatenate([[False], run, [False]]).astype(np.int8)))
-    for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
-        if b - a >= 2:
-            ranges.append((int(starts[a]), int(ends[b])))
-    last = -1
-    for a, b in sorted(ranges, key=lambda r: (r[0], -r[1])):
-        if a >= last:
-            out[int(np.searchsorted(offsets, a, "right")) - 1].append((a, b))
-            last = b
-    return data, out
+    turns = turns.reshape(-1, 2)[turns[1::2] - turns[::2] >= 2]
+    first, last = np.concatenate([words, turns[:, 0]]), np.concatenate([words, turns[:, 1]])
+    order = np.lexsort((-last, first))
+    first, last = first[order], last[order]
+    free = np.append(-1, np.maximum.accumulate(last))[:-1] < first  # words of a run go with it
+    first, last = first[free], last[free]
+    ranges = list(zip(starts[first].tolist(), ends[last].tolist(), strict=True))
+    bounds = np.searchsorted(doc[first], np.arange(len(column) + 1)).tolist()
+    return data, [ranges[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def readings(column: pa.Array, decoder: Decoder) -> list[tuple[str, list[str]]]:
@@ -187,8 +207,13 @@ def restore(column: pa.Array, decoder: Decoder) -> list[str]:
     return [text for text, _ in readings(column, decoder)]
 
 
-def spelt(features: Iterable[str]) -> re.Pattern | None:
-    """Finds, from a word's start on, what spells a feature with separators, look-alike signs and repeated letters."""
+def _like(letter: str) -> str:
+    return letter + "".join(s for s, letters in LOOKS.items() if letter in letters)
+
+
+def spelt(features: Iterable[str]) -> tuple[re.Pattern, re.Pattern] | None:
+    """Matches what spells a feature with separators, look-alike signs and repeated letters; before that, a pattern that
+    finds where a word starts with two characters that may begin one, which is quick as it starts with a set."""
     trie: dict = {}
     for f in features:
         word = f.rstrip("~")
@@ -208,18 +233,24 @@ def spelt(features: Iterable[str]) -> re.Pattern | None:
             elif c == "":
                 ways.append(r"(?!\w)")
             else:
-                like = re.escape(c + "".join(s for s, letters in LOOKS.items() if c in letters))
-                ways.append(f"[{like}]+" + ("" if then.keys() <= {"", "~"} else f"[{re.escape(SEPARATORS)}]?") + tail(then))
+                ways.append(f"[{re.escape(_like(c))}]+" + ("" if then.keys() <= {"", "~"} else f"[{re.escape(SEPARATORS)}]?") + tail(then))
         return ways[0] if len(ways) == 1 else "(?:" + "|".join(ways) + ")"
 
-    return re.compile(r"(?<!\w)(?=(" + tail(trie) + "))")
+    def chars(some: Iterable[str]) -> str:
+        return f"[{re.escape(''.join(sorted(set(some))))}]"
+
+    first = chars("".join(map(_like, trie)))
+    pairs = [f"(?<={chars(_like(c))})(?={chars(SEPARATORS + _like(c) + ''.join(map(_like, then)))})" for c, then in sorted(trie.items())]
+    return re.compile(f"{first}(?<!\\w{first})(?:{'|'.join(pairs)})"), re.compile(tail(trie))
 
 
-def joined(text: str, pattern: re.Pattern | None, decoder: Decoder) -> list[str]:
+def joined(text: str, patterns: tuple[re.Pattern, re.Pattern] | None, decoder: Decoder) -> list[str]:
     """Words of the decoded groups of fragments in a lower-cased text."""
-    if pattern is None:
+    if patterns is None:
         return []
-    groups = {g for g in pattern.findall(text) if any(c in SEPARATORS for c in g)}
+    start, whole = patterns
+    found = {m[0] for s in start.finditer(text) if (m := whole.match(text, s.start()))}
+    groups = {g for g in found if any(c in SEPARATORS for c in g)}
     return [w for g in sorted(groups) for w in decoder.decode(g).split()]
 
 
@@ -306,7 +337,8 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray) -> dict[str, fl
 def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: list[str]) -> DataFrame:
     """Adds score and n_restored to the columns to keep; `docs` has these and text."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    pattern = spelt(shares)
+    patterns = spelt(shares)
+    heads = {f[:4] for f in shares}  # all features of a word of letters start like it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(model)
@@ -317,7 +349,10 @@ def score(docs: DataFrame, model: np.ndarray, shares: dict[str, float], keep: li
                 for text, raw in readings(part.column("text"), decoder):
                     clean, hit = 1 - BASE, set()
                     restored.append(len(raw))
-                    for w in {*text.split(), *" ".join(raw).split(), *joined(text, pattern, decoder)}:
+                    for w in {*text.split(), *" ".join(raw).split(), *joined(text, patterns, decoder)}:
+                        x = w if w.isalpha() else w.strip(EDGES)
+                        if x[:4] not in heads and len(x) <= LONG and x.isalpha():
+                            continue
                         own = known.get(w)
                         if own is None:
                             if len(known) > 500_000:

@@ -1,3 +1,7 @@
+import random
+import re
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -82,6 +86,70 @@ def test_viterbi_matches_enumeration(model):
         assert d.decode(raw) in best(raw)[1]
 
 
+def _lattice(p, raw):
+    """The reading by the whole lattice, state by state."""
+    states = {(toxicity._SPACE_ID,) * 2: (0.0, "")}
+    for k, ch in enumerate(raw):
+        drop = k and (ch == raw[k - 1] and ch in toxicity._IDS or ch in toxicity.SEPARATORS and k + 1 < len(raw))
+        new = {}
+        for (a, b), (value, text) in states.items():
+            for c, cost in [(ch, 0.0)] + [(c, toxicity.LOOK_COST) for c in toxicity.LOOKS.get(ch, "")]:
+                i = toxicity._IDS.get(c, toxicity._OTHER)
+                v = value + cost + float(p[a, b, i])
+                if (b, i) not in new or v > new[b, i][0]:
+                    new[b, i] = (v, text + c)
+            if drop and ((a, b) not in new or value + toxicity.DROP_COST > new[a, b][0]):
+                new[a, b] = (value + toxicity.DROP_COST, text)
+        states = new
+    return max(((v + float(p[a, b, toxicity._SPACE_ID]), text) for (a, b), (v, text) in states.items()), key=lambda x: x[0])[1]
+
+
+@pytest.mark.parametrize("signs", ["abdeilmnost", "idiotupsé", "aab1$.é", "st0p!-_* 3Éж"])
+def test_readings_equal_the_lattices(model, signs):
+    r, d = random.Random(5), toxicity.Decoder(model)
+    for raw in ["", "aa", "aab", "baa", "stuupid", "idiott", ".", "a.", "..", "éé", "ÉÉ", *["".join(r.choices(signs, k=r.randrange(1, 12))) for _ in range(2000)]]:
+        assert d.decode(raw) == _lattice(model, raw), raw
+
+
+def _lines(fn):
+    """Lines of the module that a call runs."""
+    n = 0
+
+    def trace(frame, event, _):
+        nonlocal n
+        n += event == "line" and frame.f_code.co_filename == toxicity.__file__
+        return trace
+
+    before = sys.gettrace()
+    sys.settrace(trace)
+    try:
+        fn()
+    finally:
+        sys.settrace(before)
+    return n
+
+
+def test_one_repeated_letter_needs_no_lattice(model):
+    d = toxicity.Decoder(model)
+    assert _lines(lambda: d.decode("thegoodpeople" + "ofthetown" * 20)) < 60
+
+
+def test_groups_start_at_words_only(model):
+    patterns = toxicity.spelt(["idiot", "stup~", "éclat"])
+    whole = re.compile(r"(?<!\w)(?=(" + patterns[1].pattern + "))")
+    r = random.Random(6)
+    for _ in range(3000):
+        text = "".join(r.choice(["id", "iot", "i", "st", "up", "é", "clat", "1", "$", " ", ".", "x", "5t", "u p"]) for _ in range(r.randrange(9)))
+        want = {g for g in whole.findall(text) if any(c in toxicity.SEPARATORS for c in g)}
+        assert toxicity.joined(text, patterns, toxicity.Decoder(model)) == [w for g in sorted(want) for w in _lattice(model, g).split()], text
+
+
+def test_stretches_of_rows(model):
+    got = toxicity.suspicious(pa.array(["", "a b c d1 e", "foo a b c", None, "a b", "d e f g oo", "x"]))
+    offsets = np.cumsum([0, 0, 10, 9, 0, 3, 10])
+    assert [[(a - o, b - o) for a, b in r] for r, o in zip(got[1], offsets, strict=True)] == [[], [(0, 5), (6, 8)], [(0, 3), (4, 9)], [], [], [(0, 7), (8, 10)], []]
+
+
 def test_noisy_or_moves_credit_to_the_cause():
     rows = np.concatenate([np.arange(20), np.arange(8)])
     features = np.array([0] * 20 + [1] * 8)
